@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -27,11 +28,12 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, word by word through a cache.
+    """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    The byte-level vocabulary splits text by a pattern in which a space that stands before a non-space
-    always begins a new piece. So a text cut at such spaces encodes to the concatenation of its parts,
-    and parts that recur are encoded once. Texts that hold a special token's string are encoded whole.
+    If the same vocabulary lies beside the tokenizer's file as ranks, texts of Latin letters are merged by those, which gives the
+    same ids several times faster. Other texts go to the tokenizer itself, word by word through a cache: the vocabulary splits text by a
+    pattern in which a space that stands before a non-space always begins a new piece, so a text cut at such spaces encodes to
+    the concatenation of its parts. Texts that hold a special token's string are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -43,6 +45,17 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
+        self.ranks = None
+        ranks = path.removesuffix(".json") + ".tiktoken"
+        if os.path.exists(ranks):
+            import base64
+
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as lines:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
@@ -59,28 +72,35 @@ class WordEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split, miss = [], {}
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        known = self.cache
+        out: list[bytes | None] = []
+        split: dict[int, list[str]] = {}
         for t in texts:
             if any(s in t for s in self.special):
-                split.append(None)
-                continue
-            if "  " in t or t[:1] == " " or t[-1:] == " " or " \n" in t or " \t" in t or " \r" in t:
-                ps = self.parts(t)
+                out.append(self._encode([t])[0])
+            elif self.ranks is not None and _latin(t):
+                out.append(array("I", self.ranks.encode_ordinary(t)).tobytes())
             else:
-                ps = t.replace(" ", "\x00 ").split("\x00") if "\x00" not in t else self.parts(t)
-                if any(len(p) > 1 and p[0] == " " and p[1].isspace() for p in ps):
-                    ps = self.parts(t)
-            split.append(ps)
-            for p in ps:
-                if p not in known:
-                    miss[p] = None
-        if miss:
-            words = list(miss)
-            known.update(zip(words, self._encode(words), strict=True))
-        return [b"".join(map(known.__getitem__, ps)) if ps is not None else self._encode([t])[0] for t, ps in zip(texts, split, strict=True)]
+                split[len(out)] = self.parts(t)
+                out.append(None)
+        if split:
+            if len(self.cache) > CACHE_WORDS:
+                self.cache.clear()
+            miss = list({p: None for ps in split.values() for p in ps if p not in self.cache})
+            if miss:
+                self.cache.update(zip(miss, self._encode(miss), strict=True))
+            for i, ps in split.items():
+                out[i] = b"".join(map(self.cache.__getitem__, ps))
+        return out
+
+
+def _latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -190,7 +210,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, group_rows: int = GROUP
     groups = max(1, -(-short.count() // group_rows))
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
 
-    def fill(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", order, "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", na_position="first").reset_index(drop=True)
         lengths = pdf["length"].to_numpy()
         rows = {int(n): list(np.flatnonzero(lengths == n)[::-1]) for n in np.unique(lengths)}
