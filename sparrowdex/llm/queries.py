@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, sharding, warc
+from . import ann, jaccard, licences, line_dedup, mixing, packing, sharding, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +16,13 @@ def queries() -> dict[str, Query]:
     return {
         "op1_warc": lambda s, d: warc.archive_rows(s, table(s, d, "pages")),
         "op2_sharding": lambda s, d: sharding.shard_rows(table(s, d, "documents")),
+        "op3_toxicity": lambda s, d: toxicity.toxicity_rows(table(s, d, "documents"), table(s, d, "labels")),
+        "op4_line_dedup": lambda s, d: line_dedup.dedup_rows(table(s, d, "documents")),
         "op5_mixing": lambda s, d: mixing.mix_rows(table(s, d, "documents")),
+        "op6_jaccard": lambda s, d: jaccard.join_rows(table(s, d, "documents")),
+        "op7_licences": lambda s, d: licences.licence_rows(table(s, d, "documents")),
         "op8_packing": lambda s, d: packing.pack_documents(table(s, d, "documents")),
+        "op10_neighbours": lambda s, d: ann.neighbours(table(s, d, "embeddings")),
     }
 
 
