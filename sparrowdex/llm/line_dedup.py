@@ -126,7 +126,7 @@ def drop_repeated_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_
     by = runs.groupBy("_k", "_th").agg(F.collect_list(F.struct("_inst", "runs")).alias("_all"))
     body = F.coalesce(F.col(text), F.lit(""))
     wide = docs.drop("removed_lines").withColumns({"_k": _key(key), "_th": F.xxhash64(body)})
-    wide = wide.join(by, ["_k", "_th"], "left")
+    wide = wide.join(by.hint("merge"), ["_k", "_th"], "left")  # the same plan at every size
     if recur:
         wide = wide.withColumn("_inst", F.row_number().over(Window.partitionBy("_k", "_th").orderBy(F.lit(0))))
     else:
