@@ -1,15 +1,64 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: toxic documents out, repeated lines out, one document of each near-duplicate group, a mix by source, packed windows.
+
+Every stage takes (spark, docs, sf_dir) and returns a table that is written and read again as the next one's docs. All but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
-from sparrowdex.llm import packing
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparrowdex.llm import common, jaccard, line_dedup, mixing, packing, toxicity
+from sparrowdex.session import ship
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels, does not reject."""
+    ship(spark)
+    model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model).filter("predicted = 0").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the runs of lines that occur earlier; n_chars follows the text."""
+    ship(spark)
+    out = line_dedup.drop_repeated_lines(docs)
+    cut = F.size("removed_lines") > 0
+    return out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group."""
+    ship(spark)
+    return jaccard.keep_one(docs).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as many times as the mix takes them."""
+    ship(spark)
+    return mixing.take(docs)
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in windows of tokens."""
+    ship(spark)
+    return packing.pack_documents(docs)
+
 
-STAGES = [("packing", lambda spark, docs, sf_dir: packing.pack_documents(docs))]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("jaccard", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack_tokens),
+]
+#: SQL can't express the classifier, the sampling or the packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    out = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, f in STAGES:
-        out = f(spark, out, sf_dir)
-    return out
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -116,20 +116,17 @@ def settle(pi: np.ndarray, sizes: np.ndarray, last: bool) -> np.ndarray:
     return landing(p, sizes) if last else p
 
 
-def mix(docs: DataFrame, *, text: str = "text", size: str | None = None, source: str = "source", key: str = "doc_id", group_rows: int = GROUP_ROWS, fan_in: int = FAN_IN) -> DataFrame:
-    """Adds to every row its size, source_size, target and copies, the number of times that the mix takes it.
+def decide(sized: DataFrame, *, source: str = "source", key: str = "doc_id", group_rows: int = GROUP_ROWS, fan_in: int = FAN_IN) -> DataFrame:
+    """Adds to rows with a size their source_size, target and copies, the number of times that the mix takes them.
 
     A source with rate r = target / source_size takes each row floor(r) times, and once more by balanced
     sampling with probability r - floor(r). The flight phase runs in groups dealt by a hash of the rows, so a
     large source is spread over all groups; the few rows that a group leaves open for each source meet in the next round,
     until one group for each source is left and lands. ``copies`` never exceeds ``CAP``.
 
-    Nulls: a null text has size 0 (it is in its source at the source's rate); a null source is a source of its own, last in order.
-    Equal rows are separate rows. An empty table, or one without words, takes nothing: targets are 0. Reruns agree, as
-    groups, order and tosses follow from the rows alone. Other columns pass through; clashing names are replaced.
+    A null source is a source of its own, last in order. Reruns agree, as groups, order and tosses follow from the rows alone. The rows
+    pass through Python, so they should be narrow.
     """
-    docs = docs.drop("source_size", "target", "place", "copies")
-    sized = docs.withColumn("size", word_count(F.col(text)) if size is None else F.col(size))
     sizes = sized.groupBy(source).agg(F.sum("size").alias("source_size"))
     targets = common.written(source_targets(sizes, source=source), "targets")
     matched = sized.alias("d").join(targets.withColumnRenamed(source, "_s").alias("t"), F.col(f"d.{source}").eqNullSafe(F.col("t._s")), "left").drop("_s")
@@ -140,7 +137,7 @@ def mix(docs: DataFrame, *, text: str = "text", size: str | None = None, source:
         .withColumn("_pi", F.greatest(F.col("_rate") - F.col("copies"), F.lit(0.0)))
         .drop("_rate")
     )
-    rows = docs.count()
+    rows = sized.count()
     groups = max(1, -(-rows // group_rows))
     ready = ready.withColumn("_k", F.xxhash64(F.col(key), F.col("size"), F.lit("flight"))).withColumn("_g", F.pmod(F.col("_k"), F.lit(groups)).cast("long"))
 
@@ -167,7 +164,33 @@ def mix(docs: DataFrame, *, text: str = "text", size: str | None = None, source:
     return out.withColumn("copies", F.col("copies") + F.col("_pi").cast("long")).drop("_pi", "_k", "_g", "place")
 
 
+def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id", group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Adds size, source_size, target and copies (see ``decide``) to documents; only keys and sizes pass through the sampling.
+
+    A null text has size 0 and is taken at its source's rate. Equal rows are separate rows, though which of them is taken makes no difference. An empty
+    table, or one without words, takes nothing: targets are 0. Other columns pass through; columns named like the added ones are replaced.
+    """
+    docs = docs.drop("size", "source_size", "target", "copies")
+    row = F.xxhash64(F.col(key), F.col(source), F.col(source).isNull(), F.col(text))
+    narrow = docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), word_count(F.col(text)).alias("size"), row.alias("_row"))
+    decided = decide(narrow, source="_source", key="_row", group_rows=group_rows)
+    by_row = decided.groupBy("_row").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("size").alias("size"), F.sort_array(F.collect_list("copies")).alias("_copies"))
+    by_row = common.written(by_row, "copies")
+    out = docs.withColumn("_row", row).join(by_row, "_row")
+    if by_row.filter(F.size("_copies") > 1).take(1):
+        out = out.withColumn("_n", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0))))
+    else:
+        out = out.withColumn("_n", F.lit(1))
+    return out.withColumn("copies", F.get("_copies", F.col("_n") - 1)).select(*docs.columns, "size", "source_size", "target", "copies")
+
+
+def take(docs: DataFrame, **names: str) -> DataFrame:
+    """The mix itself: every row as many times as it is taken."""
+    mixed = mix(docs, **names)
+    return mixed.withColumn("_take", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+
+
 def mix_rows(docs: DataFrame) -> DataFrame:
-    """The digest of ``mix``: what the mix takes of each document, in words."""
+    """The digest of ``decide``: what the mix takes of each document, in words."""
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return mix(sized, size="size").select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return decide(sized).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, jaccard, licences, line_dedup, mixing, packing, sharding, toxicity, warc
+from . import ann, jaccard, licences, line_dedup, media, mixing, packing, sharding, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op6_jaccard": lambda s, d: jaccard.join_rows(table(s, d, "documents")),
         "op7_licences": lambda s, d: licences.licence_rows(table(s, d, "documents")),
         "op8_packing": lambda s, d: packing.pack_documents(table(s, d, "documents")),
+        "op9_media": lambda s, d: media.copy_rows(table(s, d, "embeddings")),
         "op10_neighbours": lambda s, d: ann.neighbours(table(s, d, "embeddings")),
     }
 
