@@ -92,13 +92,10 @@ def test_line_dedup(spark):
     short = prose(12, rng)
     rows = []
     for i in range(80):
-        lines = [prose(rng.choice([3, 8, 20, 40]), rng) for _ in range(rng.randint(0, 6))]
-        for _ in range(rng.randint(0, 2)):
-            k = rng.randint(0, len(lines))
-            lines[k:k] = rng.choice(passages)
-        if rng.random() < 0.3:
-            lines.insert(rng.randint(0, len(lines)), rng.choice(["", short]))
-        rows.append((i, "\n".join(lines)))
+        blocks = [[prose(rng.choice([3, 8, 20, 40]), rng)] for _ in range(rng.randint(0, 6))]
+        blocks += [rng.choice(passages) for _ in range(rng.randint(0, 2))] + [[rng.choice(["", short])]] * (rng.random() < 0.3)
+        rng.shuffle(blocks)
+        rows.append((i, "\n".join(x for b in blocks for x in b)))
     rows += [(None, rows[5][1]), (7, rows[7][1]), (100, None), (101, ""), (102, "\n".join(["a b"] * 100)), (103, prose(40_000, rng))]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, removed_lines string")
     out = line_dedup.drop_repeated_lines(docs).collect()
@@ -124,7 +121,7 @@ def test_line_dedup(spark):
             assert words >= line_dedup.GRAM_WORDS
             assert all(x in every or raw.index(x) < run["s"] for x in raw[run["s"] : run["e"] + 1] if x.strip())
         every |= set(lines_of(full))
-    assert kept.count(short) == sum((t or "").count(short) for _, t in rows if True) - sum((t or "").count(short) for i, t in rows[80:82]) + 0 or kept.count(short) > 0
+    assert kept.count(short) > 5  # too short to be a run by itself
     assert line_dedup.drop_repeated_lines(docs.limit(0)).count() == 0
 
 
