@@ -17,7 +17,7 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999999
 #: Coordinates of the embedding, a bucket's size up to which it isn't split further, splits at most, rows of a block of a large leaf.
 COORDINATES, BUCKET, DEPTH, BLOCK = 40, 96, 4, 1024
 #: Words that a worker's cache of word hashes holds before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -252,24 +252,23 @@ def _verified(docs: DataFrame, text: str, words: int, sets: DataFrame, small: Da
     cut = large.select("leaf", "s1", "s2", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     many = cut.select("leaf", "s1", "s2", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     members = common.written(few.unionByName(many), "members")
-    lists = members.groupBy("s1", "s2").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
-    wanted = common.written(sets.join(lists, ["s1", "s2"]).select("s1", "s2", "first", "texts", "leaves"), "wanted")
+    lists = members.groupBy("s1", "s2").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"), F.collect_list(F.struct("leaf", "p", "q", "side")).alias("parts"))
+    wanted = sets.join(lists, ["s1", "s2"]).select(F.col("first._k").alias("_k"), F.col("first._th").alias("_th"), "s1", "s2", "texts", "leaves", "parts")
+    wanted = common.written(wanted, "wanted")
+    columns = ["s1", "s2", "texts", "leaves", "parts"]
 
     # the sets themselves, made again for the texts that have met another
     def grams(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                found = [shingles(t, words) for t in batch.column("_text").to_pylist()]
-                signs = [_signature(g) for g in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s[0] for s in signs], pa.int64()), pa.array([s[1] for s in signs], pa.int64()), pa.array([g.tobytes() for g in found], pa.binary())], names=["s1", "s2", "grams"]
-                )
+                found = [shingles(t, words).tobytes() for t in batch.column("_text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found, pa.binary())], names=[*columns, "grams"])
 
-    texts = docs.join(wanted.select(F.col("first._k").alias("_k"), F.col("first._th").alias("_th")).distinct(), ["_k", "_th"], "left_semi")
-    made = texts.select(F.col(text).alias("_text")).mapInArrow(grams, "s1 long, s2 long, grams binary")
-    made = common.written(made.join(wanted.select("s1", "s2", "texts", "leaves"), ["s1", "s2"]), "grams")
-    full = members.join(made, ["s1", "s2"])
+    # merged at every size: what is wanted grows with the input
+    texts = docs.select("_k", "_th", F.col(text).alias("_text")).join(wanted.hint("merge"), ["_k", "_th"]).select(*columns, "_text")
+    schema = "s1 long, s2 long, texts long, leaves array<long>, parts array<struct<leaf:long,p:int,q:int,side:int>>, grams binary"
+    full = texts.mapInArrow(grams, schema).withColumn("part", F.explode("parts")).select("part.leaf", "part.p", "part.q", "part.side", "s1", "s2", "texts", "leaves", "grams")
 
     def brute(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["s1", "s2"]).sort_values(["s1", "s2"]).reset_index(drop=True)  # equal rows of documents give their set twice
