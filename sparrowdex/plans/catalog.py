@@ -1,19 +1,592 @@
-"""Queries of the engine's own operators and their SQL."""
+"""Queries of the engine's own operators over the driver's tables, and the same in SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import patterns, text
+from ..operators import chunking, enrich, fulltext, fusion, graph, store, vector
+from ..streaming import jobs
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+#: The words that the full-text queries look for.
+WORDS = "the thin of and"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with the SQL that gives the same rows."""
+
+    def put(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to chunks, BM25 and vector arms over the chunks, fused, joined to their documents and numbered."""
+    from ..models import HashEmbedder
+    from ..operators import retrieval
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("title"), F.col("lang").alias("category"), F.col("text").alias("content"))
+    chunks = chunking.fixed_chunks(docs, key="document_id", content="content", size=800, overlap=200)
+    embedder = HashEmbedder(64)
+    chunks = chunks.withColumn("embedding", embedder.column(F.col("content")))
+    meta = docs.select("document_id", "title", F.array("category").alias("categories"))
+    return retrieval.retrieve(chunks, meta, WORDS, embedder=embedder, max_chunks=8).hits
+
+
+# -- vectors -----------------------------------------------------------------------------------------
+
+
+def _vectors(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings")
+
+
+def _vector_of(s: SparkSession, d: str, i: int) -> list[float]:
+    return list(_vectors(s, d).filter(F.col("vec_id") == i).select("embedding").head()[0])
+
+
+_Q0 = "(SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0)"
+_SIM = "list_cosine_similarity(e.embedding::DOUBLE[], q.v)"
+_SIX = lambda: F.round("similarity", 6).alias("similarity")
+
+
+@query(f"SELECT e.vec_id, round({_SIM}, 6) AS similarity FROM embeddings e, {_Q0} q ORDER BY {_SIM} DESC, e.vec_id LIMIT 10")
+def vec_topk(s, d):
+    return vector.top_k(_vectors(s, d), _vector_of(s, d, 0), 10, key="vec_id").select("vec_id", _SIX())
+
+
+@query(f"SELECT e.vec_id, round({_SIM}, 6) AS similarity FROM embeddings e, {_Q0} q WHERE e.label IN (1, 2) ORDER BY {_SIM} DESC, e.vec_id LIMIT 10")
+def vec_topk_scoped(s, d):
+    scope = s.createDataFrame([(1,), (2,)], "label int")
+    return vector.top_k(_vectors(s, d), _vector_of(s, d, 0), 10, key="vec_id", scope=scope, scope_key="label").select("vec_id", _SIX())
+
+
+@query(f"SELECT * FROM (SELECT e.vec_id, round({_SIM}, 6) AS similarity FROM embeddings e, {_Q0} q ORDER BY {_SIM} DESC, e.vec_id LIMIT 10) WHERE similarity >= 0.3")
+def vec_threshold(s, d):
+    return vector.top_k(_vectors(s, d), _vector_of(s, d, 0), 10, key="vec_id", minimum=0.3).select("vec_id", _SIX())
+
+
+@query(f"SELECT vec_id, round(similarity, 6) AS similarity FROM (SELECT e.vec_id, e.label, {_SIM} AS similarity FROM embeddings e, {_Q0} q ORDER BY similarity DESC, e.vec_id LIMIT 20) WHERE label IN (1, 2)")
+def vec_limit_then_filter(s, d):
+    scope = s.createDataFrame([(1,), (2,)], "label int")
+    return vector.top_k(_vectors(s, d), _vector_of(s, d, 0), 20, key="vec_id", scope=scope, scope_key="label", late_scope=True).select("vec_id", _SIX())
+
+
+@query(
+    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS x
+    FROM embeddings q, embeddings e WHERE q.vec_id % 10 = 0 AND e.vec_id <> q.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, vec_id) AS k FROM s)
+    SELECT query_id, vec_id, round(x, 6) AS similarity, k::INT AS rank FROM r WHERE k <= 5"""
+)
+def vec_batch_topk(s, d):
+    rows = _vectors(s, d)
+    asked = rows.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vector.top_k_by_query(asked, rows, 5, skip_same=True).select("query_id", "vec_id", _SIX(), "rank")
+
+
+@query(
+    """WITH s AS (SELECT e.vec_id, max(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS x
+    FROM embeddings q, embeddings e WHERE q.vec_id IN (1, 2, 3) GROUP BY 1)
+    SELECT vec_id, round(x, 6) AS similarity FROM s ORDER BY x DESC, vec_id LIMIT 8"""
+)
+def vec_multi_union_max(s, d):
+    rows = _vectors(s, d)
+    asked = rows.filter("vec_id IN (1, 2, 3)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    hits = vector.top_k_by_query(asked, rows, 8).select("vec_id", "similarity")
+    return vector.union_of_variants(hits, 8, key="vec_id").select("vec_id", _SIX())
+
+
+@query()
+def ann_cells_topk(s, d):
+    celled, centres = vector.build_cells(_vectors(s, d), 10)
+    return vector.cell_top_k(celled, centres, _vector_of(s, d, 0), 10, key="vec_id", probes=4).select("vec_id", _SIX())
+
+
+@query(
+    "SELECT label AS model, count(*) AS chunks, label IS DISTINCT FROM 3 AS stale FROM embeddings GROUP BY label"
+)
+def embedding_drift(s, d):
+    return vector.drift(_vectors(s, d).withColumn("m", F.col("label").cast("string")), "3", "m").select(F.col("m").cast("int").alias("model"), "chunks", "stale")
+
+
+@query("SELECT DISTINCT vec_id % 50 AS document_id FROM embeddings WHERE label IS DISTINCT FROM 3")
+def stale_documents(s, d):
+    rows = _vectors(s, d).select((F.col("vec_id") % 50).alias("document_id"), F.col("label").cast("string").alias("embedding_model"))
+    return vector.stale_documents(rows, "3")
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm FROM embeddings")
+def vec_norms(s, d):
+    return vector.with_norm(_vectors(s, d)).select("vec_id", F.round("norm", 6).alias("norm"))
+
+
+# -- full text and fusion ----------------------------------------------------------------------------
+
+_BM25 = r"""
+t AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+|\p{Nd}+|\p{P}+') AS w FROM documents),
+l AS (SELECT doc_id, len(w) AS n FROM t WHERE len(w) > 0),
+g AS (SELECT count(*) AS docs, avg(n) AS mean FROM l),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM t) WHERE term IN ('the', 'thin', 'of', 'and') GROUP BY 1, 2),
+f AS (SELECT term, count(*) AS n FROM p GROUP BY 1),
+b AS (SELECT doc_id, round(sum(ln(1 + (docs - f.n + 0.5) / (f.n + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l.n / mean))), 10) AS score, count(*) AS met
+      FROM p JOIN f USING (term) JOIN l USING (doc_id), g GROUP BY 1)
+"""
+
+
+def _docs(s, d) -> DataFrame:
+    return table(s, d, "documents")
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM b WHERE met = 4 ORDER BY b.score DESC, doc_id LIMIT 20")
+def bm25_topk(s, d):
+    return fulltext.bm25(_docs(s, d), WORDS, 20, key="doc_id", content="text").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 20")
+def bm25_topk_any(s, d):
+    return fulltext.bm25(_docs(s, d), WORDS, 20, key="doc_id", content="text", operator="or").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def bm25_topk_stem(s, d):
+    return fulltext.bm25(_docs(s, d), "thing retitioning", 20, key="doc_id", content="text", operator="or", stem=True)
+
+
+@query(
+    r"""SELECT term, count(*) AS docs, sum(tf)::BIGINT AS total FROM (SELECT doc_id, term, count(*) AS tf FROM
+    (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+|\p{Nd}+|\p{P}+')) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1"""
+)
+def bm25_postings(s, d):
+    return fulltext.postings(_docs(s, d), key="doc_id", content="text").groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("total"))
+
+
+_LISTS = """
+a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 50),
+c AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE lang = 'en' QUALIFY rank <= 50)
+"""
+
+
+def _two_lists(s, d):
+    longest = lambda df: fusion.ranked(df.select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(50), F.desc("n_chars"), "doc_id")
+    return longest(_docs(s, d)), longest(_docs(s, d).filter("lang = 'en'"))
+
+
+@query(
+    f"""WITH {_LISTS}, u AS (SELECT doc_id, rank, 0 AS l FROM a UNION ALL SELECT doc_id, rank, 1 FROM c),
+    z AS (SELECT doc_id, round(sum(1.0 / (60 + rank)::DOUBLE), 12) AS x, count(*) AS lists, min(l * 1000 + rank) AS first FROM u GROUP BY 1)
+    SELECT doc_id, round(x, 9) AS rrf_score, lists, row_number() OVER (ORDER BY x DESC, first)::INT AS place FROM z QUALIFY place <= 30"""
+)
+def rrf_fuse(s, d):
+    return fusion.rrf(list(_two_lists(s, d)), 30, key="doc_id").select("doc_id", F.round("rrf_score", 9).alias("rrf_score"), F.size("sources").cast("long").alias("lists"), "place")
+
+
+@query(
+    f"""WITH {_LISTS}, j AS (SELECT coalesce(a.doc_id, c.doc_id) AS doc_id, a.rank AS vr, c.rank AS er FROM a FULL JOIN c ON a.doc_id = c.doc_id),
+    z AS (SELECT *, round(coalesce(0.7::DOUBLE / (60 + vr), 0) + coalesce(0.3::DOUBLE / (60 + er), 0), 12) AS x FROM j)
+    SELECT doc_id, round(x, 9) AS score, row_number() OVER (ORDER BY x DESC, coalesce(vr, 99999), coalesce(er, 99999), doc_id)::INT AS place FROM z QUALIFY place <= 20"""
+)
+def rrf_weighted(s, d):
+    a, c = _two_lists(s, d)
+    return fusion.weighted_rrf(a, c, a.limit(0), 20, key="doc_id").select("doc_id", F.round("score", 9).alias("score"), "place")
+
+
+@query(
+    f"""WITH {_BM25}, h AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM b WHERE met = 4 QUALIFY place <= 20),
+    j AS (SELECT h.*, source, lang FROM h JOIN documents USING (doc_id)), k AS (SELECT *, min(place) OVER (PARTITION BY source) AS first FROM j)
+    SELECT doc_id, round(score, 6) AS score, place::INT AS place, source, dense_rank() OVER (ORDER BY first)::INT AS source_no FROM k"""
+)
+def retrieve_context_bm25(s, d):
+    hits = fusion.ranked(fulltext.bm25(_docs(s, d), WORDS, 20, key="doc_id", content="text"), F.desc("score"), "doc_id", name="place")
+    rows = _docs(s, d).select("doc_id", F.col("source").alias("document_title"), F.lit(None).cast("string").alias("section")).join(F.broadcast(hits), "doc_id")
+    return fusion.number_sources(rows).select("doc_id", F.round("score", 6).alias("score"), "place", F.col("document_title").alias("source"), "source_no")
+
+
+@query(
+    """WITH t AS (SELECT doc_id, source, lang, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place FROM documents QUALIFY place <= 60),
+    k AS (SELECT *, min(place) OVER (PARTITION BY source, lang) AS first FROM t)
+    SELECT doc_id, place::INT AS place, dense_rank() OVER (ORDER BY first)::INT AS source_no FROM k"""
+)
+def source_numbering(s, d):
+    top = _docs(s, d).orderBy(F.desc("n_chars"), "doc_id").limit(60)
+    rows = fusion.ranked(top, F.desc("n_chars"), "doc_id", name="place").withColumnsRenamed({"source": "document_title", "lang": "section"})
+    return fusion.number_sources(rows).select("doc_id", "place", "source_no")
+
+
+@query(
+    """WITH a AS (SELECT conv_id, turn, conv_id + 1 AS rank FROM conversations WHERE turn = 2 AND conv_id < 20),
+    m AS (SELECT c.conv_id, c.turn, min(a.rank) AS g, bool_or(c.turn = a.turn) AS own FROM conversations c JOIN a ON c.conv_id = a.conv_id AND c.turn BETWEEN a.turn - 1 AND a.turn + 1 GROUP BY 1, 2)
+    SELECT conv_id, turn, row_number() OVER (ORDER BY g, conv_id, turn)::INT AS place, own AS is_anchor FROM m"""
+)
+def neighbor_window(s, d):
+    rows = table(s, d, "conversations").select("conv_id", "turn", "text")
+    anchors = rows.filter("turn = 2 AND conv_id < 20").select("conv_id", "turn", (F.col("conv_id") + 1).alias("rank"))
+    return fusion.neighbours(anchors, rows, 1, doc="conv_id", index="turn").select("conv_id", "turn", "place", "is_anchor")
+
+
+@query(
+    """SELECT conv_id, turn, coalesce(string_agg(text, ' | ' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), '') AS history FROM conversations"""
+)
+def last_six_turns(s, d):
+    return enrich.history(table(s, d, "conversations"), key="conv_id", order="turn", text="text")
+
+
+# -- text ----------------------------------------------------------------------------------------------
+
+
+def _entities(kind: str, rows: Callable, key: str, column: str):
+    def f(s, d):
+        return patterns.extract_entities(rows(s, d), key=key, text=column, types=[kind]).select(key, "name", F.round("confidence", 2).alias("confidence"))
+
+    return f
+
+
+def _entity_sql(source: str, key: str, column: str, confidence: float, *rules: str) -> str:
+    parts = " UNION ".join(f"SELECT {key}, trim(unnest(regexp_extract_all({column}, '{r}')), ' ' || chr(10) || chr(9)) AS name FROM {source}" for r in rules)
+    return f"SELECT DISTINCT {key}, name, {confidence} AS confidence FROM ({parts}) WHERE length(name) > 0"
+
+
+_pages = lambda s, d: table(s, d, "pages")
+for _name, _kind, _rows, _key, _col, _conf, _rules in [
+    ("entity_email", "Email", _docs, "doc_id", "text", 0.95, [r"\b[\w%+.-]+@[\d.A-Za-z-]+\.[A-Za-z]{2,}\b"]),
+    ("entity_url", "URL", _pages, "page_id", "url", 0.95, [r"https?://(?:www\.)?[\w#%+.:=@~-]{1,256}\.[\d()A-Za-z]{1,6}\b(?:[\w#%&()+./:=?@~-]*)"]),
+    ("entity_percent", "Number", _docs, "doc_id", "text", 0.9, [r"\b\d+(?:\.\d+)?%"]),
+    ("entity_phone", "Phone", _docs, "doc_id", "text", 0.7, [r"(?:\+?(?:\d{1,3}))?[ (.-]*(?:\d{3})[ ).-]*(?:\d{3})[ .-]*(?:\d{4})", r"\+?\d{1,3}[-.\s]?\(?\d{2,4}\)?[-.\s]?\d{3,4}[-.\s]?\d{3,4}"]),
+    ("entity_date", "Date", _docs, "doc_id", "text", 0.85, [r"(?:\d{1,2}[/-]){2}\d{2,4}", r"\d{4}(?:[/-]\d{1,2}){2}"]),
+    ("entity_currency", "Currency", _docs, "doc_id", "text", 0.9, [r"\$\s*[\d,]+(?:\.\d{2})?", r"(?i:USD)\s*[\d,]+(?:\.\d{2})?", r"€\s*[\d,]+(?:\.\d{2})?", r"(?i:EUR)\s*[\d,]+(?:\.\d{2})?", r"£\s*[\d,]+(?:\.\d{2})?", r"(?i:GBP)\s*[\d,]+(?:\.\d{2})?", r"(?i:Rp)\.?\s*[\d,.]+", r"(?i:IDR)\s*[\d,.]+"]),
+    ("entity_api", "API", _pages, "page_id", "url", 0.85, [r"/api/[\w/-]+"]),
+    ("entity_function", "Function", _pages, "page_id", "html", 0.7, [r"\b[A-Z_a-z]\w*\s*\(\)"]),
+    ("entity_error", "Error", _docs, "doc_id", "text", 0.8, [r"\b(?i:ERR|ERROR|E)[-_]?\d{3,5}\b"]),
+]:
+    _f = _entities(_kind, _rows, _key, _col)
+    _QUERIES[_name] = _f
+    _SQL[_name] = _entity_sql("pages" if _rows is _pages else "documents", _key, _col, _conf, *_rules)
+
+@query(r"SELECT doc_id, lower(w) AS name, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE regexp_matches(w, '^[A-Za-z]+ing$') GROUP BY 1, 2")
+def entity_counts(s, d):
+    words = _docs(s, d).select("doc_id", F.explode(F.split("text", " ")).alias("w")).filter(F.col("w").rlike("^[A-Za-z]+ing$"))
+    return words.groupBy("doc_id", F.lower("w").alias("name")).agg(F.count("*").alias("n"))
+
+
+_TURNS = """
+e AS (SELECT conv_id AS doc_id, role AS type, left(text, 3) AS name, ((turn * 7) % 10)::DOUBLE / 10 AS confidence, turn AS seq FROM conversations)
+"""
+
+
+def _turn_entities(s, d) -> DataFrame:
+    return table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("type"), F.substring("text", 1, 3).alias("name"), ((F.col("turn") * 7) % 10 / 10).alias("confidence"), F.col("turn").alias("seq"))
+
+
+@query(f"WITH {_TURNS} SELECT doc_id, type, name, confidence, seq FROM e QUALIFY row_number() OVER (PARTITION BY doc_id, type, lower(name) ORDER BY confidence DESC, seq) = 1")
+def entity_dedupe(s, d):
+    return patterns.dedupe_entities(_turn_entities(s, d))
+
+
+@query(
+    f"""WITH {_TURNS}, f AS (SELECT *, max(confidence) OVER (PARTITION BY doc_id, type, lower(trim(name))) AS best, row_number() OVER (PARTITION BY doc_id, type, lower(trim(name)) ORDER BY seq) AS k FROM e)
+    SELECT doc_id, type, name, best AS confidence, seq FROM f WHERE k = 1"""
+)
+def entity_merge_chunks(s, d):
+    return patterns.merge_entities(_turn_entities(s, d))
+
+
+@query(f"WITH {_TURNS} SELECT doc_id, string_agg(name, ',' ORDER BY confidence DESC, seq) AS entities FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, seq) <= 5) GROUP BY 1")
+def top_entities_per_doc(s, d):
+    return enrich.top_entities(_turn_entities(s, d), 5).select("doc_id", F.array_join(F.transform("entities", lambda x: x["name"]), ",").alias("entities"))
+
+
+_TAGS = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, {_TAGS} AS text FROM pages")
+def strip_html(s, d):
+    return _pages(s, d).select("page_id", text.strip_html(F.col("html")).alias("text"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
+def strip_xml(s, d):
+    return _pages(s, d).select("page_id", text.strip_xml(F.col("html")).alias("text"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[`*#>|_~\[\]()!\-]', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM documents")
+def normalise_markdown(s, d):
+    return _docs(s, d).select("doc_id", text.normalise_markdown(F.col("text")).alias("norm"))
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, text, len(list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) >= 10 AND len(regexp_extract_all(s, '\S\s{3,}\S')) >= 2)) AS columnar,
+    len(regexp_extract_all(text, '\$\s?[\d,]+(?:\.\d+)?')) AS currency FROM documents)
+    SELECT doc_id, columnar::INT AS columnar, currency::INT AS currency, NOT (text = '' OR length(text) < 300 OR columnar > 5 OR currency > 10) AS sufficient FROM l"""
+)
+def router_signals(s, d):
+    t = F.col("text")
+    return _docs(s, d).select("doc_id", text.columnar_lines(t).alias("columnar"), text.currency_matches(t).alias("currency"), text.text_layer_sufficient(t, F.lit(1)).alias("sufficient"))
+
+
+@query(r"SELECT doc_id, coalesce(length(regexp_replace(text, '\s+', '', 'g')) / 2 < 100, true) AS scanned FROM documents")
+def pdf_scanned(s, d):
+    return _docs(s, d).select("doc_id", text.pdf_scanned(F.col("text"), F.lit(2)).alias("scanned"))
+
+
+@query(
+    """WITH n AS (SELECT doc_id, text, unnest(generate_series(0, greatest(0, length(text) - 1) // 600)) AS i FROM documents)
+    SELECT doc_id, i::INT AS chunk_index, substr(text, (i * 600 + 1)::BIGINT, 800) AS content FROM n"""
+)
+def chunk_fixed_native(s, d):
+    return chunking.fixed_chunks(_docs(s, d), key="doc_id", content="text", size=800, overlap=200).select("doc_id", "chunk_index", "content")
+
+
+@query()
+def chunk_recursive(s, d):
+    return chunking.recursive_chunks(_docs(s, d), key="doc_id", content="text").select("doc_id", "chunk_index", "content")
+
+
+@query()
+def chunk_smart(s, d):
+    return chunking.smart_chunks(_docs(s, d), key="doc_id", content="text").select("doc_id", "chunk_index", "content", "chunk_type")
+
+
+@query()
+def chunk_for_model(s, d):
+    return chunking.model_chunks(_docs(s, d), key="doc_id", content="text", max_chars=4000)
+
+
+def _intent_sql() -> str:
+    rules = []
+    for kind, ps in text.INTENTS.items():
+        for p in ps:
+            guard = "turn > 1 AND length(q) < 80 AND " if kind == "followup" else ""
+            rules.append(f"WHEN {guard}regexp_matches(q, '(?i){p}') THEN '{kind}'")
+    return f"WITH c AS (SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS q FROM conversations) SELECT conv_id, turn, CASE WHEN q = '' THEN 'lookup' {' '.join(rules)} ELSE 'lookup' END AS intent FROM c"
+
+
+@query(_intent_sql())
+def intent_classify(s, d):
+    name, _ = text.intent(F.col("text"), F.col("turn"))
+    return table(s, d, "conversations").select("conv_id", "turn", name.alias("intent"))
+
+
+_LABELED = r"list_filter(list_transform(string_split_regex(text, '\n|\.\s|;\s'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) BETWEEN 8 AND 120)[1]"
+
+
+@query(f"SELECT doc_id, coalesce({_LABELED}, regexp_replace(substr(text, 1, 100), '^\\s+|\\s+$', '', 'g')) AS label FROM documents")
+def derive_label(s, d):
+    return _docs(s, d).select("doc_id", text.label_of(F.col("text")).alias("label"))
+
+
+@query(r"SELECT p_partkey, regexp_replace(regexp_replace(upper(p_name), '[^A-Z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') AS rel_type, 'd' || (p_partkey % 7)::VARCHAR || '_' || regexp_replace(lower(p_name), '[^a-z0-9]', '_', 'g') AS entity_id FROM part")
+def sanitise_ids(s, d):
+    return table(s, d, "part").select(
+        "p_partkey", text.relation_type(F.col("p_name")).alias("rel_type"), text.entity_id(F.concat(F.lit("d"), (F.col("p_partkey") % 7).cast("string")), F.col("p_name")).alias("entity_id")
+    )
+
+
+# -- documents, joins, DML -------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2')")
+def doc_scope_filter(s, d):
+    docs = _docs(s, d).select(F.col("doc_id").alias("id"), F.lit("t").alias("tenant_id"), F.array("lang").alias("categories"), F.lit(None).cast("timestamp").alias("deleted_at"), "source")
+    groups = docs.select(F.col("id").alias("document_id"), F.col("source").alias("knowledge_base_id"))
+    return store.alive(docs, "t", category="en", groups=["src1", "src2"], document_groups=groups).select(F.col("id").alias("doc_id"))
+
+
+@query("SELECT d.doc_id, d.lang FROM documents d SEMI JOIN labels l ON d.doc_id = l.doc_id")
+def left_semi_scope(s, d):
+    return _docs(s, d).join(table(s, d, "labels"), "doc_id", "left_semi").select("doc_id", "lang")
+
+
+@query("SELECT d.doc_id, d.lang FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id")
+def anti_leak(s, d):
+    return _docs(s, d).join(table(s, d, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
+
+
+@query("SELECT n_name AS name, count(c_custkey) AS documents FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_mktsegment = 'BUILDING' GROUP BY 1 ORDER BY 1")
+def kb_doc_counts(s, d):
+    bases = table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    members = table(s, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_nationkey").alias("knowledge_base_id"), F.col("c_custkey").alias("document_id"))
+    return store.knowledge_bases(bases, members).select("name", "documents")
+
+
+@query("SELECT d.doc_id, count(c.turn) AS chunks FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id GROUP BY 1")
+def doc_chunk_counts(s, d):
+    docs = _docs(s, d).select(F.col("doc_id").alias("id"))
+    chunks = table(s, d, "conversations").select(F.col("conv_id").alias("document_id"))
+    return store.chunk_counts(docs, chunks).select(F.col("id").alias("doc_id"), "chunks")
+
+
+@query("SELECT doc_id, hits FROM (SELECT doc_id, count(*) AS hits FROM (SELECT DISTINCT user_id AS doc_id, date_trunc('hour', ts) AS h FROM events) GROUP BY 1)")
+def retrieval_hits(s, d):
+    hits = table(s, d, "events").select(F.col("user_id").alias("doc_id"), F.date_trunc("hour", "ts").alias("retrieval_id"))
+    return store.count_hits(hits, key="doc_id").select("doc_id", F.col("retrieval_hits").alias("hits"))
+
+
+@query("SELECT user_id AS id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
+def upsert_last_wins(s, d):
+    rows = table(s, d, "events").select(F.col("user_id").alias("id"), "event_id", "event_type", "ts")
+    return store.upsert(rows.limit(0), rows, key="id", order=("ts", "event_id")).select("id", "event_id", "event_type")
+
+
+@query("SELECT l.doc_id, l.quality FROM labels l ANTI JOIN (SELECT doc_id FROM documents WHERE lang = 'de') x ON l.doc_id = x.doc_id")
+def delete_by_document(s, d):
+    gone = _docs(s, d).filter("lang = 'de'").select("doc_id")
+    return store.delete_rows(table(s, d, "labels"), gone, key="doc_id").select("doc_id", "quality")
+
+
+@query(
+    """SELECT p.p_partkey, d.doc_id FROM part p, documents d WHERE p.p_partkey % 20 = 0 AND d.doc_id % 25 = 0 AND contains(lower(d.text), lower(left(split_part(p.p_name, ' ', 1), 4)))"""
+)
+def near_entities_theta(s, d):
+    names = table(s, d, "part").filter("p_partkey % 20 = 0").select("p_partkey", F.substring(F.split("p_name", " ")[0], 1, 4).alias("name"))
+    docs = _docs(s, d).filter("doc_id % 25 = 0").select("doc_id", "text")
+    return enrich.names_in_text(names, docs, name="name", text="text").select("p_partkey", "doc_id")
+
+
+# -- graph -----------------------------------------------------------------------------------------------
+
+_EDGES = "e AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'IN' AS rel_type FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'IN' FROM supplier)"
+
+
+def _edges(s, d) -> DataFrame:
+    tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    a = table(s, d, "nation").select(tag("n", "n_nationkey").alias("src"), tag("r", "n_regionkey").alias("dst"), F.lit("IN").alias("rel_type"))
+    return a.unionByName(table(s, d, "supplier").select(tag("s", "s_suppkey").alias("src"), tag("n", "s_nationkey").alias("dst"), F.lit("IN").alias("rel_type")))
+
+
+@query(f"WITH {_EDGES} SELECT DISTINCT a.src AS start, b.dst AS node FROM e a JOIN e b ON a.dst = b.src WHERE a.src LIKE 's%'")
+def graph_two_hop(s, d):
+    edges = _edges(s, d)
+    starts = edges.filter("src LIKE 's%'").select(F.col("src").alias("start")).distinct()
+    return graph.traverse(edges, starts, depth=2, direction="out").select("start", "node")
+
+
+@query(f"WITH {_EDGES} SELECT 'out' AS direction, dst AS node FROM e WHERE src = 'n3' UNION SELECT 'in', src FROM e WHERE dst = 'n3'")
+def graph_related(s, d):
+    return graph.related(_edges(s, d), "n3", limit=10_000).select("direction", "node").distinct()
+
+
+# -- jobs and progress ------------------------------------------------------------------------------------
+
+_JOBS = """
+j AS (SELECT event_id AS id, ts AS created_at, ts + INTERVAL 2 MINUTE AS updated_at, (event_id % 4)::INT AS attempt,
+  CASE event_id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'failed' WHEN 3 THEN 'success' ELSE 'processing' END AS status, user_id AS document_id,
+  CASE WHEN event_id % 3 > 0 THEN 'k' || event_id END AS blob_key FROM events),
+n AS (SELECT max(created_at) AS now FROM j)
+"""
+
+
+def _jobs(s, d):
+    e = table(s, d, "events")
+    rows = e.select(
+        F.col("event_id").alias("id"),
+        F.col("ts").alias("created_at"),
+        (F.col("ts") + F.expr("INTERVAL 2 MINUTES")).alias("updated_at"),
+        (F.col("event_id") % 4).cast("int").alias("attempt"),
+        F.element_at(F.array(*[F.lit(x) for x in ("pending", "processing", "failed", "success", "processing")]), (F.col("event_id") % 5 + 1).cast("int")).alias("status"),
+        F.col("user_id").alias("document_id"),
+        F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("k"), F.col("event_id").cast("string"))).alias("blob_key"),
+    )
+    return rows, e.agg(F.max("ts")).head()[0]
+
+
+@query(f"WITH {_JOBS} SELECT id, 'processing' AS status FROM j WHERE status = 'pending' ORDER BY created_at, id LIMIT 5")
+def job_claim(s, d):
+    rows, now = _jobs(s, d)
+    return jobs.claim(rows, 5, now).select("id", "status")
+
+
+@query(
+    f"""WITH {_JOBS} SELECT id, CASE WHEN attempt + 1 >= 3 THEN 'failed' ELSE 'pending' END AS status, attempt + 1 AS attempt FROM j, n
+    WHERE status = 'processing' AND updated_at < now - INTERVAL 5 MINUTE"""
+)
+def job_reclaim(s, d):
+    rows, now = _jobs(s, d)
+    return jobs.reclaim(rows, now).filter("changed").select("id", "status", "attempt")
+
+
+@query(f"WITH {_JOBS} SELECT id FROM j, n WHERE status = 'failed' AND blob_key IS NOT NULL AND updated_at < now - INTERVAL 7 DAY ORDER BY updated_at, id LIMIT 100")
+def job_reap(s, d):
+    rows, now = _jobs(s, d)
+    return jobs.reapable(rows, now).select("id")
+
+
+_STEP = "CASE event_id % 8 WHEN 0 THEN 'queued' WHEN 1 THEN 'extracting' WHEN 2 THEN 'chunking' WHEN 3 THEN 'entities' WHEN 4 THEN 'figures' WHEN 5 THEN 'embedding' WHEN 6 THEN 'storing' ELSE 'done' END"
+_COST = {k: (f"CASE WHEN {k[0]} THEN {c} ELSE 0 END" if k in ("entities", "figures") else str(c)) for k, c in text.STEPS.items()}
+_BEFORE = " ".join(f"WHEN '{k}' THEN {' + '.join(list(_COST.values())[:i]) or '0'}" for i, k in enumerate(text.STEPS))
+
+
+@query(
+    f"""WITH p AS (SELECT event_id, {_STEP} AS step, event_id % 5 AS cur, 4 AS tot, event_id % 2 = 0 AS e, event_id % 3 = 0 AS f FROM events),
+    q AS (SELECT *, CASE step {_BEFORE} END AS before, CASE step {' '.join(f"WHEN '{k}' THEN {c}" for k, c in _COST.items())} END AS own, {' + '.join(_COST.values())} AS total FROM p)
+    SELECT event_id, CASE WHEN step = 'done' THEN 100 ELSE least(99, greatest(0, floor((before + own * (cur::DOUBLE / tot)) * 100 / total + 0.5)))::INT END AS percent FROM q"""
+)
+def progress_pct(s, d):
+    step = F.element_at(F.array(*[F.lit(x) for x in text.STEPS]), (F.col("event_id") % 8 + 1).cast("int"))
+    value = text.progress(step, F.col("event_id") % 5, F.lit(4), F.col("event_id") % 2 == 0, F.col("event_id") % 3 == 0)
+    return table(s, d, "events").select("event_id", value.alias("percent"))
+
+
+@query()
+def throttle_emits(s, d):
+    e = table(s, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("step"), "ts", F.col("event_id").alias("seq"))
+    return jobs.throttle(e, milliseconds=900)
+
+
+@query(
+    """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"""
+)
+def events_windowed(s, d):
+    e = table(s, d, "events")
+    return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+
+
+# -- pages and figures -------------------------------------------------------------------------------------
+
+_ACC = """
+r AS (SELECT conv_id, turn, text, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations)
+"""
+
+
+@query(f"WITH {_ACC} SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS page_text FROM r WHERE before - 1 < 120 GROUP BY 1")
+def page_text(s, d):
+    return enrich.page_text(table(s, d, "conversations"), page="conv_id", order="turn", content="text", limit=120).select("conv_id", "page_text")
+
+
+@query(
+    """SELECT c.conv_id, coalesce(nullif(a.text, ''), nullif(b.text, ''), nullif(p.text, ''), '') AS context FROM (SELECT DISTINCT conv_id FROM conversations) c
+    LEFT JOIN (SELECT * FROM conversations WHERE turn = 5) a ON a.conv_id = c.conv_id LEFT JOIN (SELECT * FROM conversations WHERE turn = 5) b ON b.conv_id = c.conv_id + 1
+    LEFT JOIN (SELECT * FROM conversations WHERE turn = 5) p ON p.conv_id = c.conv_id - 1"""
+)
+def figure_page_context(s, d):
+    conv = table(s, d, "conversations")
+    texts = conv.filter("turn = 5").select(F.col("conv_id").alias("page"), F.col("text").alias("page_text"))
+    figures = conv.select(F.col("conv_id").alias("page")).distinct()
+    return enrich.figure_context(figures, texts).select(F.col("page").alias("conv_id"), "context")
+
+
+@query()
+def assign_pages(s, d):
+    conv = table(s, d, "conversations")
+    chunks = conv.select(F.col("conv_id").alias("document_id"), F.col("turn").cast("int").alias("chunk_index"), F.substring("text", 1, 60).alias("content"), F.lit(None).cast("int").alias("page"))
+    blocks = conv.select(F.col("conv_id").alias("document_id"), F.col("turn").cast("int").alias("page"), "text")
+    return enrich.assign_pages(chunks, blocks)
