@@ -160,40 +160,33 @@ def _leaves(sets: DataFrame, runs: int) -> tuple[DataFrame, DataFrame]:
     return common.written(members.groupBy("ids").agg(F.min("node").alias("leaf")), "leaves"), common.written(many.select(F.col("node").alias("leaf"), "c", "s1", "s2"), "large-leaves")
 
 
-def similar_in(sets: list[np.ndarray], similarity: float, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a < b, or a before and b from ``split``) of sets with at least that similarity, by exact counts of shared elements."""
+def similar_in(sets: list[np.ndarray], similarity: float, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the wanted pairs (a matrix, True at a, b) those of sets with at least that similarity, by exact counts of shared elements.
+
+    Elements that only one of the sets has can't be shared; the others are bits, and a pair's count is that of the bits of both.
+    """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     rows = np.repeat(np.arange(n), sizes)
     _, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     keep = df[code] > 1
     rows, code = rows[keep], code[keep]
+    if not len(code):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     _, code = np.unique(code, return_inverse=True)
-    order = np.argsort(code, kind="stable")
-    rows, code = rows[order], code[order]
-    left = slice(0, n if split is None else split)
-    right = slice(0 if split is None else split, n)
-    both = np.zeros((len(range(n)[left]), len(range(n)[right])), np.float32)
-    width = 2048
-    top = int(code[-1]) + 1 if len(code) else 0
-    cuts = np.searchsorted(code, np.arange(0, top + width, width))
-    for i in range(len(cuts) - 1):
-        part = slice(cuts[i], cuts[i + 1])
-        held = np.unique(rows[part])
-        if split is None and len(held) < n // 2:  # only a few sets have these elements
-            at = np.searchsorted(held, rows[part])
-            hit = np.zeros((len(held), width), np.float32)
-            hit[at, code[part] - i * width] = 1
-            both[np.ix_(held, held)] += hit @ hit.T
-        else:
-            hit = np.zeros((n, width), np.float32)
-            hit[rows[part], code[part] - i * width] = 1
-            both += hit[left] @ hit[right].T
-    union = sizes[left][:, None] + sizes[right][None, :] - both
-    ok = both >= similarity * union - 1e-6
-    ok &= both > 0
-    a, b = np.nonzero(np.triu(ok, 1) if split is None else ok)
-    return a, b + (0 if split is None else split)
+    bits = np.zeros((n, int(code.max()) // 64 + 1), np.uint64)
+    np.bitwise_or.at(bits, (rows, code >> 6), np.uint64(1) << (code & 63).astype(np.uint64))
+    able = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    # the smaller one's shareable elements must do
+    fair = wanted & (np.minimum(able[:, None], able[None, :]) >= similarity * np.maximum(sizes[:, None], sizes[None, :]) - 1e-6)
+    a, b = np.nonzero(fair)
+    ok = np.zeros(len(a), bool)
+    step = max(256, (1 << 21) // bits.shape[1])
+    for at in range(0, len(a), step):
+        x, y = a[at : at + step], b[at : at + step]
+        both = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64)
+        ok[at : at + step] = (both >= similarity * (sizes[x] + sizes[y] - both) - 1e-6) & (both > 0)
+    return a[ok], b[ok]
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -211,36 +204,30 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def join_within(leaf: int, ids: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], lists: list, side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def join_within(leaf: int, weights: np.ndarray, sets: list[np.ndarray], lists: list, side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Links that this leaf counts for each member, and each member's root here.
 
-    A pair that meets in several leaves is counted in the least of them: the members' lists of leaves tell which. side parts the members if
+    A pair that meets in several leaves is compared in the least of them: the members' lists of leaves tell which. side parts the members if
     this is a pair of blocks of one leaf (0 and 1); the pairs within a block are another task's.
     """
-    order = np.argsort(side, kind="stable")
-    split = int((side == 0).sum()) if (side == 1).any() else None
-    a, b = similar_in([sets[i] for i in order], similarity, split)
-    n = len(ids)
-    links = np.zeros(n, np.int64)
-    if not len(a):
-        return links, np.arange(n)
-    a, b = order[a], order[b]
+    n = len(sets)
+    wanted = np.triu(np.ones((n, n), bool), 1)
+    if (side == 1).any():
+        wanted &= side[:, None] != side[None, :]
     known = [np.asarray(x, np.int64) for x in lists]
-    flat = np.concatenate(known)
-    rows = np.repeat(np.arange(n), [len(x) for x in known])
-    earlier = flat < leaf
-    counted = np.ones(len(a), bool)
-    if earlier.any():
-        vals, code = np.unique(flat[earlier], return_inverse=True)
-        member = np.zeros((n, len(vals)), np.float32)
-        member[rows[earlier], code] = 1
-        for at in range(0, len(a), 100_000):
-            p = slice(at, at + 100_000)
-            counted[p] = ~np.any((member[a[p]] * member[b[p]]) > 0, axis=1) if len(vals) <= 64 else True
-        if len(vals) > 64:
-            counted = (member @ member.T)[a, b] == 0
-    np.add.at(links, a[counted], weights[b[counted]])
-    np.add.at(links, b[counted], weights[a[counted]])
+    flat, rows = np.concatenate(known), np.repeat(np.arange(n), [len(x) for x in known])
+    flat, rows = flat[flat < leaf], rows[flat < leaf]
+    if len(flat):
+        _, code, held = np.unique(flat, return_inverse=True, return_counts=True)
+        rows, code = rows[held[code] > 1], code[held[code] > 1]
+        _, code = np.unique(code, return_inverse=True)
+        member = np.zeros((n, int(code.max(initial=-1)) + 1), np.float32)
+        member[rows, code] = 1
+        wanted &= (member @ member.T) == 0
+    a, b = similar_in(sets, similarity, wanted)
+    links = np.zeros(n, np.int64)
+    np.add.at(links, a, weights[b])
+    np.add.at(links, b, weights[a])
     return links, _roots(n, a, b)
 
 
@@ -273,7 +260,7 @@ def _verified(docs: DataFrame, text: str, words: int, sets: DataFrame, small: Da
     def brute(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["s1", "s2"]).sort_values(["s1", "s2"]).reset_index(drop=True)  # equal rows of documents give their set twice
         sets_here = [np.frombuffer(g, np.uint64) for g in pdf["grams"]]
-        links, root = join_within(key[0], pdf.index.to_numpy(), pdf["texts"].to_numpy(), sets_here, list(pdf["leaves"]), pdf["side"].to_numpy(), similarity)
+        links, root = join_within(key[0], pdf["texts"].to_numpy(), sets_here, list(pdf["leaves"]), pdf["side"].to_numpy(), similarity)
         return pd.DataFrame({"s1": pdf["s1"], "s2": pdf["s2"], "links": links, "r1": pdf["s1"].to_numpy()[root], "r2": pdf["s2"].to_numpy()[root]})
 
     out = full.groupBy("leaf", "p", "q").applyInPandas(brute, "s1 long, s2 long, links long, r1 long, r2 long")

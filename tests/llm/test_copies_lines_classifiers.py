@@ -75,10 +75,14 @@ def test_similar_in_blocks():
     base = np.unique(rng.integers(0, 1 << 60, 3000).astype(np.uint64))
     sets = [np.unique(np.where(rng.random(len(base)) < 0.9, base, rng.integers(0, 1 << 60, len(base)).astype(np.uint64))) for _ in range(20)] + [base[:5]]
     want = {(i, j) for i in range(21) for j in range(i + 1, 21) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
-    a, b = jaccard.similar_in(sets, 0.8)
+    a, b = jaccard.similar_in(sets, 0.8, np.triu(np.ones((21, 21), bool), 1))
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
-    a, b = jaccard.similar_in(sets, 0.8, 9)
-    assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(i, j) for i, j in want if i < 9 <= j}
+    side = (np.arange(21) >= 9).astype(int)
+    links, root = jaccard.join_within(5, np.ones(21, int), sets, [[5]] * 21, side, 0.8)
+    assert links.sum() == 2 * len([1 for i, j in want if i < 9 <= j])
+    # pairs that share a lesser leaf are compared there
+    links, _ = jaccard.join_within(5, np.ones(21, int), sets, [[3, 5] if i < 10 else [5] for i in range(21)], np.zeros(21, int), 0.8)
+    assert links.sum() == 2 * len([1 for i, j in want if not (i < 10 and j < 10)])
 
 
 def test_runs_reach_recall():
