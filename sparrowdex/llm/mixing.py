@@ -13,7 +13,7 @@ WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
 #: Rows that one group of the flight phase holds, and groups whose open rows meet in the next round.
 GROUP_ROWS, FAN_IN = 16384, 64
-#: Small rows of each source that the flight leaves to the landing, so that its rounding costs next to nothing.
+#: Rows of each source, of falling sizes, that the flight leaves to the landing, so that its rounding costs next to nothing.
 HELD = 10
 EPS = 1e-9
 
@@ -106,12 +106,24 @@ def landing(pi: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return p
 
 
+def _held(ascending: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Up to ``HELD`` of the rows, each about half as large as the one before: sums of them come near any rest."""
+    left = list(ascending)
+    out, goal = [], float(sizes[ascending[-1]]) / 2 if len(ascending) else 0.0
+    while left and len(out) < HELD:
+        at = min(int(np.searchsorted(sizes[left], goal)), len(left) - 1)
+        if at and goal - sizes[left[at - 1]] < sizes[left[at]] - goal:
+            at -= 1
+        out.append(left.pop(at))
+        goal /= 2
+    return np.array(out, dtype=np.int64)
+
+
 def settle(pi: np.ndarray, sizes: np.ndarray, last: bool) -> np.ndarray:
-    """One round for one source: the flight of all rows but the smallest, which are kept for the landing."""
+    """One round for one source: the flight of all rows but a few, of falling sizes, which are kept for the landing."""
     p = pi.copy()
     rows = np.flatnonzero((p > 0) & (p < 1))
-    small = rows[np.argsort(sizes[rows], kind="stable")[:HELD]]
-    rest = np.setdiff1d(rows, small)
+    rest = np.setdiff1d(rows, _held(rows[np.argsort(sizes[rows], kind="stable")], sizes))
     p[rest] = flight(p[rest], sizes[rest])
     return landing(p, sizes) if last else p
 
