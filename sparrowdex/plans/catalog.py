@@ -590,3 +590,135 @@ def assign_pages(s, d):
     chunks = conv.select(F.col("conv_id").alias("document_id"), F.col("turn").cast("int").alias("chunk_index"), F.substring("text", 1, 60).alias("content"), F.lit(None).cast("int").alias("page"))
     blocks = conv.select(F.col("conv_id").alias("document_id"), F.col("turn").cast("int").alias("page"), "text")
     return enrich.assign_pages(chunks, blocks)
+
+
+# -- files, policies and tables -----------------------------------------------------------------------------
+
+_FILE = "'f' || p_partkey || (['.pdf', '.MD', '.xlsx', '.py', '.png', '.glb', '.docx', '.exe', '.yaml', ''])[p_partkey % 10 + 1]"
+_EXT = f"lower(regexp_extract({_FILE}, '[^/](\\.[^./]*)$', 1))"
+
+
+def _named(s, d) -> DataFrame:
+    ends = F.array(*[F.lit(x) for x in (".pdf", ".MD", ".xlsx", ".py", ".png", ".glb", ".docx", ".exe", ".yaml", "")])
+    name = F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.element_at(ends, (F.col("p_partkey") % 10 + 1).cast("int")))
+    mode = F.element_at(F.array(F.lit("auto"), F.lit("force"), F.lit("skip")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return table(s, d, "part").select("p_partkey", name.alias("name"), mode.alias("mode"))
+
+
+@query(
+    f"""WITH n AS (SELECT p_partkey, {_EXT} AS e, (['auto', 'force', 'skip'])[p_partkey % 3 + 1] AS m FROM part)
+    SELECT p_partkey, e = '.pdf' OR e NOT IN ('.xlsx', '.py', '.png', '.glb', '.yaml') AS entities, e = '.pdf' AND m <> 'skip' AS figures, e = '.pdf' AND m = 'force' AS force_layout FROM n"""
+)
+def ingest_policy(s, d):
+    return _named(s, d).select("p_partkey", text.ingest_policy(F.col("name"), F.col("mode")).alias("p")).select("p_partkey", "p.*")
+
+
+@query(
+    f"""SELECT p_partkey, CASE {_EXT} WHEN '.pdf' THEN 'pdf' WHEN '.md' THEN 'markdown' WHEN '.png' THEN 'image' WHEN '.xlsx' THEN 'document' WHEN '.glb' THEN 'document' WHEN '.docx' THEN 'document'
+    WHEN '.py' THEN 'text' WHEN '.yaml' THEN 'text' END AS file_type FROM part"""
+)
+def file_type(s, d):
+    from ..sources import files
+
+    return _named(s, d).select("p_partkey", files.file_type(F.col("name")).alias("file_type"))
+
+
+@query(
+    f"""SELECT p_partkey, CASE {_EXT} WHEN '.pdf' THEN 'application/pdf' WHEN '.md' THEN 'text/markdown' WHEN '.png' THEN 'image/png' WHEN '.py' THEN 'text/x-python' WHEN '.yaml' THEN 'text/yaml'
+    WHEN '.xlsx' THEN 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet' WHEN '.glb' THEN 'model/gltf-binary'
+    WHEN '.docx' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' END AS mime FROM part"""
+)
+def mime_types(s, d):
+    from ..sources import files
+
+    return _named(s, d).select("p_partkey", files.mime_of(F.col("name")).alias("mime"))
+
+
+@query("SELECT p_partkey, 'documents/' || (p_partkey % 3)::VARCHAR || '/' || p_partkey || '/' || regexp_replace(p_name, '[^a-zA-Z0-9._-]', '_', 'g') AS blob_key FROM part")
+def blob_keys(s, d):
+    return table(s, d, "part").select("p_partkey", text.blob_key((F.col("p_partkey") % 3).cast("string"), F.col("p_partkey").cast("string"), F.col("p_name")).alias("blob_key"))
+
+
+@query(
+    """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place, lang = 'de' AS fig, CASE WHEN doc_id % 4 > 0 THEN (doc_id % 10)::DOUBLE / 10 END AS score FROM documents QUALIFY place <= 100),
+    k AS (SELECT *, sum((fig AND (score IS NULL OR score >= 0.2))::INT) OVER (ORDER BY place) AS n FROM r)
+    SELECT doc_id, place::INT AS place FROM k WHERE NOT fig OR ((score IS NULL OR score >= 0.2) AND n <= 3)"""
+)
+def figure_cap(s, d):
+    top = fusion.ranked(_docs(s, d).orderBy("doc_id").limit(100), "doc_id", name="place")
+    rows = top.select("doc_id", "place", F.when(F.col("lang") == "de", "figure").otherwise("text").alias("chunk_type"), F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") % 10 / 10).alias("rerank_score"))
+    return fusion.cap_figures(rows).select("doc_id", "place")
+
+
+@query(
+    """SELECT doc_id, n_chars::DOUBLE AS similarity FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 0.0 FROM documents WHERE doc_id % 3 = 0 AND lang IS DISTINCT FROM 'en'"""
+)
+def pool_vector_wins(s, d):
+    v = _docs(s, d).filter("lang = 'en'").select("doc_id", F.col("n_chars").cast("double").alias("similarity"))
+    return fusion.pool(v, _docs(s, d).filter("doc_id % 3 = 0").select("doc_id"), key="doc_id")
+
+
+@query(
+    f"""WITH {_JOBS} SELECT id, CASE WHEN id % 6 = 0 THEN 'failed' WHEN id % 3 = 0 THEN 'success' ELSE status END AS status, CASE WHEN id % 6 = 0 THEN repeat('e', 1000) END AS error FROM j"""
+)
+def job_finish(s, d):
+    rows, now = _jobs(s, d)
+    outcomes = rows.filter("id % 3 = 0").select("id", F.when(F.col("id") % 6 == 0, F.repeat(F.lit("e"), 1500)).alias("error"))
+    return jobs.finish(rows, outcomes, now).select("id", "status", "error")
+
+
+@query("SELECT DISTINCT event_id AS id, 'a=1,b=' || CASE WHEN event_id % 2 = 0 THEN '3' ELSE '2' END AS metadata FROM events")
+def metadata_merge(s, d):
+    e = table(s, d, "events").select(F.col("event_id").alias("id"))
+    rows = e.withColumn("metadata", F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")))
+    patch = e.filter("id % 2 = 0").withColumn("metadata", F.create_map(F.lit("b"), F.lit("3")))
+    merged = store.merge_metadata(rows, patch)
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries("metadata"), lambda x: F.concat(x["key"], F.lit("="), x["value"]))), ",")
+    return merged.select("id", shown.alias("metadata"))
+
+
+@query(
+    """WITH e AS (SELECT n_nationkey % 5 AS doc, lower(n_name) AS n FROM nation), c AS (SELECT doc_id, lower(text) AS t, doc_id % 5 AS doc FROM documents WHERE doc_id < 100)
+    SELECT c.doc_id, count(*) AS named FROM c JOIN e ON e.doc = c.doc AND contains(c.t, left(e.n, 2)) GROUP BY 1"""
+)
+def entity_names_in_chunks(s, d):
+    names = table(s, d, "nation").select((F.col("n_nationkey") % 5).alias("doc"), F.substring("n_name", 1, 2).alias("name"))
+    chunks = _docs(s, d).filter("doc_id < 100").select("doc_id", (F.col("doc_id") % 5).alias("doc2"), "text")
+    return enrich.names_in_text(names, chunks, name="name", text="text").filter("doc = doc2").groupBy("doc_id").agg(F.count("*").alias("named"))
+
+
+@query("SELECT s_suppkey, n_nationkey AS entity FROM supplier JOIN nation ON lower(n_name) = lower(n_name) AND n_nationkey = s_nationkey WHERE s_suppkey % 2 = 0")
+def relation_link(s, d):
+    entities = table(s, d, "nation").select(F.lit("d").alias("document_id"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("string").alias("entity_id"))
+    names = table(s, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.upper("n_name").alias("target"))
+    rel = table(s, d, "supplier").join(names, "s_nationkey").select(F.lit("d").alias("document_id"), F.when(F.col("s_suppkey") % 2 == 0, F.col("target")).otherwise("nowhere").alias("source"), "target", "s_suppkey")
+    linked, _ = graph.link(rel, entities)
+    return linked.select("s_suppkey", F.col("dst").cast("int").alias("entity"))
+
+
+@query("SELECT * FROM (SELECT o_orderkey AS id FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100)")
+def newest_documents(s, d):
+    return store.newest(table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))).select("id")
+
+
+@query(
+    """SELECT doc_id, regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])the($|[^A-Za-z0-9_])') AND NOT regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])que($|[^A-Za-z0-9_])') AS yes
+    FROM documents"""
+)
+def verdict_words(s, d):
+    clean = F.regexp_replace("text", "(?i)(?<![A-Za-z0-9_])(ya|tidak)(?![A-Za-z0-9_])", "x")
+    made = F.regexp_replace(F.regexp_replace(clean, "(?i)(?<![A-Za-z0-9_])the(?![A-Za-z0-9_])", "YA"), "(?i)(?<![A-Za-z0-9_])que(?![A-Za-z0-9_])", "TIDAK")
+    return _docs(s, d).select("doc_id", text.verdict(made).alias("yes"))
+
+
+@query("SELECT label AS model, sum((vec_id % 3 = 0)::INT)::BIGINT AS ok, sum((vec_id % 3 = 1)::INT)::BIGINT AS skipped, sum((vec_id % 3 = 2)::INT)::BIGINT AS failed FROM embeddings GROUP BY 1")
+def re_embed_by_model(s, d):
+    parts = []
+    base = _vectors(s, d).withColumn("status", F.element_at(F.array(F.lit("ok"), F.lit("skipped"), F.lit("failed")), (F.col("vec_id") % 3 + 1).cast("int")))
+    for r in range(10):  # the ten labels
+        one = base.filter(F.col("label") == r).select("status", F.lit(1).alias("chunks"))
+        parts.append(store.re_embed_summary(one).select(F.lit(r).alias("model"), "ok", "skipped", "failed", "documents"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.filter("documents > 0").drop("documents")
