@@ -188,7 +188,7 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str
     decided = decide(narrow, source="_source", key="_row", group_rows=group_rows)
     by_row = decided.groupBy("_row").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("size").alias("size"), F.sort_array(F.collect_list("copies")).alias("_copies"))
     by_row = common.written(by_row, "copies")
-    out = docs.withColumn("_row", row).join(by_row, "_row")
+    out = docs.withColumn("_row", row).join(by_row.hint("merge"), "_row")  # the same plan at every size
     if by_row.filter(F.size("_copies") > 1).take(1):
         out = out.withColumn("_n", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0))))
     else:
