@@ -284,22 +284,35 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         labels = new.select("v", "label")
 
 
+_ADDED = ("class_id", "class_text", "text_id", "links")
+#: Stands for a null key.
+_LOW = -(1 << 63)
+
+
+def _key(key: str) -> F.Column:
+    return F.coalesce(F.col(key).cast("long"), F.lit(_LOW))
+
+
+def _text_hash(text: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """Adds class_id, text_id and links to every row.
+    """Adds class_id, class_text, text_id and links to every row.
 
     Sets are the distinct word 5-grams of whole texts (words as split by white space; a text of fewer words is one gram). Rows with equal sets
     are one set from the start. Chosen paths over embeddings of the sets (``_leaves``) bring similar sets into common leaves, with
     probability ``recall`` at the threshold; within a leaf all pairs are compared by exact counts, block by block, and none is ever a row.
 
     links: how many other texts are at least ``similarity`` similar (equal sets included). class_id: least key among all rows connected by links.
+    class_text: hash of the text of the class's first row, by (key, hash of the text); classes whose first rows share a key, or have none, differ in it.
     text_id: least key of the rows with the same set. Nulls: null, empty and blank texts have the empty set, and are one another's
     copies; a null key counts as the least, so its class has a null id. Equal rows are copies. An empty table gives an empty result.
     Other columns pass through; columns named like the added ones are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("class_id", "text_id", "links")
-    low = -(1 << 63)
-    keyed = docs.withColumns({"_k": F.coalesce(F.col(key).cast("long"), F.lit(low)), "_th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    docs = docs.drop(*_ADDED)
+    keyed = docs.withColumns({"_k": _key(key), "_th": _text_hash(text)})
     rows = common.written(_sets(keyed, text, words), "sets")
     by_text = rows.groupBy("s1", "s2", "_th").agg(F.min("_k").alias("_k"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sets = by_text.groupBy("s1", "s2").agg(F.min(F.struct("_k", "_th")).alias("first"), F.count("*").alias("texts"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -309,23 +322,24 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     links = verified.groupBy("s1", "s2").agg(F.sum("links").alias("links"))
     edges = verified.filter("s1 != r1 or s2 != r2").select(F.struct("s1", "s2").alias("v"), F.struct(F.col("r1").alias("s1"), F.col("r2").alias("s2")).alias("w"))
     labels = components(spark, edges).select("v.s1", "v.s2", F.col("label.s1").alias("r1"), F.col("label.s2").alias("r2"))
-    known = sets.select("s1", "s2", F.col("first._k").alias("text_id"), "texts").join(labels, ["s1", "s2"], "left").join(links, ["s1", "s2"], "left")
+    known = sets.select("s1", "s2", "first", F.col("first._k").alias("text_id"), "texts").join(labels, ["s1", "s2"], "left").join(links, ["s1", "s2"], "left")
     known = known.withColumns({"r1": F.coalesce("r1", "s1"), "r2": F.coalesce("r2", "s2"), "links": (F.coalesce("links", F.lit(0)) + F.col("texts") - 1).cast("long")})
-    roots = known.groupBy("r1", "r2").agg(F.min("text_id").alias("class_id"))
-    known = common.written(known.join(roots, ["r1", "r2"]).select("s1", "s2", "text_id", "class_id", "links"), "classes")
+    roots = known.groupBy("r1", "r2").agg(F.min("first").alias("least")).select("r1", "r2", F.col("least._k").alias("class_id"), F.col("least._th").alias("class_text"))
+    known = common.written(known.join(roots, ["r1", "r2"]).select("s1", "s2", "text_id", "class_id", "class_text", "links"), "classes")
     found = rows.select("_k", "_th", "s1", "s2").dropDuplicates(["_k", "_th"]).join(known, ["s1", "s2"]).drop("s1", "s2")
-    real = lambda c: F.when(F.col(c) != low, F.col(c)).alias(c)
+    real = lambda c: F.when(F.col(c) != _LOW, F.col(c)).alias(c)
     out = keyed.join(found, ["_k", "_th"])
-    return out.select(*docs.columns, real("class_id"), real("text_id"), "links")
+    return out.select(*docs.columns, real("class_id"), "class_text", real("text_id"), "links")
 
 
 def join_rows(docs: DataFrame) -> DataFrame:
-    """Every document's class, text class and number of links."""
-    return near_duplicates(docs.select("doc_id", "text")).select("doc_id", "class_id", "text_id", "links")
+    """Every document's class, text class and number of links; a class is told by class_id and class_text."""
+    return near_duplicates(docs.select("doc_id", "text")).select("doc_id", *_ADDED)
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of each class: that with the least key (of equal rows, one)."""
-    found = near_duplicates(docs, text=text, key=key)
-    first = found.filter(F.col(key).eqNullSafe(F.col("class_id")))
-    return first.drop("class_id", "text_id", "links").dropDuplicates([key])
+    """One row of each class: that with the least (key, hash of the text); of equal rows, one. A null key comes first."""
+    found = near_duplicates(docs, text=text, key=key).withColumns({"_k": _key(key), "_th": _text_hash(text)})
+    first = found.filter((F.col("_k") == F.coalesce("class_id", F.lit(_LOW))) & (F.col("_th") == F.col("class_text")))
+    # a pair of key and text is of one class only
+    return first.dropDuplicates(["_k", "_th"]).drop(*_ADDED, "_k", "_th")

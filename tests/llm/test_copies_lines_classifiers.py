@@ -70,6 +70,20 @@ def test_jaccard_brute_force(spark, monkeypatch):
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_keep_one_keeps_each_class_without_ids_or_with_a_shared_id(spark):
+    rng = random.Random(12)
+    a, b, c, d, e = (prose(80, rng) for _ in range(5))
+    rows = [(None, a), (4, a), (None, b), (5, b), (6, b), (None, c), (None, c), (7, d), (7, e), (8, e)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int")
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == collections.Counter([(None, a), (None, b), (None, c), (7, d), (7, e)])
+    by = collections.defaultdict(set)
+    for r in jaccard.near_duplicates(docs).collect():
+        by[r["class_id"], r["class_text"]].add(r["text"])
+    assert sorted(map(list, by.values())) == sorted([a] for a in (a, b, c, d, e))
+
+
 def test_similar_in_blocks():
     rng = np.random.default_rng(5)
     base = np.unique(rng.integers(0, 1 << 60, 3000).astype(np.uint64))
