@@ -56,24 +56,43 @@ def _selected(worded: str, gram_words: int, run_words: int) -> F.Column:
     return F.array_distinct(F.filter(every, lambda x: x.isNotNull()))
 
 
-def _runs_on(mine: F.Column, theirs: F.Column, diagonal: F.Column, gram_words: int) -> F.Column:
-    """Maximal equal runs of at least gram_words words where line i of one text lies against line i - diagonal of the other."""
-    i0, j0 = F.greatest(diagonal, F.lit(0)), F.greatest(-diagonal, F.lit(0))
-    n = F.greatest(F.least(F.size(mine) - i0, F.size(theirs) - j0), F.lit(0))
-    pairs = F.zip_with(
-        F.slice(mine, i0 + 1, n), F.slice(theirs, j0 + 1, n), lambda a, b: F.struct(a["no"].alias("no"), a["n"].alias("n"), (a["h"] == b["h"]).alias("eq"))
-    )
-    closed = lambda a: F.when(a["w"] >= gram_words, F.concat(a["r"], F.array(F.struct(a["s"].alias("s"), a["e"].alias("e"))))).otherwise(a["r"])
-    state = lambda r, s, e, w: F.struct(r.alias("r"), s.cast("int").alias("s"), e.cast("int").alias("e"), w.cast("int").alias("w"))
-    zero = F.lit(0)
-    return F.aggregate(
-        pairs,
-        state(F.array().cast(_RUNS), zero, zero, zero),
-        lambda a, x: F.when(x["eq"], state(a["r"], F.when(a["w"] == 0, x["no"]).otherwise(a["s"]), x["no"], a["w"] + x["n"]))
-        .when(a["w"] > 0, state(closed(a), zero, zero, zero))
-        .otherwise(a),
-        closed,
-    )
+def _stretches(lines: F.Column, gram_words: int) -> F.Column:
+    """Short runs that make up every run of at least gram_words words: s and e (places among the lines), and the hash of the lines.
+
+    From each line the shortest run with that many words, and up to each line the shortest one of two lines or more with that many. Those
+    within a run cover it, each overlapping another if there are several; whether a run is one of them depends on its lines alone.
+    """
+    state = lambda w, at: F.struct(w.cast("int").alias("w"), at.cast("int").alias("at"))
+    run = lambda s, e: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
+
+    def onward(i: F.Column) -> F.Column:
+        return F.aggregate(
+            F.slice(lines, i + 1, F.lit(gram_words)),
+            state(F.lit(0), i - 1),
+            lambda a, x: F.when(a["w"] >= gram_words, a).otherwise(state(a["w"] + x["n"], a["at"] + 1)),
+            lambda a: F.when(a["w"] >= gram_words, run(i, a["at"])),
+        )
+
+    def back(i: F.Column) -> F.Column:
+        first = F.greatest(i + 1 - max(2, gram_words), F.lit(0))
+        return F.aggregate(
+            F.reverse(F.slice(lines, first + 1, i + 1 - first)),
+            state(F.lit(0), i + 1),
+            lambda a, x: F.when((a["w"] >= gram_words) & (a["at"] < i), a).otherwise(state(a["w"] + x["n"], a["at"] - 1)),
+            lambda a: F.when((a["w"] >= gram_words) & (a["at"] < i), run(a["at"], i)),
+        )
+
+    every = F.concat(F.transform(lines, lambda _, i: onward(i)), F.transform(lines, lambda _, i: back(i)))
+    hashed = lambda r: F.aggregate(F.slice(lines, r["s"] + 1, r["e"] - r["s"] + 1), F.lit(0).cast("bigint"), lambda a, x: F.xxhash64(a, x["h"]))
+    return F.transform(F.array_distinct(F.filter(every, lambda r: r.isNotNull())), lambda r: F.struct(r["s"], r["e"], hashed(r).alias("h")))
+
+
+def _joined(runs: F.Column) -> F.Column:
+    """Sorted runs, those that overlap as one."""
+    add = lambda a, r: F.concat(a, F.array(r))
+    last = lambda a: F.element_at(a, -1)
+    grown = lambda a, r: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["s"].alias("s"), F.greatest(last(a)["e"], r["e"]).alias("e"))))
+    return F.aggregate(runs, F.array().cast(_RUNS), lambda a, r: F.when(F.size(a) == 0, add(a, r)).when(last(a)["e"] >= r["s"], grown(a, r)).otherwise(add(a, r)))
 
 
 def repeated_runs(docs: DataFrame, *, text: str = "text", key: str = "doc_id", gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> tuple[DataFrame, bool]:
@@ -92,17 +111,19 @@ def repeated_runs(docs: DataFrame, *, text: str = "text", key: str = "doc_id", g
     prints = worded.withColumn("_grams", F.zip_with("lines", _grams(F.col("lines"), gram_words), lambda x, g: F.struct(x["n"].alias("n"), g.alias("g"))))
     prints = prints.select("_k", "_th", "_inst", F.explode(_selected("_grams", gram_words, run_words)).alias("f"))
     prints = common.written(prints.select("_k", "_th", "_inst", F.col("f.g").alias("g"), (-F.col("f.j")).alias("i")), "fingerprints")
-    # every occurrence meets the earliest one only; a fingerprint that all texts hold is reduced before it moves
-    first = prints.groupBy("g").agg(F.min(F.struct("_k", "_th", "_inst", "i")).alias("f"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    at = F.struct("_k", "_th", "_inst", "i")
-    met = prints.join(first, "g").filter(at > F.col("f"))
-    met = met.groupBy("_k", "_th", "_inst", F.col("f._k").alias("fk"), F.col("f._th").alias("ft"), F.col("f._inst").alias("fi")).agg(
-        F.collect_set(F.col("i") - F.col("f.i")).alias("diagonals")
-    )
-    theirs = base.select(F.col("_k").alias("fk"), F.col("_th").alias("ft"), F.col("_inst").alias("fi"), F.col("lines").alias("theirs"))
-    both = met.join(base, ["_k", "_th", "_inst"]).join(theirs, ["fk", "ft", "fi"])
-    runs = F.flatten(F.transform("diagonals", lambda d: _runs_on(F.col("lines"), F.col("theirs"), d, gram_words)))
-    found = both.select("_k", "_th", "_inst", F.explode(runs).alias("r")).groupBy("_k", "_th", "_inst").agg(F.sort_array(F.collect_set("r")).alias("runs"))
+    row = ["_k", "_th", "_inst"]
+    # a run of run_words words has a fingerprint in both texts, so texts without a recurring one are out of it
+    again = prints.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1").select("g")
+    held = prints.join(again, "g").select(*row).distinct()
+    cut = worded.select(*row, F.transform("lines", lambda x: x["no"]).alias("no"), _stretches(F.col("lines"), gram_words).alias("stretches"))
+    # the same plan at every size
+    cut = cut.join(held.hint("merge"), row, "left_semi").select(*row, "no", F.explode("stretches").alias("r"))
+    cut = cut.select(*row, F.col("r.h").alias("h"), F.col("r.s").alias("i"), F.get("no", F.col("r.s")).alias("s"), F.get("no", F.col("r.e")).alias("e"))
+    cut = common.written(cut, "stretches")
+    # a stretch goes if it stands anywhere before, which its earliest place tells; so no text needs to meet another
+    first = cut.groupBy("h").agg(F.min(F.struct(*row, "i")).alias("f"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    later = cut.join(first, "h").filter(F.struct(*row, "i") > F.col("f"))
+    found = later.groupBy(*row).agg(_joined(F.sort_array(F.collect_set(F.struct("s", "e")))).alias("runs"))
     return common.written(found, "runs"), recur
 
 
@@ -113,10 +134,10 @@ def _key(key: str) -> F.Column:
 def drop_repeated_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """Removes from every text the runs of lines that occur earlier, in another text or in itself.
 
-    Lines are compared by hash and whole; blank lines do not count, and go with the run that encloses them. Fingerprints (see ``_selected``)
-    meet their earliest occurrence; matches are extended both ways, line by line, along the diagonals on which fingerprints met. A run
-    that is removed has ``gram_words`` words or more; of two equal runs of ``run_words`` words or more the later one is always found. What is removed
-    still stands in full at its earliest place.
+    Lines are compared by hash and whole; blank lines do not count, and go with the run that encloses them. Recurring fingerprints (see ``_selected``)
+    tell the texts that repeat something. Of these every stretch (see ``_stretches``) that occurs earlier goes, in whatever text that is. A run
+    that is removed has ``gram_words`` words or more; of two equal runs of ``run_words`` words or more the later one is always found. Each line that is removed
+    still stands at its earliest place.
 
     Returns the input's columns with the text cut, and removed_lines (array of struct s, e: first and last line of each removed run). A null text
     stays null, an empty one empty; a text whose every line is repeated becomes empty. Equal rows count as several texts: all but one lose what they

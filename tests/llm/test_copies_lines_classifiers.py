@@ -143,6 +143,29 @@ def test_line_dedup(spark):
     assert line_dedup.drop_repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_that_an_earlier_text_holds_in_part(spark):
+    rng = random.Random(13)
+    new = lambda *n: [prose(k, rng) for k in n]
+    one, two, three = new(30, 25), new(*[10] * 6), new(70, 80)
+    texts = [one[:1] + new(40), new(8) + one + new(9), new(7) + one + new(40), new(12) + one]
+    texts += [new(40) + two[:5] + new(9), two + new(30), new(35) + two, new(5) + three[:1], new(5) + three + new(6), new(4) + [three[0], "", three[1]] + new(4)]
+    docs = spark.createDataFrame(list(enumerate("\n".join(t) for t in texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(docs).collect()}
+    # by brute force: a line goes if it is in a run of GRAM_WORDS words or more that stands earlier
+    for i, t in enumerate(texts):
+        gone = set()
+        for s in range(len(t)):
+            for e in range(s, len(t)):
+                run = [x for x in t[s : e + 1] if x]
+                lines = [[x for x in texts[j] if x] for j in range(i)]
+                if sum(len(x.split()) for x in run) >= line_dedup.GRAM_WORDS and any(h[k : k + len(run)] == run for h in lines for k in range(len(h))):
+                    gone |= set(range(s, e + 1))
+        assert got[i]["text"].split("\n") == ([x for k, x in enumerate(t) if k not in gone] or [""]), i
+    every = "\n".join(r["text"] for r in got.values())
+    for x in one + two + three:
+        assert every.count(x) == 1
+
+
 def toxic_texts(n, rng, held=False):
     stems = ["grobnik", "snarvel", "plozzer", "quimfart"]
     rows = []
