@@ -263,6 +263,28 @@ def test_media_copies(spark):
     assert media.find_copies(images.limit(0)).count() == 0
 
 
+def test_media_copies_with_ids_far_apart(spark):
+    rng = np.random.default_rng(14)
+    vectors = [(i, [float(x) for x in rng.normal(size=64)]) for i in range(60)]
+    images = media.images_of(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), every=3).collect()
+    # originals by 1000 + place, copies in another order far above them
+    ids = {r["image_id"]: 1000 + r["image_id"] if r["image_id"] % 2 == 0 else 10_000 - r["image_id"] for r in images}
+    rows = [(ids[r["image_id"]], r["width"], r["height"], r["pixels"]) for r in images]
+    one = media.render(rng.normal(size=64))
+    for i in range(5):
+        one[0, 0] = 100 + i
+        rows.append((500 + 3000 * i, 96, 96, one.tobytes()))
+    out = {r["image_id"]: r for r in media.find_copies(spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")).collect()}
+    assert len(out) == 85
+    # each of five copies with each other one, not only with the first and the one before
+    assert [(out[500 + 3000 * i]["class_id"], out[500 + 3000 * i]["links"]) for i in range(5)] == [(500, 4)] * 5
+    for i in range(60):
+        own = out[ids[2 * i]]
+        assert (own["class_id"], own["links"]) == (ids[2 * i], int(i % 3 == 0))
+        if i % 3 == 0:
+            assert out[ids[2 * i + 1]]["class_id"] == ids[2 * i] and out[ids[2 * i + 1]]["links"] == 1
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(10)
     centres = rng.normal(size=(8, 24))
