@@ -26,8 +26,11 @@ def top_entities(entities: DataFrame, most: int = 5, *, key: str = "doc_id") ->
 
 
 def names_in_text(names: DataFrame, texts: DataFrame, *, name: str = "name", text: str = "text") -> DataFrame:
-    """Pairs of names and texts that hold them; the names, those of a few documents, are the small side."""
-    return texts.join(names, F.contains(F.lower(F.col(text)), F.lower(F.col(name))))
+    """Pairs of names and texts that hold them. Each distinct name is sought once, whatever the number of rows that have it."""
+    named = names.withColumn("_n", F.lower(F.col(name)))
+    sought = named.select("_n").distinct().withColumnRenamed("_n", "_s")
+    held = texts.join(F.broadcast(sought), F.contains(F.lower(F.col(text)), F.col("_s")))
+    return held.join(named, F.col("_s") == F.col("_n")).drop("_s", "_n")
 
 
 def entity_arm(query: str, entities: DataFrame, chunks: DataFrame, seeds: DataFrame, k: int, *, most: int = 2000) -> DataFrame:

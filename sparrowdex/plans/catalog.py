@@ -462,6 +462,12 @@ def near_entities_theta(s, d):
     return enrich.names_in_text(names, docs, name="name", text="text").select("p_partkey", "doc_id")
 
 
+@query("SELECT p.p_partkey, d.doc_id FROM part p, documents d WHERE contains(lower(d.text), lower(p.p_name))")
+def near_entities_all(s, d):
+    names = table(s, d, "part").select("p_partkey", F.col("p_name").alias("name"))
+    return enrich.names_in_text(names, _docs(s, d).select("doc_id", "text"), name="name", text="text").select("p_partkey", "doc_id")
+
+
 # -- graph -----------------------------------------------------------------------------------------------
 
 _EDGES = "e AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'IN' AS rel_type FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'IN' FROM supplier)"
