@@ -33,6 +33,12 @@ def names_in_text(names: DataFrame, texts: DataFrame, *, name: str = "name", tex
     return held.join(named, F.col("_s") == F.col("_n")).drop("_s", "_n")
 
 
+def names_in_own_text(names: DataFrame, texts: DataFrame, *, key: str, name: str = "name", text: str = "text") -> DataFrame:
+    """Pairs of names and texts that hold them, of the same document; joined by its key first."""
+    theirs = names.withColumnRenamed(key, "_key")
+    return texts.join(theirs, (F.col(key) == F.col("_key")) & F.contains(F.lower(F.col(text)), F.lower(F.col(name)))).drop("_key")
+
+
 def entity_arm(query: str, entities: DataFrame, chunks: DataFrame, seeds: DataFrame, k: int, *, most: int = 2000) -> DataFrame:
     """(chunk_id, score, rank): chunks of the seed documents by the share of the query's entities that they name.
 

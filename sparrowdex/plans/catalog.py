@@ -693,6 +693,15 @@ def entity_names_in_chunks(s, d):
     return enrich.names_in_text(names, chunks, name="name", text="text").filter("doc = doc2").groupBy("doc_id").agg(F.count("*").alias("named"))
 
 
+@query(
+    """SELECT d.doc_id, count(*) AS named FROM documents d JOIN nation n ON n.n_nationkey % 5 = d.doc_id % 5 AND contains(lower(d.text), lower(n.n_name)) GROUP BY 1"""
+)
+def entity_names_all(s, d):
+    names = table(s, d, "nation").select((F.col("n_nationkey") % 5).alias("doc"), F.col("n_name").alias("name"))
+    chunks = _docs(s, d).select("doc_id", (F.col("doc_id") % 5).alias("doc"), "text")
+    return enrich.names_in_own_text(names, chunks, key="doc").groupBy("doc_id").agg(F.count("*").alias("named"))
+
+
 @query("SELECT s_suppkey, n_nationkey AS entity FROM supplier JOIN nation ON lower(n_name) = lower(n_name) AND n_nationkey = s_nationkey WHERE s_suppkey % 2 = 0")
 def relation_link(s, d):
     entities = table(s, d, "nation").select(F.lit("d").alias("document_id"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("string").alias("entity_id"))
