@@ -244,6 +244,17 @@ def neighbor_window(s, d):
     return fusion.neighbours(anchors, rows, 1, doc="conv_id", index="turn").select("conv_id", "turn", "place", "is_anchor")
 
 
+@query(
+    """WITH a AS (SELECT conv_id, turn, conv_id + 1 AS rank FROM conversations WHERE turn = 2),
+    m AS (SELECT c.conv_id, c.turn, min(a.rank) AS g, bool_or(c.turn = a.turn) AS own FROM conversations c JOIN a ON c.conv_id = a.conv_id AND c.turn BETWEEN a.turn - 1 AND a.turn + 1 GROUP BY 1, 2)
+    SELECT conv_id, turn, row_number() OVER (ORDER BY g, conv_id, turn)::INT AS place, own AS is_anchor FROM m"""
+)
+def neighbor_window_all(s, d):
+    rows = table(s, d, "conversations").select("conv_id", "turn", "text")
+    anchors = rows.filter("turn = 2").select("conv_id", "turn", (F.col("conv_id") + 1).alias("rank"))
+    return fusion.neighbours(anchors, rows, 1, doc="conv_id", index="turn").select("conv_id", "turn", "place", "is_anchor")
+
+
 @query(
     """SELECT conv_id, turn, coalesce(string_agg(text, ' | ' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), '') AS history FROM conversations"""
 )
@@ -593,7 +604,7 @@ def figure_page_context(s, d):
 @query()
 def assign_pages(s, d):
     conv = table(s, d, "conversations")
-    chunks = conv.select(F.col("conv_id").alias("document_id"), F.col("turn").cast("int").alias("chunk_index"), F.substring("text", 1, 60).alias("content"), F.lit(None).cast("int").alias("page"))
+    chunks = conv.select(F.col("conv_id").alias("document_id"), F.col("turn").cast("int").alias("chunk_index"), F.col("text").alias("content"), F.lit(None).cast("int").alias("page"))
     blocks = conv.select(F.col("conv_id").alias("document_id"), F.col("turn").cast("int").alias("page"), "text")
     return enrich.assign_pages(chunks, blocks)
 
@@ -656,6 +667,17 @@ def figure_cap(s, d):
     return fusion.cap_figures(rows).select("doc_id", "place")
 
 
+@query(
+    """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place, lang = 'de' AS fig, CASE WHEN doc_id % 4 > 0 THEN (doc_id % 10)::DOUBLE / 10 END AS score FROM documents),
+    k AS (SELECT *, sum((fig AND (score IS NULL OR score >= 0.2))::INT) OVER (ORDER BY place) AS n FROM r)
+    SELECT doc_id, place::INT AS place FROM k WHERE NOT fig OR ((score IS NULL OR score >= 0.2) AND n <= 3)"""
+)
+def figure_cap_all(s, d):
+    top = fusion.ranked(_docs(s, d), "doc_id", name="place")
+    rows = top.select("doc_id", "place", F.when(F.col("lang") == "de", "figure").otherwise("text").alias("chunk_type"), F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") % 10 / 10).alias("rerank_score"))
+    return fusion.cap_figures(rows).select("doc_id", "place")
+
+
 @query(
     """SELECT doc_id, n_chars::DOUBLE AS similarity FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 0.0 FROM documents WHERE doc_id % 3 = 0 AND lang IS DISTINCT FROM 'en'"""
 )
