@@ -149,7 +149,7 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row for each shard: its distinct vectors, the ids of each, and the graph over them in flat arrays.
+    """One row for each shard: its distinct vectors, the distinct ids of each, and the graph over them in flat arrays.
 
     Shards are dealt by a hash of the id, so no vector and no region of the space gathers in one. Equal vectors in a shard are one node.
     """
@@ -163,12 +163,16 @@ def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         v = np.stack(pdf["v"].to_numpy()).astype(np.float32) + np.float32(0)  # -0 is 0
         _, first, node = np.unique(v.view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))).ravel(), return_index=True, return_inverse=True)
         order = np.argsort(node, kind="stable")
+        each = pdf["id"].to_numpy(np.int64)
+        once = np.ones(len(order), bool)  # an id of several equal rows is in its node once
+        once[1:] = (node[order][1:] != node[order][:-1]) | (each[order][1:] != each[order][:-1])
+        order = order[once]
         starts = np.searchsorted(node[order], np.arange(len(first) + 1)).astype(np.int32)
         distinct = v[first]
         wide = distinct.astype(np.float64)
         unit = (wide / np.sqrt((wide**2).sum(axis=1))[:, None]).astype(np.float32)
         g = Graph(unit).dump()
-        return pd.DataFrame([{"dim": key[0], "shard": key[1], "vectors": distinct.tobytes(), "starts": starts.tobytes(), "ids": pdf["id"].to_numpy(np.int64)[order].tobytes(), **g}])
+        return pd.DataFrame([{"dim": key[0], "shard": key[1], "vectors": distinct.tobytes(), "starts": starts.tobytes(), "ids": each[order].tobytes(), **g}])
 
     return common.written(dealt.groupBy("dim", "shard").applyInPandas(build, schema), "graphs")
 
@@ -203,11 +207,19 @@ def search(queries: DataFrame, index: DataFrame, k: int = 5, breadth: int = SEAR
                     nodes = np.array([j for _, j in graph.search((v / size).astype(np.float32), breadth)])
                     score = (wide[nodes] * v).sum(axis=1) / (length[nodes] * size)
                     found: dict[int, float] = {}
-                    # a node's ids ascend, and one of the first k + 1 at most is the query's own
-                    for sc, j in sorted(zip(score.tolist(), nodes.tolist(), strict=True), key=lambda x: -x[0])[: k + 1]:
-                        for i in ids[starts[j] : starts[j + 1]][: 2 * k + 2].tolist():
-                            if i != q["id"] and found.get(i, -2.0) < sc:
-                                found[i] = sc
+                    # a node's ids ascend and are distinct, and one of the first k + 1 at most is the query's own; nodes go on until k ids are found, and through ties
+                    last = -2.0
+                    for sc, j in sorted(zip(score.tolist(), nodes.tolist(), strict=True), key=lambda x: -x[0]):
+                        if len(found) >= k and sc < last:
+                            break
+                        kept = 0
+                        for i in ids[starts[j] : starts[j + 1]].tolist():
+                            if i != q["id"]:
+                                found.setdefault(i, sc)
+                                kept += 1
+                            if kept == k:
+                                break
+                        last = sc
                     for i, sc in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:k]:
                         out["query_id"].append(q["id"])
                         out["vec_id"].append(i)

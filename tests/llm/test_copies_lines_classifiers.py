@@ -315,6 +315,16 @@ def test_neighbours_recall(spark):
     assert ann.neighbours(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rng = np.random.default_rng(15)
+    v = [[float(x) for x in rng.normal(size=8)] for _ in range(12)]
+    rows = [(1, v[0])] * 40 + [(i, v[0]) for i in (0, 2, 3, 4)] + [(5, x) for x in v[1:9]] * 30 + [(6, v[9]), (7, v[10])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r["rank"], r["vec_id"]) for r in ann.neighbours(df, every=100, k=7).collect())
+    assert [i for _, i in got[:4]] == [1, 2, 3, 4]
+    assert sorted(i for _, i in got) == [1, 2, 3, 4, 5, 6, 7]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
