@@ -249,40 +249,82 @@ def test_licences(spark):
 
 def test_media_copies(spark):
     rng = np.random.default_rng(9)
-    vectors = [(i, [float(x) for x in rng.normal(size=64)], 0) for i in range(60)]
+    vectors = [(i, [float(x) for x in rng.normal(0, 0.125, size=64)], 0) for i in range(60)]
     vectors += [(100, vectors[3][1], 0), (101, None, 0), (102, [1.0] * 64, 0), (None, vectors[4][1], 0), (103, [float("nan")] * 64, 0)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
     images = media.images_of(df, every=5)
-    out = {r["image_id"]: r for r in media.find_copies(images.withColumn("links", F.lit("x"))).collect()}
-    assert len(out) == images.count()
-    for i in range(60):
-        assert out[2 * i]["class_id"] == 2 * i
-        if i % 5 == 0:
-            assert out[2 * i + 1]["class_id"] == 2 * i and out[2 * i]["links"] == 1
-    assert out[200]["class_id"] == 6 and out[202]["class_id"] == 202
+    # two rows more of one id, one of them of other bytes, and a row without an id
+    more = images.filter("image_id = 8").withColumn("pixels", F.lit(b"broken")).unionByName(images.filter("image_id = 8")).unionByName(images.filter("image_id = 10").withColumn("image_id", F.lit(None).cast("long")))
+    for table in (images, images.unionByName(more)):
+        out = {r["image_id"]: r for r in media.find_copies(table.withColumns({"links": F.lit("x"), "key": F.lit(1)})).collect()}
+        assert len(out) == images.count()
+        for i in range(60):
+            if i % 5 == 0 and i:
+                assert out[-(2 * i + 1)]["class_id"] == out[2 * i]["class_id"] == -(2 * i + 1) and out[2 * i]["images"] == 2
+            elif i != 3 and (table is images or i != 4):
+                assert out[2 * i]["images"] == (2 if i == 0 else 1) and out[2 * i]["class_id"] == (-1 if i == 0 else 2 * i)
+        assert out[200]["class_id"] == out[6]["class_id"] == -201 and out[6]["images"] == 3 and out[202]["images"] == out[204]["images"] == 1
     assert media.find_copies(images.limit(0)).count() == 0
 
 
-def test_media_copies_with_ids_far_apart(spark):
+def media_fixture():
+    """200 images and copies of them under other ids, and a group of 40 near copies of one."""
     rng = np.random.default_rng(14)
-    vectors = [(i, [float(x) for x in rng.normal(size=64)]) for i in range(60)]
-    images = media.images_of(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), every=3).collect()
-    # originals by 1000 + place, copies in another order far above them
-    ids = {r["image_id"]: 1000 + r["image_id"] if r["image_id"] % 2 == 0 else 10_000 - r["image_id"] for r in images}
-    rows = [(ids[r["image_id"]], r["width"], r["height"], r["pixels"]) for r in images]
-    one = media.render(rng.normal(size=64))
-    for i in range(5):
-        one[0, 0] = 100 + i
-        rows.append((500 + 3000 * i, 96, 96, one.tobytes()))
+    images = {1000 + i: media.render(rng.normal(0, 0.125, size=64)) for i in range(110)}
+    of = {}
+    for k, edit in enumerate([{"crop": 0.75, "at": (0.1, 0.8)}, {"crop": 0.65}, {"turn": 0.4}, {"turn": 2.0}, {"scale": 0.75}, {"scale": 1.3}, {"gain": 0.5, "lift": 60}, {"crop": 0.8, "turn": 0.3, "gain": 0.8}]):
+        for i in range(5):
+            of[9000 - 37 * (5 * k + i)] = (1000 + 5 * k + i, edit)
+    for i, (source, edit) in of.items():
+        images[i] = media.warped(images[source], **edit)
+    one = media.render(rng.normal(0, 0.125, size=64))
+    for i in range(40):
+        images[200 + 211 * i] = media.warped(one, crop=0.8 + 0.005 * i, at=(i % 7 / 6, i % 5 / 4))
+    return images, of
+
+
+def test_media_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(media, "BLOCK", 8)
+    images, of = media_fixture()
+    rows = [(i, x.shape[1], x.shape[0], x.tobytes()) for i, x in images.items()]
     out = {r["image_id"]: r for r in media.find_copies(spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")).collect()}
-    assert len(out) == 85
-    # each of five copies with each other one, not only with the first and the one before
-    assert [(out[500 + 3000 * i]["class_id"], out[500 + 3000 * i]["links"]) for i in range(5)] == [(500, 4)] * 5
-    for i in range(60):
-        own = out[ids[2 * i]]
-        assert (own["class_id"], own["links"]) == (ids[2 * i], int(i % 3 == 0))
-        if i % 3 == 0:
-            assert out[ids[2 * i + 1]]["class_id"] == ids[2 * i] and out[ids[2 * i + 1]]["links"] == 1
+    made = {i: media.describe(x) for i, x in images.items()}
+    names, root = sorted(images), {i: i for i in images}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a in enumerate(names):
+        for b in names[:k]:
+            if media.agreeing(*made[a], *made[b], enough=media.AGREE) >= media.AGREE:
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    want = {i: find(i) for i in names}
+    # nothing that the comparison of all pairs doesn't join is joined
+    assert all(want[r["class_id"]] == want[i] for i, r in out.items())
+    # copies that all pairs find are found; the group of 40 is one class
+    assert sum(out[i]["class_id"] == out[s]["class_id"] for i, (s, _) in of.items()) >= 0.95 * len(of)
+    assert len({out[200 + 211 * i]["class_id"] for i in range(40)}) == 1
+    assert sum(r["class_id"] == want[i] for i, r in out.items()) >= 0.97 * len(out)
+
+
+def test_media_pairs_across_labels(spark):
+    """Of all buckets' pairs with different labels none is missing, whatever the size of the blocks."""
+    rng = np.random.default_rng(3)
+    rows = [(int(k), int(i), int(p)) for k in range(12) for i, p in zip(rng.choice(60, 2 + 3 * k, replace=False), rng.integers(0, 50, 60), strict=False)]
+    label = {i: i % 4 * (i > 20) for i in range(60)}
+    met = spark.createDataFrame(rows, "key long, image long, point int")
+    labels = spark.createDataFrame([(i, x) for i, x in label.items()], "image long, label long")
+    want = {(*x, *y) for k in range(12) for a in rows if a[0] == k for b in rows if b[0] == k for x, y in [(a[1:], b[1:])] if x[0] < y[0] and label[x[0]] != label[y[0]]}
+    for size in (2, 256):
+        media.BLOCK, before = size, media.BLOCK
+        try:
+            got = media._across(met, labels).collect()
+        finally:
+            media.BLOCK = before
+        assert {(r["a"], r["pa"], r["b"], r["pb"]) for r in got} == want
 
 
 def test_neighbours_recall(spark):
