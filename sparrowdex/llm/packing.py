@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 
@@ -33,7 +34,8 @@ class WordEncoder:
     If the same vocabulary lies beside the tokenizer's file as ranks, texts of Latin letters are merged by those, which gives the
     same ids several times faster. Other texts go to the tokenizer itself, word by word through a cache: the vocabulary splits text by a
     pattern in which a space that stands before a non-space always begins a new piece, so a text cut at such spaces encodes to
-    the concatenation of its parts. Texts that hold a special token's string are encoded whole.
+    the concatenation of its parts. Texts that hold a special token's string are encoded whole. Texts with 1,000 characters of white space
+    on end go to the tokenizer in any case, as the ranks' pattern is slow there or runs out of stack; the ids are the same.
     """
 
     def __init__(self, path: str):
@@ -62,14 +64,7 @@ class WordEncoder:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
 
     def parts(self, text: str) -> list[str]:
-        pieces = text.split(" ")
-        out = [pieces[0]]
-        for p in pieces[1:]:
-            if p and not p[0].isspace():
-                out.append(" " + p)
-            else:  # not a space before a non-space: it stays with what stands before it
-                out[-1] += " " + p
-        return out
+        return _BEFORE_WORD.split(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = []
@@ -77,7 +72,7 @@ class WordEncoder:
         for t in texts:
             if any(s in t for s in self.special):
                 out.append(self._encode([t])[0])
-            elif self.ranks is not None and _latin(t):
+            elif self.ranks is not None and _latin(t) and not _LONG_BLANK.search(t):
                 out.append(array("I", self.ranks.encode_ordinary(t)).tobytes())
             else:
                 split[len(out)] = self.parts(t)
@@ -93,6 +88,12 @@ class WordEncoder:
         return out
 
 
+#: A space before what is no space begins a part.
+_BEFORE_WORD = re.compile(r"(?= \S)")
+#: White space so long that the ranks' pattern, which goes back from its end, takes its square in time, or runs out of stack.
+_LONG_BLANK = re.compile(r"\s{1000}")
+
+
 def _latin(text: str) -> bool:
     if text.isascii():
         return True
@@ -202,8 +203,10 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, group_rows: int = GROUP
     """Gives each piece a sequence and an offset in it.
 
     Full pieces are sequences of their own. Remainders are dealt into groups by a hash of (order, start, crc),
-    so no key or source gathers in a group, and each group is filled by ``fill_windows``. Equal rows are
-    separate pieces. Adds sequence_id (unique, not gapless) and offset.
+    so no key or source gathers in a group, and each group is filled by ``fill_windows``. Adds sequence_id (unique, not gapless) and offset.
+
+    Nulls: a null ``order`` comes first. Ties: pieces of one length are taken by (order, start, crc); equal rows are separate pieces, and either may stand first.
+    An empty table gives an empty result. Padding: the last windows of each group of ``group_rows`` remainders may be short.
     """
     pieces = common.written(pieces, "pieces")
     short = pieces.filter(F.col("length") < capacity)

@@ -184,3 +184,11 @@ def test_words_equal_whole_texts():
     slow = packing.WordEncoder(packing.default_tokenizer())
     slow.ranks = None
     assert slow.encode(texts) == e.encode(texts)
+
+
+def test_long_runs_of_one_kind_of_character():
+    enc = packing.encoder(packing.default_tokenizer())
+    for text in (" " * 1_000_000 + "x", "\t" * 1_000_000, "\n" * 1_000_000 + "x", "a" * 1_000_000, ("x" + " " * 1500) * 400):
+        assert len(enc.encode([text])[0]) > 0
+    for text in (" " * 3000 + "x y", "\t" * 3000 + "x\n\n  y", "\n" * 3000, "a" * 3000, ("x" + " " * 1500) * 4, " \t\n" * 1200 + "é   z"):
+        assert enc.encode([text])[0] == enc._encode([text])[0]
