@@ -142,37 +142,55 @@ class Graph:
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, dim, v): rows whose vectors are neither null nor zero and hold finite numbers only."""
-    v = F.transform(F.col(vector), lambda x: x.cast("float"))
+    """(id, dim, v): rows whose vectors are neither null nor zero and hold finite numbers only, in double precision."""
+    v = F.transform(F.col(vector), lambda x: x.cast("double"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return vectors.select(F.col(key).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull()).filter(finite & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
 
 
+def _tame(v: np.ndarray) -> np.ndarray:
+    """Vectors (rows) times powers of two, so that their squares neither overflow nor vanish; cosines stay what they are."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=-1, keepdims=True))[1]) + 0.0  # -0 is 0
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First of equal rows, and which of these each row is."""
+    flat = np.ascontiguousarray(rows)
+    _, first, which = np.unique(flat.view(np.dtype((np.void, flat.dtype.itemsize * flat.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    return first, which
+
+
 def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row for each shard: its distinct vectors, the distinct ids of each, and the graph over them in flat arrays.
+    """One row for each shard: its distinct vectors, the distinct ids of each, the distinct directions with their vectors, and the graph over these in flat arrays.
 
-    Shards are dealt by a hash of the id, so no vector and no region of the space gathers in one. Equal vectors in a shard are one node.
+    Shards are dealt by a hash of the id, so no vector and no region of the space gathers in one. Vectors of one direction (in single precision) are one node.
     """
     n = rows.count()
     shards = max(1, -(-n // shard_rows))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    schema = "dim int, shard int, vectors binary, starts binary, ids binary, entry int, levels binary, neighbours array<binary>"
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).repartition(shards, "shard")
+    schema = "dim int, shard int, vectors binary, nodes binary, starts binary, ids binary, entry int, levels binary, neighbours array<binary>"
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        v = np.stack(pdf["v"].to_numpy()).astype(np.float32) + np.float32(0)  # -0 is 0
-        _, first, node = np.unique(v.view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))).ravel(), return_index=True, return_inverse=True)
-        order = np.argsort(node, kind="stable")
-        each = pdf["id"].to_numpy(np.int64)
-        once = np.ones(len(order), bool)  # an id of several equal rows is in its node once
-        once[1:] = (node[order][1:] != node[order][:-1]) | (each[order][1:] != each[order][:-1])
-        order = order[once]
-        starts = np.searchsorted(node[order], np.arange(len(first) + 1)).astype(np.int32)
-        distinct = v[first]
-        wide = distinct.astype(np.float64)
-        unit = (wide / np.sqrt((wide**2).sum(axis=1))[:, None]).astype(np.float32)
-        g = Graph(unit).dump()
-        return pd.DataFrame([{"dim": key[0], "shard": key[1], "vectors": distinct.tobytes(), "starts": starts.tobytes(), "ids": each[order].tobytes(), **g}])
+        v = _tame(np.stack(pdf["v"].to_numpy()).astype(np.float64))
+        first, which = _distinct(v)
+        unit = v[first] / np.sqrt((v[first] ** 2).sum(axis=1))[:, None]
+        heads, node = _distinct(unit.astype(np.float32) + np.float32(0))
+        by_node = np.argsort(node, kind="stable")
+        place = np.empty(len(first), np.int64)
+        place[by_node] = np.arange(len(first))
+        ids = pdf["id"].to_numpy(np.int64)
+        order = np.lexsort((ids, place[which]))
+        at, each = place[which][order], ids[order]
+        once = np.ones(len(order), bool)  # an id of several equal rows is at its vector once
+        once[1:] = (at[1:] != at[:-1]) | (each[1:] != each[:-1])
+        at, each = at[once], each[once]
+        made = {
+            "vectors": v[first][by_node].tobytes(),
+            "nodes": np.searchsorted(node[by_node], np.arange(len(heads) + 1)).astype(np.int32).tobytes(),
+            "starts": np.searchsorted(at, np.arange(len(first) + 1)).astype(np.int32).tobytes(),
+            "ids": each.tobytes(),
+        }
+        return pd.DataFrame([{"dim": key[0], "shard": key[1], **made, **Graph(unit[heads].astype(np.float32)).dump()}])
 
     return common.written(dealt.groupBy("dim", "shard").applyInPandas(build, schema), "graphs")
 
@@ -181,7 +199,7 @@ def search(queries: DataFrame, index: DataFrame, k: int = 5, breadth: int = SEAR
     """(query_id, rank, vec_id, score): the k nearest that the shards' graphs find for each query (id, dim, v), nearest first.
 
     Queries go to every shard in blocks; a task has one shard and some blocks. Scores are cosines in double precision of the vectors as given; ties go to the
-    smaller id. A row with the query's id is not its own neighbour. Rows that share an id count once, by their best score.
+    smaller id, among all vectors of the directions found. A row with the query's id is not its own neighbour. Rows that share an id count once, by their best score.
     """
     spread = index.select("dim", "shard")
     count = queries.count()
@@ -195,31 +213,27 @@ def search(queries: DataFrame, index: DataFrame, k: int = 5, breadth: int = SEAR
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(left) and len(right):
             s = left.iloc[0]
-            vectors = np.frombuffer(s["vectors"], np.float32).reshape(-1, key[0])
-            wide = vectors.astype(np.float64)
-            length = np.sqrt((wide**2).sum(axis=1))
-            graph = Graph.load((wide / length[:, None]).astype(np.float32), int(s["entry"]), s["levels"], list(s["neighbours"]))
-            starts, ids = np.frombuffer(s["starts"], np.int32), np.frombuffer(s["ids"], np.int64)
+            vectors = np.frombuffer(s["vectors"], np.float64).reshape(-1, key[0])
+            length = np.sqrt((vectors**2).sum(axis=1))
+            nodes, starts, ids = np.frombuffer(s["nodes"], np.int32), np.frombuffer(s["starts"], np.int32), np.frombuffer(s["ids"], np.int64)
+            heads = nodes[:-1]
+            graph = Graph.load((vectors[heads] / length[heads][:, None]).astype(np.float32), int(s["entry"]), s["levels"], list(s["neighbours"]))
             for block in right["q"]:
                 for q in block:
-                    v = np.asarray(q["v"], np.float32).astype(np.float64)
-                    size = np.sqrt((v**2).sum())
-                    nodes = np.array([j for _, j in graph.search((v / size).astype(np.float32), breadth)])
-                    score = (wide[nodes] * v).sum(axis=1) / (length[nodes] * size)
+                    v = _tame(np.asarray(q["v"], np.float64))
+                    at = np.concatenate([np.arange(nodes[j], nodes[j + 1]) for _, j in graph.search((v / np.sqrt((v**2).sum())).astype(np.float32), breadth)])
+                    score = (vectors[at] * v).sum(axis=1) / (length[at] * np.sqrt((v**2).sum()))
+                    best = np.argsort(-score, kind="stable")
+                    # k + 1 vectors hold k ids but the query's own, if ids are distinct; more are looked at where they are not, and through ties
                     found: dict[int, float] = {}
-                    # a node's ids ascend and are distinct, and one of the first k + 1 at most is the query's own; nodes go on until k ids are found, and through ties
                     last = -2.0
-                    for sc, j in sorted(zip(score.tolist(), nodes.tolist(), strict=True), key=lambda x: -x[0]):
-                        if len(found) >= k and sc < last:
+                    for j in best.tolist():
+                        if len(found) >= k and score[j] < last:
                             break
-                        kept = 0
-                        for i in ids[starts[j] : starts[j + 1]].tolist():
-                            if i != q["id"]:
-                                found.setdefault(i, sc)
-                                kept += 1
-                            if kept == k:
-                                break
-                        last = sc
+                        last = float(score[j])
+                        mine = ids[starts[at[j]] : starts[at[j] + 1]]
+                        for i in [x for x in mine[: k + 1].tolist() if x != q["id"]][:k]:
+                            found.setdefault(i, last)
                     for i, sc in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:k]:
                         out["query_id"].append(q["id"])
                         out["vec_id"].append(i)
