@@ -52,18 +52,20 @@ def _selected(worded: str, gram_words: int, run_words: int) -> F.Column:
             lambda a: a["best"],
         )
 
-    every = F.transform(F.col(worded), lambda _, i: least(i))
-    return F.array_distinct(F.filter(every, lambda x: x.isNotNull()))
+    # numbers are made distinct by their hashes; structs would be laid each against each
+    places = F.array_distinct(F.filter(F.transform(F.col(worded), lambda _, i: least(i)["j"]), lambda j: j.isNotNull()))
+    return F.transform(places, lambda j: F.struct(F.get(worded, -j)["g"].alias("g"), j.alias("j")))
 
 
 def _stretches(lines: F.Column, gram_words: int) -> F.Column:
-    """Short runs that make up every run of at least gram_words words: s and e (places among the lines), and the hash of the lines.
+    """Short runs that make up every run of at least gram_words words: the hash of the lines, the first one's place i, and s and e, the numbers of the first and last.
 
     From each line the shortest run with that many words, and up to each line the shortest one of two lines or more with that many. Those
     within a run cover it, each overlapping another if there are several; whether a run is one of them depends on its lines alone.
     """
     state = lambda w, at: F.struct(w.cast("int").alias("w"), at.cast("int").alias("at"))
-    run = lambda s, e: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
+    # one number: a long hashes to its halves' difference, so the upper one is the length, which is small
+    run = lambda s, e: F.shiftleft((e - s).cast("bigint"), 32) + s
 
     def onward(i: F.Column) -> F.Column:
         return F.aggregate(
@@ -83,16 +85,25 @@ def _stretches(lines: F.Column, gram_words: int) -> F.Column:
         )
 
     every = F.concat(F.transform(lines, lambda _, i: onward(i)), F.transform(lines, lambda _, i: back(i)))
-    hashed = lambda r: F.aggregate(F.slice(lines, r["s"] + 1, r["e"] - r["s"] + 1), F.lit(0).cast("bigint"), lambda a, x: F.xxhash64(a, x["h"]))
-    return F.transform(F.array_distinct(F.filter(every, lambda r: r.isNotNull())), lambda r: F.struct(r["s"], r["e"], hashed(r).alias("h")))
+    s = lambda r: r.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    e = lambda r: s(r) + F.shiftright(r, 32).cast("int")
+    hashed = lambda r: F.aggregate(F.slice(lines, s(r) + 1, e(r) - s(r) + 1), F.lit(0).cast("bigint"), lambda a, x: F.xxhash64(a, x["h"]))
+    return F.transform(F.array_distinct(F.filter(every, lambda r: r.isNotNull())), lambda r: F.struct(hashed(r).alias("h"), s(r).alias("i"), F.get(lines, s(r))["no"].alias("s"), F.get(lines, e(r))["no"].alias("e")))
 
 
-def _joined(runs: F.Column) -> F.Column:
-    """Sorted runs, those that overlap as one."""
-    add = lambda a, r: F.concat(a, F.array(r))
-    last = lambda a: F.element_at(a, -1)
-    grown = lambda a, r: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["s"].alias("s"), F.greatest(last(a)["e"], r["e"]).alias("e"))))
-    return F.aggregate(runs, F.array().cast(_RUNS), lambda a, r: F.when(F.size(a) == 0, add(a, r)).when(last(a)["e"] >= r["s"], grown(a, r)).otherwise(add(a, r)))
+def _joined(runs: DataFrame, row: list[str]) -> DataFrame:
+    """Runs (s, e) of each text, sorted, those that overlap as one."""
+    before = Window.partitionBy(*row).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*row).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    new = F.coalesce(F.col("s") > F.max("e").over(before), F.lit(True))
+    parts = runs.withColumn("_new", new.cast("int")).withColumn("_part", F.sum("_new").over(upto))
+    merged = parts.groupBy(*row, "_part").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return merged.groupBy(*row).agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("runs"))
+
+
+def _order(docs: DataFrame) -> F.Column:
+    """Hash of the whole row, which orders rows that are equal in key and text. Maps are left out, as they have no hash."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()))
 
 
 def repeated_runs(docs: DataFrame, *, text: str = "text", key: str = "doc_id", gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> tuple[DataFrame, bool]:
@@ -101,30 +112,32 @@ def repeated_runs(docs: DataFrame, *, text: str = "text", key: str = "doc_id", g
     Texts are ordered by (key, hash of the text, number among equal rows); a null key comes first.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    same = Window.partitionBy("_k", "_th").orderBy(F.lit(0))
-    base = docs.select(_key(key).alias("_k"), F.xxhash64(body).alias("_th"), _lines(body).alias("lines"))
-    # rows that agree in _k and _th are equal, so it doesn't matter which of them is the first
-    base = common.written(base.withColumn("_inst", F.row_number().over(same)), "lines")
-    recur = bool(base.filter("_inst > 1").take(1))
+    row = ["_k", "_th", "_inst"]
+    base = common.written(docs.select(_key(key).alias("_k"), F.xxhash64(body).alias("_th"), _order(docs).alias("_o"), _lines(body).alias("lines")), "lines")
+    # only rows that agree in _k and _th need numbers
+    again = common.written(base.groupBy("_k", "_th").agg(F.count("*").alias("m")).filter("m > 1").select("_k", "_th"), "equal-rows")
+    recur = bool(again.take(1))
+    if recur:
+        several = base.join(again, ["_k", "_th"], "left_semi").withColumn("_inst", F.row_number().over(Window.partitionBy("_k", "_th").orderBy("_o")))
+        base = base.join(again, ["_k", "_th"], "left_anti").withColumn("_inst", F.lit(1)).unionByName(several)
+    else:
+        base = base.withColumn("_inst", F.lit(1))
 
     worded = base.filter(F.aggregate("lines", F.lit(0), lambda a, x: a + x["n"]) >= run_words)
     prints = worded.withColumn("_grams", F.zip_with("lines", _grams(F.col("lines"), gram_words), lambda x, g: F.struct(x["n"].alias("n"), g.alias("g"))))
-    prints = prints.select("_k", "_th", "_inst", F.explode(_selected("_grams", gram_words, run_words)).alias("f"))
-    prints = common.written(prints.select("_k", "_th", "_inst", F.col("f.g").alias("g"), (-F.col("f.j")).alias("i")), "fingerprints")
-    row = ["_k", "_th", "_inst"]
+    prints = prints.select(*row, F.explode(_selected("_grams", gram_words, run_words)).alias("f"))
+    prints = common.written(prints.select(*row, F.col("f.g").alias("h"), (-F.col("f.j")).alias("i")), "fingerprints")
     # a run of run_words words has a fingerprint in both texts, so texts without a recurring one are out of it
-    again = prints.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1").select("g")
-    held = prints.join(again, "g").select(*row).distinct()
-    cut = worded.select(*row, F.transform("lines", lambda x: x["no"]).alias("no"), _stretches(F.col("lines"), gram_words).alias("stretches"))
-    # the same plan at every size
-    cut = cut.join(held.hint("merge"), row, "left_semi").select(*row, "no", F.explode("stretches").alias("r"))
-    cut = cut.select(*row, F.col("r.h").alias("h"), F.col("r.s").alias("i"), F.get("no", F.col("r.s")).alias("s"), F.get("no", F.col("r.e")).alias("e"))
+    shared = prints.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
+    held = prints.join(shared, "h").select(*row).distinct()
+    # the same plan at every size; no row carries more than its stretch
+    cut = worded.join(held.hint("merge"), row, "left_semi").select(*row, F.explode(_stretches(F.col("lines"), gram_words)).alias("r")).select(*row, "r.*")
     cut = common.written(cut, "stretches")
     # a stretch goes if it stands anywhere before, which its earliest place tells; so no text needs to meet another
     first = cut.groupBy("h").agg(F.min(F.struct(*row, "i")).alias("f"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    later = cut.join(first, "h").filter(F.struct(*row, "i") > F.col("f"))
-    found = later.groupBy(*row).agg(_joined(F.sort_array(F.collect_set(F.struct("s", "e")))).alias("runs"))
-    return common.written(found, "runs"), recur
+    later = cut.join(first, "h").filter(F.struct(*row, "i") > F.col("f")).select(*row, "s", "e")
+    # overlapping stretches extend a match both ways
+    return common.written(_joined(later, row), "runs"), recur
 
 
 def _key(key: str) -> F.Column:
@@ -146,20 +159,28 @@ def drop_repeated_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_
     runs, recur = repeated_runs(docs, text=text, key=key, gram_words=gram_words, run_words=run_words)
     by = runs.groupBy("_k", "_th").agg(F.collect_list(F.struct("_inst", "runs")).alias("_all"))
     body = F.coalesce(F.col(text), F.lit(""))
-    wide = docs.drop("removed_lines").withColumns({"_k": _key(key), "_th": F.xxhash64(body)})
+    columns = [c for c in docs.columns if c != "removed_lines"]
+    # the user's columns stand apart, so names can't clash
+    wide = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), F.col(text).alias("_text"), _key(key).alias("_k"), F.xxhash64(body).alias("_th"), _order(docs).alias("_o"))
     wide = wide.join(by.hint("merge"), ["_k", "_th"], "left")  # the same plan at every size
     if recur:
-        wide = wide.withColumn("_inst", F.row_number().over(Window.partitionBy("_k", "_th").orderBy(F.lit(0))))
+        number = F.row_number().over(Window.partitionBy("_k", "_th").orderBy("_o"))
+        wide = wide.withColumn("_inst", F.when(F.size("_all") > 0, number).otherwise(F.lit(1)))
     else:
         wide = wide.withColumn("_inst", F.lit(1))
     mine = F.get(F.filter("_all", lambda x: x["_inst"] == F.col("_inst")), 0)["runs"]
-    kept = F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.exists("removed_lines", lambda r: (r["s"] <= i) & (i <= r["e"])))
-    return (
-        wide.withColumn("removed_lines", F.when(F.size("_all") > 0, mine))
-        .withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast(_RUNS)))
-        .withColumn(text, F.when(F.size("removed_lines") > 0, F.array_join(kept, "\n")).otherwise(F.col(text)))
-        .drop("_k", "_th", "_inst", "_all")
-    )
+    out = wide.withColumn("_runs", F.coalesce(F.when(F.size("_all") > 0, mine), F.array().cast(_RUNS)))
+
+    def kept(lines: F.Column, runs: F.Column) -> F.Column:
+        """What stands before each run, and after the last one."""
+        until = lambda r: F.coalesce(F.get(runs, r)["s"], F.size(lines))
+        since = lambda r: F.when(r == 0, 0).otherwise(F.get(runs, r - 1)["e"] + 1)
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), lambda r: F.slice(lines, since(r) + 1, until(r) - since(r))))
+
+    # through a lambda, so that the text is split once and not for each run
+    both = F.transform(F.array(F.struct(F.split("_text", "\n").alias("l"), F.col("_runs").alias("r"))), lambda x: F.array_join(kept(x["l"], x["r"]), "\n"))
+    cut = F.when(F.size("_runs") > 0, F.get(both, F.lit(0))).otherwise(F.col("_text"))
+    return out.select(*(cut.alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in columns), F.col("_runs").alias("removed_lines"))
 
 
 def dedup_rows(docs: DataFrame) -> DataFrame:
