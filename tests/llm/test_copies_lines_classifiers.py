@@ -166,6 +166,27 @@ def test_lines_that_an_earlier_text_holds_in_part(spark):
         assert every.count(x) == 1
 
 
+def test_lines_of_long_texts_and_clashing_columns(spark):
+    rng = random.Random(17)
+    run = [prose(20, rng) for _ in range(3)]
+    rows = [
+        (1, "\n".join(["same line"] * 100_000), "a", 1, 1, 1),
+        (2, "\n".join(prose(12, rng) for _ in range(5_000)), "b", 2, 2, 2),
+        (3, "\n".join(x for _ in range(1_000) for x in [prose(8, rng), *run]), "c", 3, 3, 3),
+        (4, "\n".join(run), "d", 4, 4, 4),
+        (4, "\n".join(run), "e", 5, 5, 5),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, _k long, _th long, _inst long")
+    got = sorted(line_dedup.drop_repeated_lines(docs).collect(), key=lambda r: r["_k"])
+    assert [list(r.asDict())[:6] for r in got][0] == ["doc_id", "text", "a.b", "_k", "_th", "_inst"]
+    assert [(r["doc_id"], r["a.b"], r["_k"], r["_th"], r["_inst"]) for r in got] == [(r[0], *r[2:]) for r in rows]
+    # whole stretches before: 15 lines make 30 words
+    assert got[0]["text"].count("same line") < 20 and got[1]["text"] == rows[1][1]
+    assert all(got[2]["text"].count(x) == 1 for x in run) and len(got[2]["removed_lines"]) == 999
+    assert got[3]["text"] == got[4]["text"] == ""
+    assert [r["removed_lines"] for r in line_dedup.drop_repeated_lines(docs).filter("doc_id = 3").collect()] == [got[2]["removed_lines"]]
+
+
 def toxic_texts(n, rng, held=False):
     stems = ["grobnik", "snarvel", "plozzer", "quimfart"]
     rows = []
@@ -270,11 +291,11 @@ def test_media_copies(spark):
 def media_fixture():
     """200 images and copies of them under other ids, and a group of 40 near copies of one."""
     rng = np.random.default_rng(14)
-    images = {1000 + i: media.render(rng.normal(0, 0.125, size=64)) for i in range(110)}
+    images = {1000 + i: media.render(rng.normal(0, 0.125, size=64)) for i in range(160)}
     of = {}
     for k, edit in enumerate([{"crop": 0.75, "at": (0.1, 0.8)}, {"crop": 0.65}, {"turn": 0.4}, {"turn": 2.0}, {"scale": 0.75}, {"scale": 1.3}, {"gain": 0.5, "lift": 60}, {"crop": 0.8, "turn": 0.3, "gain": 0.8}]):
         for i in range(5):
-            of[9000 - 37 * (5 * k + i)] = (1000 + 5 * k + i, edit)
+            of[9000 - 37 * (5 * k + i)] = (1000 + 7 * k + i, edit)
     for i, (source, edit) in of.items():
         images[i] = media.warped(images[source], **edit)
     one = media.render(rng.normal(0, 0.125, size=64))
@@ -357,6 +378,18 @@ def test_neighbours_recall(spark):
     assert ann.neighbours(df.limit(0)).count() == 0
 
 
+def test_neighbours_in_double_precision_with_ties(spark):
+    base = [0.3, -0.7, 0.2, 0.11]
+    rows = [(i, [x * 2.0 ** (i - 6) for x in base]) for i in range(13)]
+    rows += [(100, [1e300, 1e300, 0.0, 0.0]), (101, [1e-300, 1e-300, 0.0, 0.0]), (102, [1.0, 1.0 + 1e-12, 0.0, 0.0]), (103, [1.0, 1.0, 1e-9, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in sorted(ann.neighbours(df, every=50).collect(), key=lambda r: r["rank"]):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert [i for i, _ in got[0]] == [1, 2, 3, 4, 5] and all(abs(s - 1) < 1e-15 for _, s in got[0])
+    assert [i for i, _ in got[100]][:3] == [101, 102, 103] and len(got[100]) == 5
+
+
 def test_neighbours_of_repeated_rows(spark):
     rng = np.random.default_rng(15)
     v = [[float(x) for x in rng.normal(size=8)] for _ in range(12)]
