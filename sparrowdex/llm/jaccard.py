@@ -270,18 +270,29 @@ def _verified(docs: DataFrame, text: str, words: int, sets: DataFrame, small: Da
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(v, label): the least vertex of each vertex's component, for edges (v, w) between comparable values.
 
-    Labels spread along the edges and jump to their label's label until nothing changes; each round is written, so lineage stays short.
+    Each round maps every vertex to its least neighbour (or itself), jumps twice along these maps, and goes on with the edges between what is left; so
+    a star is one vertex after a round, and a chain a quarter of its length. A vertex without smaller neighbours stays, so a component ends as its least one. Labels follow the
+    rounds' maps. Every round is written, so lineage stays short. Without edges the result is empty.
     """
-    both = common.written(edges.unionByName(edges.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct(), "edges")
-    labels = common.written(both.groupBy("v").agg(F.least(F.min("w"), F.first("v")).alias("label")), "labels")
-    while True:
-        spread = both.join(labels.select(F.col("v").alias("w"), "label"), "w").groupBy("v").agg(F.min("label").alias("near"))
-        nearer = labels.join(spread, "v").select("v", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("far"))
-        new = common.written(nearer.join(jump, "label", "left").select("v", F.coalesce(F.least("label", "far"), "label").alias("label"), "old"), "labels")
-        if not new.filter("label != old").take(1):
-            return new.select("v", "label")
-        labels = new.select("v", "label")
+
+    def among(pairs: DataFrame) -> DataFrame:
+        ends = pairs.filter("v != w").select(F.least("v", "w").alias("v"), F.greatest("v", "w").alias("w"))
+        return common.written(ends.distinct(), "edges")
+
+    live, labels = among(edges), None
+    while labels is None or live.take(1):
+        down = live.select(F.col("w").alias("v"), F.col("v").alias("to")).unionByName(live.select("v", F.col("v").alias("to")))
+        to = common.written(down.groupBy("v").agg(F.min("to").alias("to")), "nearest")
+        for _ in range(2):
+            to = common.written(to.join(to.select(F.col("v").alias("to"), F.col("to").alias("far")), "to").select("v", F.col("far").alias("to")), "nearest")
+        move = lambda c, t=to: t.select(F.col("v").alias(c), F.col("to").alias(f"{c}_to"))
+        live = among(live.join(move("v"), "v").join(move("w"), "w").select(F.col("v_to").alias("v"), F.col("w_to").alias("w")))
+        if labels is None:
+            labels = to.withColumnRenamed("to", "label")
+        else:
+            after = labels.join(to.select(F.col("v").alias("label"), F.col("to").alias("far")), "label", "left")
+            labels = common.written(after.select("v", F.coalesce("far", "label").alias("label")), "labels")
+    return labels
 
 
 _ADDED = ("class_id", "class_text", "text_id", "links")

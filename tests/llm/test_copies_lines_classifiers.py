@@ -84,6 +84,24 @@ def test_keep_one_keeps_each_class_without_ids_or_with_a_shared_id(spark):
     assert sorted(map(list, by.values())) == sorted([a] for a in (a, b, c, d, e))
 
 
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(100, 400)] + [(5000, i) for i in range(1000, 1300)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(220)] + [(7, 7)]
+    root = {v: v for e in edges for v in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    got = {r["v"]: r["label"] for r in jaccard.components(spark, spark.createDataFrame(edges, "v long, w long")).collect()}
+    assert got == {v: find(v) for v in got} and set(root) - set(got) <= {v for v in root if all(v not in e or e[0] == e[1] for e in edges)}
+    assert jaccard.components(spark, spark.createDataFrame([], "v long, w long")).count() == 0
+
+
 def test_similar_in_blocks():
     rng = np.random.default_rng(5)
     base = np.unique(rng.integers(0, 1 << 60, 3000).astype(np.uint64))
