@@ -139,6 +139,7 @@ def decide(sized: DataFrame, *, source: str = "source", key: str = "doc_id", gro
     A null source is a source of its own, last in order. Reruns agree, as groups, order and tosses follow from the rows alone. The rows
     pass through Python, so they should be narrow.
     """
+    sized = common.written(sized, "sized")  # texts are read and counted once
     sizes = sized.groupBy(source).agg(F.sum("size").alias("source_size"))
     targets = common.written(source_targets(sizes, source=source), "targets")
     matched = sized.alias("d").join(targets.withColumnRenamed(source, "_s").alias("t"), F.col(f"d.{source}").eqNullSafe(F.col("t._s")), "left").drop("_s")
@@ -176,30 +177,36 @@ def decide(sized: DataFrame, *, source: str = "source", key: str = "doc_id", gro
     return out.withColumn("copies", F.col("copies") + F.col("_pi").cast("long")).drop("_pi", "_k", "_g", "place")
 
 
-def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id", group_rows: int = GROUP_ROWS) -> DataFrame:
+def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id", group_rows: int = GROUP_ROWS, keep_rows: bool = False) -> DataFrame:
     """Adds size, source_size, target and copies (see ``decide``) to documents; only keys and sizes pass through the sampling.
 
     A null text has size 0 and is taken at its source's rate. Equal rows are separate rows, though which of them is taken makes no difference. An empty
-    table, or one without words, takes nothing: targets are 0. Other columns pass through; columns named like the added ones are replaced.
+    table, or one without words, takes nothing: targets are 0. Other columns pass through; columns named like the added ones are replaced, and
+    with ``keep_rows`` the whole row stands beside them in ``_docs``.
     """
-    docs = docs.drop("size", "source_size", "target", "copies")
+    added = ("size", "source_size", "target", "copies")
+    columns = [c for c in docs.columns if c not in added]
     row = F.xxhash64(F.col(key), F.col(source), F.col(source).isNull(), F.col(text))
-    narrow = docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), word_count(F.col(text)).alias("size"), row.alias("_row"))
-    decided = decide(narrow, source="_source", key="_row", group_rows=group_rows)
-    by_row = decided.groupBy("_row").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("size").alias("size"), F.sort_array(F.collect_list("copies")).alias("_copies"))
+    # a hash alone may be that of two rows in a large corpus
+    narrow = docs.select(F.col(key).cast("long").alias("_key"), F.col(source).alias("_source"), word_count(F.col(text)).alias("size"), row.alias("_row"))
+    decided = decide(narrow, source="_source", key="_row", group_rows=group_rows).withColumn("_key", F.coalesce("_key", F.lit(-(1 << 63))))
+    by_row = decided.groupBy("_key", "_row").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("size").alias("size"), F.sort_array(F.collect_list("copies")).alias("_copies"))
     by_row = common.written(by_row, "copies")
-    out = docs.withColumn("_row", row).join(by_row.hint("merge"), "_row")  # the same plan at every size
+    # the user's columns stand apart, so names can't clash
+    wide = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_docs"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("_key"), row.alias("_row"))
+    out = wide.join(by_row.hint("merge"), ["_key", "_row"])  # the same plan at every size
     if by_row.filter(F.size("_copies") > 1).take(1):
-        out = out.withColumn("_n", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0))))
+        out = out.withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_row").orderBy(F.lit(0))))
     else:
         out = out.withColumn("_n", F.lit(1))
-    return out.withColumn("copies", F.get("_copies", F.col("_n") - 1)).select(*docs.columns, "size", "source_size", "target", "copies")
+    out = out.withColumn("copies", F.get("_copies", F.col("_n") - 1))
+    return out.select(*(F.col(f"_docs.`{c}`").alias(c) for c in columns), *added, *([F.col("_docs").alias("_docs")] if keep_rows else []))
 
 
 def take(docs: DataFrame, **names: str) -> DataFrame:
     """The mix itself: every row as many times as it is taken."""
-    mixed = mix(docs, **names)
-    return mixed.withColumn("_take", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    mixed = mix(docs, keep_rows=True, **names).select("_docs", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return mixed.select(*(F.col(f"_docs.`{c}`").alias(c) for c in docs.columns))
 
 
 def mix_rows(docs: DataFrame) -> DataFrame:
