@@ -274,7 +274,7 @@ def _entities(kind: str, rows: Callable, key: str, column: str):
 
 def _entity_sql(source: str, key: str, column: str, confidence: float, *rules: str) -> str:
     parts = " UNION ".join(f"SELECT {key}, trim(unnest(regexp_extract_all({column}, '{r}')), ' ' || chr(10) || chr(9)) AS name FROM {source}" for r in rules)
-    return f"SELECT DISTINCT {key}, name, {confidence} AS confidence FROM ({parts}) WHERE length(name) > 0"
+    return f"SELECT DISTINCT {key}, name, {confidence}::DOUBLE AS confidence FROM ({parts}) WHERE length(name) > 0"
 
 
 _pages = lambda s, d: table(s, d, "pages")
