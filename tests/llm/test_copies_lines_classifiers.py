@@ -431,3 +431,29 @@ def test_pipeline_stages(spark):
         counts.append(docs.count())
     assert counts[1] <= counts[0] and counts[2] == counts[1] and counts[3] <= counts[2]
     assert corpus_pipeline.run(spark, sf).count() == corpus_pipeline.STAGES[-1][1](spark, docs, sf).count()
+
+
+def test_pipeline_stages_keep_all_columns_and_hard_rows(spark, tmp_path):
+    """Each stage on null ids and texts, repeated rows and ids, and columns named like the operators' own."""
+    import corpus_pipeline
+
+    names = ["links", "class_id", "size", "removed_lines", "_k", "_row", "_rest", "score", "predicted", "a.b"]
+    rng = random.Random(23)
+    texts = [prose(60, rng) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (6, texts[5]), (7, None), (8, ""), (6, texts[5])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(i, t, "en", None if i == 8 else "s", 1, *(f"{n}{k}" for n in names)) for k, (i, t) in enumerate(rows)], schema)
+    spark.createDataFrame([(5, 0, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        kept[name] = out.collect()
+        assert all(r[n][: len(n)] == n for r in kept[name] for n in names), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    assert len(kept["toxicity"]) == len(kept["line_dedup"]) == len(rows)
+    assert collections.Counter(r["text"] for r in kept["line_dedup"]) == collections.Counter([*texts, None, "", ""])
+    # six texts and one of the empty ones
+    assert len(kept["jaccard"]) == 7 and {r["text"] for r in kept["jaccard"]} - {None, ""} == set(texts)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sum(r["start"] == 0 for r in pieces) == len(rows)
