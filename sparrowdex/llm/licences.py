@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 from dataclasses import dataclass
@@ -190,34 +191,55 @@ def train(seed: int = 5) -> Model:
     return Model(names, weights, b, float(temperature), vocabulary, pairs)
 
 
-def scan(model: Model, text: str) -> list[tuple[str, float, bool, int, int, int]]:
-    """Finds in a text: (family, probability, confirmed, line, first word, word after the last)."""
-    out = []
+def paragraphs(text: str):
+    """(lower-case text, [(place, line number)]) of each paragraph: lines that follow one another, up to a blank one or one that ends a sentence.
+
+    So a notice that is wrapped over several lines is one paragraph, and notices that are lines of their own are not.
+    """
+    parts, starts, at = [], [], 0
     for number, line in enumerate(text.split("\n")):
         low = line.lower()
+        if low.strip():
+            parts.append(low)
+            starts.append((at, number))
+            at += len(low) + 1
+        if parts and (not low.strip() or low.rstrip()[-1] in ".!?"):
+            yield "\n".join(parts), starts
+            parts, starts, at = [], [], 0
+    if parts:
+        yield "\n".join(parts), starts
+
+
+def scan(model: Model, text: str) -> list[tuple[str, float, bool, int, int, int]]:
+    """Finds in a text: (family, probability, confirmed, line, first word, word after the last), the words counted within the paragraph."""
+    out = []
+    for low, starts in paragraphs(text):
         if model.vocabulary.isdisjoint(low.split()) and model.vocabulary.isdisjoint(_WORD.findall(low)):
             continue
-        words = _WORD.findall(low)
+        found = list(_WORD.finditer(low))
+        words = [m.group() for m in found]
         hits = [i for i, w in enumerate(words) if w in model.vocabulary]
         start = 0
         for k in range(1, len(hits) + 1):
             if k < len(hits) and hits[k] - hits[k - 1] <= GAP:
                 continue
             a, z = max(0, hits[start] - MARGIN), min(len(words), hits[k - 1] + 1 + MARGIN)
+            first = found[hits[start]].start()
             start = k
             p = model.probabilities(words[a:z])
             best = int(p.argmax())
             if best and p[best] >= PROBABLE:
                 sure = model.confirm(best, words[a:z]) >= CONFIRMED
-                out.append((model.names[best], float(p[best]), sure, number, a, z))
+                line = starts[bisect.bisect_right(starts, first, key=lambda x: x[0]) - 1][1]
+                out.append((model.names[best], float(p[best]), sure, line, a, z))
     return out
 
 
 def scan_licences(docs: DataFrame, model: Model | None = None, *, text: str = "text") -> DataFrame:
     """Adds licences: array of struct (family, probability, confirmed, line, start, stop), in the order of the text.
 
-    Each line's licence words (those of templates that are no stop words) with few others between them make a paragraph; a line without one is
-    unknown. A find has a family's calibrated probability of ``PROBABLE`` or more against all others and unknown; it is confirmed if it shares enough
+    Of each paragraph of the text (see ``paragraphs``) the licence words (those of templates that are no stop words) with few others between them are what is classified; one
+    without such words is unknown. A find has a family's calibrated probability of ``PROBABLE`` or more against all others and unknown; it is confirmed if it shares enough
     word pairs with one of the family's templates. Null and empty texts have no finds. Other columns pass through; one named licences is replaced.
     """
     model = model or train()

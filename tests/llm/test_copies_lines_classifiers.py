@@ -286,6 +286,14 @@ def test_licences(spark):
     assert licences.licence_rows(docs.limit(0)).count() == 0
 
 
+def test_wrapped_notice_is_one_paragraph():
+    notice = licences.TEMPLATES["mit"][1].split()
+    wrapped = "Some prose stands here.\n\n" + "\n".join(" ".join(notice[i : i + 7]) for i in range(0, len(notice), 7)) + ".\nMore prose follows.\nReleased under the MIT License.\nLicensed under CC BY 4.0."
+    got = licences.scan(licences.train(), wrapped)
+    assert [(f[0], f[2]) for f in got] == [("mit", True), ("mit", True), ("cc-by", True)]
+    assert got[0][3] == 2 and got[0][5] - got[0][4] >= len(notice) - 8
+
+
 def test_media_copies(spark):
     rng = np.random.default_rng(9)
     vectors = [(i, [float(x) for x in rng.normal(0, 0.125, size=64)], 0) for i in range(60)]
