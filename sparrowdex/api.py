@@ -28,10 +28,16 @@ TABLES = {
     "document_groups": "document_id string, knowledge_base_id string",
     "knowledge_bases": "id string, tenant_id string, name string, created_at timestamp",
     "ingest_jobs": "id string, tenant_id string, document_id string, blob_key string, status string, attempt int, step string, progress int, error string, created_at timestamp, updated_at timestamp",
+    "retrievals": "document_id string, retrieval_id string, tenant_id string, at timestamp",
     "api_keys": "hash string, tenant_id string, name string, scopes array<string>, knowledge_base_ids array<string>, revoked_at timestamp",
 }
 
 
+#: The scopes of keys.
+READ, WRITE = "kb:read", "kb:write"
+OLDER = {READ: ("read", "search"), WRITE: ("ingest",)}
+
+
 @dataclass
 class Key:
     tenant: str
@@ -39,8 +45,8 @@ class Key:
     knowledge_bases: list[str] = field(default_factory=list)
 
     def require(self, scope: str) -> None:
-        """No scopes means all of them."""
-        if self.scopes and scope not in self.scopes:
+        """No scopes means all of them. The narrower names of older keys count as well."""
+        if self.scopes and not {scope, *OLDER.get(scope, ())} & set(self.scopes):
             raise PermissionError(f"the key lacks {scope}")
 
     def narrowed(self, wanted: list[str] | None) -> list[str] | None:
@@ -61,33 +67,45 @@ def hash_key(key: str) -> str:
 
 
 class Tables:
-    """Named tables in a folder; each write goes beside the old version and then takes its place, so readers never see half of one."""
+    """Named tables in a folder. A version's files lie beside one another in folders of their own, and a line of the table's list names each.
+
+    ``write`` begins a new version; ``append`` adds a folder to the newest one, so nothing that is stored is read or written again, and two writers at once both
+    count. A folder counts from the moment that it is listed, so readers never see half of one.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self, name: str) -> str | None:
+    def _listed(self, name: str) -> list[str]:
+        """Folders of the newest version: v{version}-{id} each."""
         path = f"{self.root}/{name}/_current"
         if not store.exists(self.spark, path):
-            return None
-        return self.spark.read.text(path).orderBy(F.desc("value")).head()[0]
+            return []
+        version = F.substring_index("value", "-", 1)
+        newest = self.spark.read.text(path).groupBy(version.alias("v")).agg(F.sort_array(F.collect_list("value")).alias("at")).orderBy(F.desc("v")).head()
+        return list(newest["at"])
 
     def read(self, name: str) -> DataFrame:
-        at = self._pointer(name)
-        if at is None:
+        at = self._listed(name)
+        if not at:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/{at}")
+        return self.spark.read.schema(TABLES[name]).parquet(*(f"{self.root}/{name}/{x}" for x in at))
 
-    def write(self, name: str, rows: DataFrame) -> None:
-        old = self._pointer(name)
-        number = 1 + int(old.split("-")[0][1:]) if old else 1
+    def _put(self, name: str, rows: DataFrame, number: int) -> None:
         at = f"v{number:09d}-{uuid.uuid4().hex}"
         schema = self.spark.createDataFrame([], TABLES[name]).schema
         rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(f"{self.root}/{name}/{at}")
         self.spark.createDataFrame([(at,)], "value string").write.mode("append").text(f"{self.root}/{name}/_current")
 
+    def _number(self, name: str) -> int:
+        at = self._listed(name)
+        return int(at[0].split("-")[0][1:]) if at else 0
+
+    def write(self, name: str, rows: DataFrame) -> None:
+        self._put(name, rows, self._number(name) + 1)
+
     def append(self, name: str, rows: DataFrame) -> None:
-        self.write(name, self.read(name).unionByName(rows, allowMissingColumns=True))
+        self._put(name, rows, max(1, self._number(name)))
 
 
 class KnowledgeBase:
@@ -119,7 +137,7 @@ class KnowledgeBase:
         Rejected and unreadable files become failed documents with an error; the others are chunked, their entities and relations found, embedded and stored. Taking the same
         paths in again makes new documents.
         """
-        self.key.require("ingest")
+        self.key.require(WRITE)
         now = datetime.now(UTC)
         groups = self.key.narrowed(kb_ids)
         if kb_ids and not groups:
@@ -162,15 +180,18 @@ class KnowledgeBase:
 
     def documents(self, kb_ids: list[str] | None = None, limit: int = 100) -> DataFrame:
         """Newest documents with their chunk counts; a request for groups that the key may not see lists nothing."""
-        self.key.require("read")
+        self.key.require(READ)
         groups = self.key.narrowed(kb_ids)
         rows = self._documents(groups)
         rows = rows.limit(0) if groups is not None and not groups else rows
-        return store.newest(store.chunk_counts(rows, self.tables.read("chunks")), limit)
+        found = store.newest(store.chunk_counts(rows, self.tables.read("chunks")), limit)
+        seen = self.tables.read("retrievals").groupBy(F.col("document_id").alias("id")).agg(F.countDistinct("retrieval_id").alias("_n"), F.max("at").alias("_at"))
+        found = found.join(seen, "id", "left").withColumns({"retrieval_count": F.coalesce("retrieval_count", F.lit(0)) + F.coalesce("_n", F.lit(0)), "last_retrieved_at": F.greatest("last_retrieved_at", "_at")})
+        return found.drop("_n", "_at").orderBy(F.desc("created_at"), "id")
 
     def delete(self, document_id: str) -> bool:
         """Removes a document and all that was made of it."""
-        self.key.require("ingest")
+        self.key.require(WRITE)
         ids = self._documents(self.key.narrowed(None)).filter(F.col("id") == document_id).select("id")
         if not ids.take(1):
             return False
@@ -184,7 +205,7 @@ class KnowledgeBase:
 
     def search(self, query: str, *, max_chunks: int = 8, kb_ids: list[str] | None = None, document_ids: list[str] | None = None, category: str | None = None, hybrid: bool = False) -> retrieval.Result | DataFrame:
         """Searches documents by id, by hybrid retrieval, or by the default; each within the key's groups. Counts a hit for each document found."""
-        self.key.require("search")
+        self.key.require(READ)
         k = min(50, max(1, int(max_chunks)))
         groups = self.key.narrowed(kb_ids)
         meta = self._documents(groups, category)
@@ -193,10 +214,30 @@ class KnowledgeBase:
         meta = meta.select(F.col("id").alias("document_id"), "title", "categories")
         chunks = self.tables.read("chunks").filter(F.col("tenant_id") == self.key.tenant).drop("tenant_id")
         if document_ids:
-            return retrieval.by_documents(chunks, meta, document_ids, query, embedder=self.embedder, k=k)
-        if hybrid:
-            return retrieval.hybrid(chunks, meta, self.tables.read("entities"), query, embedder=self.embedder, max_chunks=k)
-        return retrieval.retrieve(chunks, meta, query, embedder=self.embedder, max_chunks=k, minimum=-1.0, expander=self.expander, reranker=self.reranker)
+            found = retrieval.by_documents(chunks, meta, document_ids, query, embedder=self.embedder, k=k)
+        elif hybrid:
+            found = retrieval.hybrid(chunks, meta, self.tables.read("entities"), query, embedder=self.embedder, max_chunks=k)
+        else:
+            found = retrieval.retrieve(chunks, meta, query, embedder=self.embedder, max_chunks=k, expander=self.expander, reranker=self.reranker)
+
+        hits = found.hits if isinstance(found, retrieval.Result) else found
+        # one row for each document found, 50 at most, beside what is stored
+        ids = hits.select("document_id").distinct().withColumns({"retrieval_id": F.lit(uuid.uuid4().hex), "tenant_id": F.lit(self.key.tenant), "at": F.lit(datetime.now(UTC))})
+        self.tables.append("retrievals", ids)
+        return found
+
+    def clear(self) -> None:
+        """Removes all that the tenant has but its keys."""
+        self.key.require(WRITE)
+        names = ("documents", "chunks", "entities", "relations", "document_groups", "knowledge_bases", "ingest_jobs", "retrievals")
+        for name, rows in store.without_tenant({n: self.tables.read(n) for n in names}, self.key.tenant).items():
+            self.tables.write(name, rows)
+
+    def events(self, since: datetime | None = None) -> DataFrame:
+        """Frames of the tenant's jobs, oldest first: what each reported last, its percentage and the name of its step."""
+        self.key.require(READ)
+        rows = self.jobs() if since is None else self.jobs().filter(F.col("updated_at") > F.lit(since))
+        return rows.select("id", "document_id", "status", "step", T.step_name(F.col("step")).alias("label"), "progress", "error", "updated_at").orderBy("updated_at", "id")
 
     def record(self, hits: DataFrame) -> None:
         """Adds one to the counter of every document among the hits."""
@@ -206,7 +247,7 @@ class KnowledgeBase:
     # -- groups, jobs, the rest
 
     def create_kb(self, name: str) -> str:
-        self.key.require("ingest")
+        self.key.require(WRITE)
         mine = self.tables.read("knowledge_bases").filter(F.col("tenant_id") == self.key.tenant)
         if mine.filter(F.col("name") == name).take(1):
             raise ValueError(f"{name} exists")
@@ -215,14 +256,14 @@ class KnowledgeBase:
         return kb
 
     def knowledge_bases(self) -> DataFrame:
-        self.key.require("read")
+        self.key.require(READ)
         mine = self.tables.read("knowledge_bases").filter(F.col("tenant_id") == self.key.tenant)
         if self.key.knowledge_bases:
             mine = mine.filter(F.col("id").isin(self.key.knowledge_bases))
         return store.knowledge_bases(mine, self.tables.read("document_groups"))
 
     def job(self, job_id: str) -> DataFrame:
-        self.key.require("read")
+        self.key.require(READ)
         return self.tables.read("ingest_jobs").filter((F.col("id") == job_id) & (F.col("tenant_id") == self.key.tenant))
 
     def jobs(self) -> DataFrame:

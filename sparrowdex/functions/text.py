@@ -204,12 +204,29 @@ def verdict(reply: Column) -> Column:
 # -- progress --------------------------------------------------------------------------------------
 
 #: Cost of each step of an ingest job.
-STEPS = {"queued": 0, "extracting": 45, "chunking": 4, "entities": 22, "figures": 10, "embedding": 12, "storing": 7, "done": 0}
+STEPS = {"queued": 0, "extracting": 45, "chunking": 4, "extracting_entities": 22, "processing_figures": 10, "embedding": 12, "storing": 7, "done": 0}
+
+#: What each step is called.
+STEP_NAMES = {
+    "queued": "Queued",
+    "extracting": "Extracting text",
+    "chunking": "Chunking",
+    "extracting_entities": "Analyzing entities",
+    "processing_figures": "Processing figures",
+    "embedding": "Embedding",
+    "storing": "Storing",
+    "done": "Done",
+}
+
+
+def step_name(step: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in STEP_NAMES.items() for x in kv]), step), step)
 
 
 def progress(step: Column, current: Column, total: Column, entities: Column, figures: Column) -> Column:
-    """Percent of an ingest job: finished steps and the share of the current one, by cost; 100 only when done."""
-    cost = {s: F.when(entities if s == "entities" else figures, F.lit(float(c))).otherwise(0.0) if s in ("entities", "figures") else F.lit(float(c)) for s, c in STEPS.items()}
+    """Percent of an ingest job: finished steps and the share of the current one, by cost; 100 only when done. Older rows' names of two steps count as well."""
+    step = F.when(step == "entities", "extracting_entities").when(step == "figures", "processing_figures").otherwise(step)
+    cost = {s: F.when(entities if s == "extracting_entities" else figures, F.lit(float(c))).otherwise(0.0) if s in ("extracting_entities", "processing_figures") else F.lit(float(c)) for s, c in STEPS.items()}
     whole = sum(cost.values(), F.lit(0.0))
     run, chain_before, chain_own = F.lit(0.0), None, None
     for s in STEPS:

@@ -142,27 +142,28 @@ def classify(block: str) -> tuple[str, str | None, int]:
 
 
 def fixed_words(text: str, size: int) -> list[str]:
-    out = []
-    while len(text) > size:
-        cut = text.rfind(" ", 0, size)
-        cut = cut if cut > size / 2 else size
-        out.append(text[:cut].strip())
-        text = text[cut:].strip()
-    return [*out, text] if text else out
+    """Parts of at most ``size`` characters, cut at the last blank up to there if it lies in the second half; trimmed after they are measured."""
+    cuts = [0]
+    while cuts[-1] + size < len(text):
+        at = cuts[-1]
+        blank = text.rfind(" ", at, at + size + 1)
+        cuts.append(blank if blank - at > size / 2 else at + size)
+    parts = (text[a:b].strip() for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True))
+    return [p for p in parts if p]
 
 
 def sentence_groups(text: str, size: int) -> list[str]:
-    sentences = _SENTENCE.split(text)
+    sentences = [s for s in _SENTENCE.split(text) if s.strip()]
     if len(sentences) < 2:
         return fixed_words(text, size)
     out, held = [], ""
     for s in sentences:
-        if held and len(held) + 1 + len(s) > size:
-            out.append(held)
+        if held and len(held) + len(s) > size:  # the blank between them isn't counted
+            out.append(held.strip())
             held = s
         else:
             held = f"{held} {s}" if held else s
-    return [*out, held] if held else out
+    return [*out, held.strip()] if held.strip() else out
 
 
 def smart(text: str, size: int = 800, overlap: int = 200) -> Iterator[dict]:

@@ -104,6 +104,23 @@ def alive(documents: DataFrame, tenant: str, *, category: str | None = None, gro
     return rows
 
 
+def matching(rows: DataFrame, **wanted) -> DataFrame:
+    """Rows equal to all given values; a list takes any of its values, None only nulls. Conditions reach the scan."""
+    for name, value in wanted.items():
+        c = F.col(f"`{name}`")
+        rows = rows.filter(c.isNull() if value is None else c.isin(list(value)) if isinstance(value, (list, tuple, set)) else c == F.lit(value))
+    return rows
+
+
+def without_tenant(tables: dict[str, DataFrame], tenant: str) -> dict[str, DataFrame]:
+    """All tables without what belongs to a tenant; rows that name no tenant go with their documents."""
+    mine = tenant_rows(tables["documents"], tenant).select(F.col("id").alias("document_id"))
+    out = {}
+    for name, t in tables.items():
+        out[name] = t.filter(~F.col("tenant_id").eqNullSafe(F.lit(tenant))) if "tenant_id" in t.columns else delete_rows(t, mine)
+    return out
+
+
 def visible(ids: DataFrame, documents: DataFrame, tenant: str) -> DataFrame:
     return ids.join(alive(documents, tenant).select(F.col("id").alias(ids.columns[0])), ids.columns[0], "left_semi")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -278,7 +279,8 @@ def _entity_sql(source: str, key: str, column: str, confidence: float, *rules: s
 
 
 _pages = lambda s, d: table(s, d, "pages")
-for _name, _kind, _rows, _key, _col, _conf, _rules in [
+#: The expressions of the rules, for the SQL.
+_ENTITY_QUERIES = [
     ("entity_email", "Email", _docs, "doc_id", "text", 0.95, [r"\b[\w%+.-]+@[\d.A-Za-z-]+\.[A-Za-z]{2,}\b"]),
     ("entity_url", "URL", _pages, "page_id", "url", 0.95, [r"https?://(?:www\.)?[\w#%+.:=@~-]{1,256}\.[\d()A-Za-z]{1,6}\b(?:[\w#%&()+./:=?@~-]*)"]),
     ("entity_percent", "Number", _docs, "doc_id", "text", 0.9, [r"\b\d+(?:\.\d+)?%"]),
@@ -288,7 +290,8 @@ for _name, _kind, _rows, _key, _col, _conf, _rules in [
     ("entity_api", "API", _pages, "page_id", "url", 0.85, [r"/api/[\w/-]+"]),
     ("entity_function", "Function", _pages, "page_id", "html", 0.7, [r"\b[A-Z_a-z]\w*\s*\(\)"]),
     ("entity_error", "Error", _docs, "doc_id", "text", 0.8, [r"\b(?i:ERR|ERROR|E)[-_]?\d{3,5}\b"]),
-]:
+]
+for _name, _kind, _rows, _key, _col, _conf, _rules in _ENTITY_QUERIES:
     _f = _entities(_kind, _rows, _key, _col)
     _QUERIES[_name] = _f
     _SQL[_name] = _entity_sql("pages" if _rows is _pages else "documents", _key, _col, _conf, *_rules)
@@ -424,12 +427,14 @@ def doc_scope_filter(s, d):
 
 @query("SELECT d.doc_id, d.lang FROM documents d SEMI JOIN labels l ON d.doc_id = l.doc_id")
 def left_semi_scope(s, d):
-    return _docs(s, d).join(table(s, d, "labels"), "doc_id", "left_semi").select("doc_id", "lang")
+    docs = _docs(s, d).withColumnRenamed("doc_id", "document_id")
+    mine = table(s, d, "labels").select(F.col("doc_id").alias("id"), F.lit("t").alias("tenant_id"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    return store.visible(docs.select("document_id", "lang"), mine, "t").select(F.col("document_id").alias("doc_id"), "lang")
 
 
 @query("SELECT d.doc_id, d.lang FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id")
 def anti_leak(s, d):
-    return _docs(s, d).join(table(s, d, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
+    return store.delete_rows(_docs(s, d), table(s, d, "labels").select("doc_id"), key="doc_id").select("doc_id", "lang")
 
 
 @query("SELECT n_name AS name, count(c_custkey) AS documents FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_mktsegment = 'BUILDING' GROUP BY 1 ORDER BY 1")
@@ -547,8 +552,9 @@ def job_reap(s, d):
     return jobs.reapable(rows, now).select("id")
 
 
-_STEP = "CASE event_id % 8 WHEN 0 THEN 'queued' WHEN 1 THEN 'extracting' WHEN 2 THEN 'chunking' WHEN 3 THEN 'entities' WHEN 4 THEN 'figures' WHEN 5 THEN 'embedding' WHEN 6 THEN 'storing' ELSE 'done' END"
-_COST = {k: (f"CASE WHEN {k[0]} THEN {c} ELSE 0 END" if k in ("entities", "figures") else str(c)) for k, c in text.STEPS.items()}
+_STEP = "CASE event_id % 8 WHEN 0 THEN 'queued' WHEN 1 THEN 'extracting' WHEN 2 THEN 'chunking' WHEN 3 THEN 'extracting_entities' WHEN 4 THEN 'processing_figures' WHEN 5 THEN 'embedding' WHEN 6 THEN 'storing' ELSE 'done' END"
+_FLAG = {"extracting_entities": "e", "processing_figures": "f"}
+_COST = {k: (f"CASE WHEN {_FLAG[k]} THEN {c} ELSE 0 END" if k in _FLAG else str(c)) for k, c in text.STEPS.items()}
 _BEFORE = " ".join(f"WHEN '{k}' THEN {' + '.join(list(_COST.values())[:i]) or '0'}" for i, k in enumerate(text.STEPS))
 
 
@@ -759,3 +765,202 @@ def re_embed_by_model(s, d):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.filter("documents > 0").drop("documents")
+
+# -- the rest of the surface, over made texts where the tables have none of their kind -----------------------
+
+
+def _parts(s, d):
+    return table(s, d, "part")
+
+
+_L = F.lit
+
+
+@query(r"SELECT p_partkey, trim(regexp_extract('intro' || chr(10) || '## ' || p_name || ' ' || chr(10) || 'rest', '(?m)^#+\s+(.+)$', 1)) AS header FROM part")
+def first_header(s, d):
+    return _parts(s, d).select("p_partkey", text.first_header(F.concat(_L("intro\n## "), "p_name", _L(" \nrest"))).alias("header"))
+
+
+@query("SELECT p_partkey, p_partkey % 3 = 0 AS meaningful, CASE p_partkey % 4 WHEN 0 THEN 'chart' WHEN 1 THEN 'table' WHEN 2 THEN 'image' ELSE 'figure' END AS kind, p_name AS bare FROM part")
+def caption_kinds(s, d):
+    start = F.when(F.col("p_partkey") % 3 == 0, "Gambar 3.1 ").otherwise("Some ")
+    raw = F.element_at(F.array(*map(_L, ("chart", "table", "image_block", "photo"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return _parts(s, d).select("p_partkey", text.caption_meaningful(F.concat(start, "p_name")).alias("meaningful"), text.figure_kind(raw).alias("kind"), text.strip_bracket(F.concat(_L("[fig 2]  "), "p_name")).alias("bare"))
+
+
+@query(
+    f"""SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(p_name || ' untuk raja kecil', '[^A-Za-z]+'), lambda w: length(w) >= 4 AND NOT list_contains([{', '.join(f"'{w}'" for w in text.CAPTION_STOPWORDS)}], lower(w))), ',') AS words FROM part"""
+)
+def caption_words(s, d):
+    return _parts(s, d).select("p_partkey", F.array_join(text.caption_keywords(F.concat(_L("Tabel 2.4 "), "p_name", _L(" untuk raja kecil"))), ",").alias("words"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 4 THEN 'force' WHEN event_id % 4 = 0 THEN 'force' WHEN event_id % 4 = 1 THEN 'skip' ELSE 'auto' END AS mode FROM events WHERE event_id % 5 <> 4 OR event_id % 4 = 3")
+def figure_modes(s, d):
+    value = F.element_at(F.array(*map(_L, ("force", "skip", "auto", "other"))), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = table(s, d, "events").filter("event_id % 5 <> 4 OR event_id % 4 = 3")
+    return rows.select("event_id", text.figure_mode(value, F.when(F.col("event_id") % 5 == 4, "True")).alias("mode"))
+
+
+@query("SELECT p_partkey, p_name || '|' || p_brand AS listed, p_brand || '|' || p_type AS parsed, p_name || '|' || p_brand AS salvaged, p_name || '|' || p_brand AS queries FROM part")
+def small_parsers(s, d):
+    both = lambda c: F.array_join(c, "|")
+    reply = F.concat(_L("Sure:\n[\""), "p_name", _L("\", \""), "p_brand", _L("\"] as asked"))
+    return _parts(s, d).select(
+        "p_partkey",
+        both(text.list_param(F.concat("p_name", _L(" , ,"), "p_brand"))).alias("listed"),
+        both(text.list_param(F.concat(_L("[\""), "p_brand", _L("\",\""), "p_type", _L("\"]")))).alias("parsed"),
+        both(text.salvage_array(reply)).alias("salvaged"),
+        both(text.distinct_queries(F.col("p_name"), F.array(F.upper("p_name"), F.col("p_brand"), F.concat(_L(" "), F.lower("p_brand"))))).alias("queries"),
+    )
+
+
+@query(
+    """WITH p AS (SELECT event_id, (event_id % 101)::INT AS pct, event_id % 600 AS spent FROM events)
+    SELECT event_id, CASE WHEN pct > 5 AND pct < 100 THEN greatest(1, floor(spent * 1000.0::DOUBLE * (100 - pct) / pct / 1000 + 0.5))::BIGINT END AS eta FROM p"""
+)
+def progress_eta(s, d):
+    began = F.col("ts").cast("timestamp")
+    later = F.timestamp_millis(F.unix_millis(began) + F.col("event_id") % 600 * 1000)
+    return table(s, d, "events").select("event_id", text.eta_seconds((F.col("event_id") % 101).cast("int"), began, later).alias("eta"))
+
+
+_NAMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.STEP_NAMES.items())
+
+
+@query(f"SELECT event_id, (CASE {_STEP} {_NAMES} END) || ' · ' || (event_id % 7) || '/9' || CASE WHEN event_id % 200 >= 60 THEN ' · ~' || floor((event_id % 200) / 60.0 + 0.5)::BIGINT || ' min left' ELSE ' · ~' || (event_id % 200) || ' s left' END AS label FROM events")
+def progress_labels(s, d):
+    step = F.element_at(F.array(*[_L(x) for x in text.STEPS]), (F.col("event_id") % 8 + 1).cast("int"))
+    return table(s, d, "events").select("event_id", text.progress_label(text.step_name(step), F.col("event_id") % 7, _L(9), F.col("event_id") % 200).alias("label"))
+
+
+@query("SELECT conv_id, role || ' ' || turn AS said FROM conversations")
+def message_texts(s, d):
+    part = lambda kind, c: F.struct(_L(kind).alias("type"), c.alias("text"))
+    parts = F.array(part("text", F.col("role")), part("image", _L("x")), part("text", _L(None).cast("string")), part("text", F.col("turn").cast("string")))
+    return table(s, d, "conversations").select("conv_id", text.message_text(parts).alias("said"))
+
+
+@query("SELECT p_partkey, 'Doc ' || p_name || ' / Section 1|' || upper(p_name) || ' / ' AS cited, 0.5::DOUBLE AS ratio FROM part")
+def citation_grounding(s, d):
+    answer = F.concat(_L("See [Doc "), "p_name", _L(" — Section 1], [1], [^2], **"), F.upper("p_name"), _L("** and again [Doc "), "p_name", _L(" — Section 1]. [note: x]"))
+    found = text.citations(answer)
+    marked = text.grounded(found, F.array(F.concat(_L("The doc "), F.lower("p_name"), _L(" in full"))))
+    rows = _parts(s, d).select("p_partkey", found.alias("c"), marked.alias("m"))
+    shown = F.array_join(F.transform("c", lambda x: F.concat(x["title"], _L(" / "), F.coalesce(x["section"], _L("")))), "|")
+    first = F.filter("m", lambda x: x["supported"] & x["title"].startswith("Doc "))
+    return rows.select("p_partkey", shown.alias("cited"), (F.size(first) / F.size("m")).alias("ratio"))
+
+
+@query("SELECT vec_id, round(similarity, 6) AS similarity FROM (SELECT e.vec_id, " + _SIM + f" AS similarity FROM embeddings e, {_Q0} q) ORDER BY similarity DESC, vec_id LIMIT 10")
+def ann_cells_all(s, d):
+    """Cells with all of them probed: the exact answer."""
+    celled, centres = vector.build_cells(_vectors(s, d), 10)
+    return vector.cell_top_k(celled, centres, _vector_of(s, d, 0), 10, key="vec_id", probes=10).select("vec_id", _SIX())
+
+
+@query("SELECT conv_id, turn, conv_id || '_' || turn AS chunk_id, section FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN NULL ELSE role END AS section FROM conversations)")
+def chunk_contract(s, d):
+    rows = table(s, d, "conversations").select("conv_id", "turn", F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), F.when(F.col("role") == "user", "").otherwise(F.col("role")).alias("section"), F.array(_L(1.0), _L(2.0)).alias("embedding"))
+    return store.validated_chunks(rows, 2).select("conv_id", "turn", "chunk_id", "section")
+
+
+@query("SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1)::INT AS chunk_index FROM conversations")
+def chunk_reindex(s, d):
+    rows = table(s, d, "conversations").select(F.col("conv_id").alias("document_id"), "turn")
+    return store.reindex(rows, F.desc("turn")).select(F.col("document_id").alias("conv_id"), "turn", F.col("chunk_index").cast("int").alias("chunk_index"))
+
+
+@query("SELECT n_nationkey, n_name AS kept, CASE WHEN n_nationkey IN (1, 2, 3) THEN 'yes' END AS stale FROM nation")
+def document_flags(s, d):
+    rows = table(s, d, "nation").withColumn("metadata", F.create_map(_L("name"), F.col("n_name")))
+    return store.set_flag(rows, [1, 2, 3], "stale", "yes", key="n_nationkey").select("n_nationkey", F.col("metadata")["name"].alias("kept"), F.try_element_at("metadata", _L("stale")).alias("stale"))
+
+
+@query("SELECT n_nationkey, n_regionkey + count(DISTINCT c_mktsegment) AS retrieval_count, count(c_custkey) > 0 AS seen FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 5000 GROUP BY n_nationkey, n_regionkey")
+def document_hits(s, d):
+    docs = table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").cast("long").alias("retrieval_count"), _L(None).cast("timestamp").alias("last_retrieved_at"))
+    hits = table(s, d, "customer").filter("c_acctbal > 5000").select(F.col("c_nationkey").alias("document_id"), F.col("c_mktsegment").alias("retrieval_id"))
+    now = _jobs(s, d)[1]
+    return store.record_hits(docs, hits, now).select(F.col("id").alias("n_nationkey"), "retrieval_count", F.col("last_retrieved_at").isNotNull().alias("seen"))
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2') AND n_chars = n_chars")
+def equality_filters(s, d):
+    return store.matching(_docs(s, d), lang="en", source=["src1", "src2"]).select("doc_id")
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_nationkey % 2 <> 1")
+def clear_tenant(s, d):
+    rows = table(s, d, "supplier").select("s_suppkey", F.col("s_suppkey").alias("id"), F.when(F.col("s_nationkey") % 2 == 1, "odd").otherwise("even").alias("tenant_id"))
+    return store.without_tenant({"documents": rows, "chunks": rows.select("s_suppkey", F.col("id").alias("document_id"))}, "odd")["chunks"].select("s_suppkey")
+
+
+@query(f"WITH {_JOBS} SELECT id, status = 'processing' AND id % 2 = 0 AS touched FROM j")
+def job_heartbeat(s, d):
+    rows, now = _jobs(s, d)
+    then = rows.select("id", F.col("updated_at").alias("before"))
+    out = jobs.heartbeat(rows, rows.filter("id % 2 = 0").select("id"), datetime(2100, 1, 1)).join(then, "id")
+    return out.select("id", (F.col("updated_at") > F.col("before")).alias("touched"))
+
+
+@query(f"WITH {_JOBS} SELECT id, CASE WHEN id % 2 = 0 AND status IN ('pending', 'processing') THEN 'embedding' ELSE 'queued' END AS step, CASE WHEN id % 2 = 0 AND status IN ('pending', 'processing') THEN (id % 100)::INT ELSE 0 END AS progress FROM j")
+def job_progress(s, d):
+    rows, now = _jobs(s, d)
+    rows = rows.withColumns({"step": _L("queued"), "progress": _L(0)})
+    reports = rows.filter("id % 2 = 0").select("id", _L("embedding").alias("step"), (F.col("id") % 100).cast("int").alias("progress"))
+    return jobs.update_progress(rows, reports, now).select("id", "step", "progress")
+
+
+@query(f"WITH {_JOBS} SELECT id, CASE WHEN id % 4 <> 0 THEN blob_key END AS blob_key FROM j")
+def job_clear_blobs(s, d):
+    rows, _ = _jobs(s, d)
+    return jobs.clear_blobs(rows, rows.filter("id % 4 = 0").select("id")).select("id", "blob_key")
+
+
+@query("SELECT event_id FROM events WHERE event_type = (SELECT min(event_type) FROM events)")
+def tenant_frames(s, d):
+    e = table(s, d, "events").withColumn("tenant_id", F.col("event_type"))
+    return jobs.tenant_events(e, e.agg(F.min("event_type")).head()[0]).select("event_id")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id AS job_id, event_type AS step, ts, event_id AS seq, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT job_id, step, ts, seq, t, n, t AS last, step AS said, true AS keep FROM e WHERE n = 1
+      UNION ALL SELECT e.job_id, e.step, e.ts, e.seq, e.t, e.n, CASE WHEN e.step <> r.said OR e.t - r.last >= 900 THEN e.t ELSE r.last END, CASE WHEN e.step <> r.said OR e.t - r.last >= 900 THEN e.step ELSE r.said END, e.step <> r.said OR e.t - r.last >= 900
+      FROM r JOIN e ON e.job_id = r.job_id AND e.n = r.n + 1)
+    SELECT job_id, step, ts, seq FROM r WHERE keep"""
+)
+def throttle_kept(s, d):
+    return throttle_emits(s, d)
+
+
+@query("SELECT p_partkey, 'Category: ' || p_brand || chr(10) || 'Section: ' || p_type || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || 'Context: ' || p_container ELSE '' END || chr(10) || p_name AS embedded FROM (SELECT *, p_brand AS p_container FROM part)")
+def embedding_texts(s, d):
+    prefix = F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise("")
+    return _parts(s, d).select("p_partkey", vector.embedding_text_with_header(F.col("p_brand"), _L(None).cast("string"), F.col("p_type"), prefix, F.col("p_name")).alias("embedded"))
+
+
+@query("SELECT DISTINCT a.n_nationkey AS start, b.n_nationkey AS node FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+def graph_both_ways(s, d):
+    n = table(s, d, "nation")
+    edges = n.select(F.col("n_nationkey").alias("src"), (F.col("n_regionkey") + 1000).alias("dst"), _L("in").alias("rel_type"))
+    return graph.traverse(edges, n.select(F.col("n_nationkey").alias("start")), depth=2, direction="both").select("start", "node")
+
+
+_MADE = "(SELECT p_partkey, p_name || ' cost $' || p_size || ',250.75 or EUR ' || p_size || ' on ' || (1 + p_size % 28) || '/05/2024 and 2024-06-' || (10 + p_size % 20) || ', ERR-' || (1000 + p_partkey % 9000) || ' from /api/v' || (p_size % 9) || '/items by load_' || (p_size % 7) || '()' AS text FROM part)"
+
+
+def _made(s, d):
+    c = F.col
+    t = lambda x: x.cast("string")
+    said = F.concat(
+        c("p_name"), _L(" cost $"), t(c("p_size")), _L(",250.75 or EUR "), t(c("p_size")), _L(" on "), t(1 + c("p_size") % 28), _L("/05/2024 and 2024-06-"), t(10 + c("p_size") % 20),
+        _L(", ERR-"), t(1000 + c("p_partkey") % 9000), _L(" from /api/v"), t(c("p_size") % 9), _L("/items by load_"), t(c("p_size") % 7), _L("()"),
+    )
+    return _parts(s, d).select("p_partkey", said.alias("text"))
+
+
+for _name, _kind, _conf, _rules in [(n, k, c, r) for n, k, _, _, _, c, r in _ENTITY_QUERIES if n in ("entity_date", "entity_currency", "entity_api", "entity_function", "entity_error")]:
+    _QUERIES[f"{_name}_made"] = _entities(_kind, _made, "p_partkey", "text")
+    _SQL[f"{_name}_made"] = _entity_sql(_MADE, "p_partkey", "text", _conf, *_rules)

@@ -64,7 +64,7 @@ CHAT_MIMES = sorted(set(MIME.values()) - {"image/heic"})
 
 
 def is_document_mime(mime: str) -> bool:
-    return mime in EXTENSION
+    return mime in EXTENSION or mime == "text/xml"
 
 
 def is_chat_mime(mime: str) -> bool:

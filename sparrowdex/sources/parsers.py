@@ -243,14 +243,22 @@ def pdf_pages(data: bytes) -> list[str]:
                 return b""
         return m.group(1)
 
-    pages = []
-    for number in sorted(objects):
-        body = objects[number]
-        if re.search(rb"/Type\s*/Page\b(?!s)", body):
-            m = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
-            refs = [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", m.group(1))] if m else []
-            pages.append(_pdf_text(b"\n".join(stream(r) for r in refs)))
-    return pages
+    refs = lambda body, name: [int(x) for m in [re.search(rb"/" + name + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)] if m for x in re.findall(rb"(\d+)\s+\d+\s+R", m.group(1))]
+    kind = {n: bool(re.search(rb"/Type\s*/Page\b(?!s)", body)) for n, body in objects.items()}
+    # in the order of the tree of pages; pages that it doesn't reach come last, by number
+    order: dict[int, None] = {}
+    roots = [r for body in objects.values() if re.search(rb"/Type\s*/Catalog\b", body) for r in refs(body, b"Pages")]
+    todo, seen = roots[::-1], set()
+    while todo:
+        n = todo.pop()
+        if n in seen or n not in objects:
+            continue
+        seen.add(n)
+        if kind[n]:
+            order[n] = None
+        todo += refs(objects[n], b"Kids")[::-1]
+    order |= dict.fromkeys(n for n in sorted(objects) if kind[n])
+    return [_pdf_text(b"\n".join(stream(r) for r in refs(objects[n], b"Contents"))) for n in order]
 
 
 def split_pages(pages: list, size: int) -> list[list]:

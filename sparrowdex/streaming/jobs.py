@@ -60,6 +60,27 @@ def finish(jobs: DataFrame, outcomes: DataFrame, now: datetime) -> DataFrame:
     ).withColumnRenamed("_e", "error").drop("_o")
 
 
+def heartbeat(jobs: DataFrame, ids: DataFrame, now: datetime) -> DataFrame:
+    """Jobs whose workers (ids: id) report: those that are being worked on count as touched now, others stay as they are."""
+    rows = jobs.join(ids.select("id").distinct().withColumn("_o", F.lit(True)), "id", "left")
+    alive = F.col("_o").isNotNull() & (F.col("status") == "processing")
+    return rows.withColumn("updated_at", F.when(alive, _at(now)).otherwise(F.col("updated_at"))).drop("_o")
+
+
+def update_progress(jobs: DataFrame, reports: DataFrame, now: datetime) -> DataFrame:
+    """Jobs with the reports (id, step, progress) of their workers; a finished job takes none, and a missing step or number leaves the old one."""
+    rows = jobs.join(reports.select("id", F.col("step").alias("_s"), F.col("progress").alias("_p"), F.lit(True).alias("_o")), "id", "left")
+    open_ = F.col("_o").isNotNull() & F.col("status").isin("pending", "processing")
+    new = lambda c, v: F.when(open_, F.coalesce(v, c)).otherwise(F.col(c)).alias(c)
+    return rows.withColumns({"step": new("step", F.col("_s")), "progress": new("progress", F.col("_p")), "updated_at": F.when(open_, _at(now)).otherwise(F.col("updated_at"))}).drop("_s", "_p", "_o")
+
+
+def clear_blobs(jobs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Jobs without the keys of files that have been removed."""
+    rows = jobs.join(ids.select("id").distinct().withColumn("_o", F.lit(True)), "id", "left")
+    return rows.withColumn("blob_key", F.when(F.col("_o").isNull(), F.col("blob_key"))).drop("_o")
+
+
 def _kept(times: list, steps: list, last: float | None, step: str | None, gap: float) -> tuple[list[bool], float | None, str | None]:
     out = []
     for t, s in zip(times, steps, strict=True):

@@ -63,3 +63,22 @@ def test_keys(spark, tmp_path):
     with pytest.raises(PermissionError):
         KnowledgeBase.from_key(spark, root, "wrong")
     assert Key("t", [], ["a"]).narrowed(["a", "b"]) == ["a"] and Key("t", [], ["a"]).narrowed(["b"]) == [] and Key("t").narrowed(["b"]) == ["b"] and Key("t").narrowed([]) is None
+
+
+def test_scopes_counters_events_and_clearing(spark, tmp_path):
+    root = f"file://{tmp_path}/kb"
+    mine, theirs = KnowledgeBase(spark, root, Key("t1", ["kb:read", "kb:write"])), KnowledgeBase(spark, root, Key("t2"))
+    for name, kb in (("a.md", mine), ("b.md", theirs)):
+        kb.ingest(upload(spark, tmp_path, name, "# Harbour\n\nThe harbour opens at nine."))
+    reader = KnowledgeBase(spark, root, Key("t1", ["kb:read"]))
+    with pytest.raises(PermissionError):
+        reader.clear()
+    for _ in range(2):
+        assert reader.search("harbour").hits.count() >= 1
+    assert [r["retrieval_count"] for r in mine.documents().collect()] == [2] and [r["retrieval_count"] for r in theirs.documents().collect()] == [0]
+    frames = mine.events().collect()
+    assert [(r["status"], r["label"], r["progress"]) for r in frames] == [("success", "Done", 100)]
+    assert mine.events(frames[0]["updated_at"]).count() == 0
+    mine.clear()
+    assert mine.documents().count() == 0 and mine.tables.read("entities").count() == 0 and mine.tables.read("chunks").filter("tenant_id = 't1'").count() == 0
+    assert theirs.documents().count() == 1 and theirs.search("harbour").hits.count() >= 1

@@ -468,3 +468,19 @@ def test_fallback_and_merge(spark):
     assert merged["2"] == ("second", None) and merged["3"] == (None, "bad a; bad b")
     s = spark.createDataFrame([("1", 1, "b"), ("1", 0, "a")], "path string, idx int, text string")
     assert files.join_segments(s).head()["text"] == "a\n\nb"
+
+
+def test_sentence_groups_and_fixed_words():
+    assert chunking.sentence_groups("Aa bb. Cc dd.", 12) == ["Aa bb. Cc dd."]
+    assert chunking.sentence_groups("Aa bb. Cc dd.", 11) == ["Aa bb.", "Cc dd."]
+    assert chunking.fixed_words("aaaa bbbb cccc", 4) == ["aaaa", "bbb", "b cc", "cc"]
+    assert chunking.fixed_words("aaaa bbbb", 9) == ["aaaa bbbb"] and chunking.fixed_words("", 9) == []
+    assert files.is_document_mime("text/xml") and not files.is_document_mime("video/mp4")
+
+
+def test_pdf_pages_follow_the_tree():
+    page = lambda n, c: f"{n} 0 obj << /Type /Page /Contents {c} 0 R >> endobj\n"
+    body = lambda n, t: f"{n} 0 obj << >> stream\nBT ({t}) Tj ET\nendstream endobj\n"
+    pdf = "%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [9 0 R 3 0 R] >> endobj\n"
+    pdf += page(3, 5) + page(4, 6) + body(5, "third") + body(6, "second") + body(7, "first") + page(8, 7) + "9 0 obj << /Type /Pages /Kids [8 0 R 4 0 R] >> endobj\n"
+    assert parsers.pdf_pages(pdf.encode()) == ["first", "second", "third"]
