@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import itertools
 import re
 import unicodedata
@@ -22,9 +23,10 @@ ORDER, DECAY, LONGEST, LANDMARKS, NEGATIVES = 3, 0.55, 16, 160, 6000
 THRESHOLD = 0.7
 #: Lengths of the parts of units that are looked at for witnesses.
 STEMS = (4, 5, 6)
-#: Margins below this count as this: they are clean beyond doubt.
-FLOOR = -0.6
-SIDE = 27
+#: Margin of a text in which no unit is long enough for the kernel: that of the clean side.
+NOTHING = -1.0
+#: Symbols of the kernel: the letters a to z, then those of other scripts by their code points' remainder, which parts the letters of one alphabet.
+LATIN, SIDE = 26, 64
 CACHE_UNITS = 400_000
 #: Digits and signs that stand for letters within a word, as fixed values.
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
@@ -72,8 +74,8 @@ def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _codes(words: list[str]) -> np.ndarray:
-    raw = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).astype(np.int32) - 97
-    return np.where((raw >= 0) & (raw < 26), raw, 26)
+    point = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1).astype(np.int32)
+    return np.where((point >= 97) & (point < 97 + LATIN), point - 97, LATIN + point % (SIDE - LATIN))
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,15 +92,26 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return keys, weight
 
 
-def norms(keys: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Root of each word's kernel with itself; a subsequence that occurs twice in a word has the sum of its weights."""
-    order = np.argsort(keys, axis=1, kind="stable")
-    ks = np.take_along_axis(keys, order, axis=1)
-    starts = np.ones(ks.shape, bool)
-    starts[:, 1:] = ks[:, 1:] != ks[:, :-1]
-    flat = np.flatnonzero(starts)
-    sums = np.add.reduceat(weight[order].ravel(), flat)
-    return np.sqrt(np.bincount(flat // ks.shape[1], sums**2, len(keys)))
+@functools.cache
+def _decays(n: int) -> np.ndarray:
+    """Decay from each position to each later one; none to itself or back."""
+    step = np.arange(n)[:, None] - np.arange(n)[None, :]
+    return np.where(step > 0, DECAY ** np.maximum(step, 1).astype(np.float64), 0.0)
+
+
+def norms(words: list[str]) -> np.ndarray:
+    """Root of each word's kernel with itself, for words of one length.
+
+    By the kernel's recursion over pairs of positions: what ends at a pair of equal letters is what ended at all pairs before it, decayed.
+    """
+    codes = _codes(words)
+    n = codes.shape[1]
+    same = (codes[:, :, None] == codes[:, None, :]).astype(np.float64)
+    ends, decay = same * DECAY**2, _decays(n).T
+    for _ in range(ORDER - 1):
+        half = (ends.reshape(-1, n) @ decay).reshape(-1, n, n).swapaxes(1, 2)
+        ends = same * (half.reshape(-1, n) @ decay).reshape(-1, n, n)
+    return np.sqrt(ends.sum(axis=(1, 2)))
 
 
 def by_length(words: list[str], most: int = 4096):
@@ -113,20 +126,23 @@ def by_length(words: list[str], most: int = 4096):
                 yield part, [words[k] for k in part]
 
 
-def features(words: list[str], active: np.ndarray | None = None) -> np.ndarray:
-    """Normalised features as a dense matrix; only the columns ``active`` if given."""
-    size = SIDE**ORDER if active is None else len(active)
-    where = np.arange(SIDE**ORDER) if active is None else np.full(SIDE**ORDER, -1)
-    if active is not None:
-        where[active] = np.arange(len(active))
-    out = np.zeros((len(words), size), np.float32)
+def columns(words: list[str]) -> np.ndarray:
+    """The features that occur in the words, ascending."""
+    found = [np.unique(subsequences(part)[0]) for _, part in by_length(words)]
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+
+
+def features(words: list[str], active: np.ndarray) -> np.ndarray:
+    """Normalised features as a dense matrix of the columns ``active``."""
+    where = np.full(SIDE**ORDER, -1)
+    where[active] = np.arange(len(active))
+    out = np.zeros((len(words), len(active)), np.float32)
     for at, part in by_length(words):
         keys, weight = subsequences(part)
-        norm = norms(keys, weight)
         cols = where[keys]
         rows = np.repeat(at, keys.shape[1])
         keep = cols.ravel() >= 0
-        np.add.at(out, (rows[keep], cols.ravel()[keep]), (weight[None, :] / norm[:, None]).ravel()[keep])
+        np.add.at(out, (rows[keep], cols.ravel()[keep]), (weight[None, :] / norms(part)[:, None]).ravel()[keep])
     return out
 
 
@@ -140,16 +156,16 @@ class Model:
     offset: float
     constant: float | None = None
 
+    @functools.cached_property
+    def digest(self) -> str:
+        return hashlib.sha256(self.vector.tobytes() + repr((self.bias, self.slope, self.offset)).encode()).hexdigest()
+
     def margins(self, words: list[str]) -> np.ndarray:
-        """Each word's margin, or ``FLOOR`` if that is higher. Without repeated subsequences a word's norm is least; where even that
-        norm leaves the margin at the floor, the norm isn't worked out."""
-        out = np.full(len(words), FLOOR)
+        """Each word's margin; minus infinity for a word too short for a subsequence, which so decides nothing."""
+        out = np.full(len(words), -np.inf)
         for at, part in by_length(words):
             keys, weight = subsequences(part)
-            value = self.vector[keys] @ weight.astype(self.vector.dtype)
-            high = np.flatnonzero(value / np.sqrt((weight**2).sum()) + self.bias > FLOOR)
-            if len(high):
-                out[at[high]] = np.maximum(FLOOR, value[high] / norms(keys[high], weight) + self.bias)
+            out[at] = self.vector[keys] @ weight.astype(self.vector.dtype) / norms(part) + self.bias
         return out
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
@@ -255,7 +271,7 @@ def _evidence(names: list[str], bags: list[np.ndarray], y: np.ndarray):
 def _spread(words: list[str], most: int, near: float = 0.75) -> list[str]:
     """The first words that are not too near, by the kernel, to one before them."""
     words = words[: 4 * most]
-    f = features(words)
+    f = features(words, columns(words))
     near_to = f @ f.T
     out: list[int] = []
     for i in range(len(words)):
@@ -301,9 +317,8 @@ def fit(rows: list[tuple[str, int]], rounds: int = 3) -> Model:
         neg = [names[int(i)] for i in np.unique(np.concatenate([hard, rest]))]
         marks = _spread(pos, LANDMARKS * 3 // 5)
         marks += [neg[i] for i in rng.permutation(len(neg))[: LANDMARKS - len(marks)]]
-        base = features(marks)
-        active = np.flatnonzero(base.any(axis=0))
-        base = base[:, active]
+        active = columns(marks)
+        base = features(marks, active)
         values, vectors = np.linalg.eigh(base @ base.T)
         root = vectors * (1 / np.sqrt(np.maximum(values, 1e-4)))
         words = pos + forms + neg
@@ -316,7 +331,7 @@ def fit(rows: list[tuple[str, int]], rounds: int = 3) -> Model:
         vector[active] = base.T @ (root @ w)
         model = Model(vector, bias, 1.0, 0.0)
     score = model.margins(names)
-    top = np.array([score[b].max() if len(b) else FLOOR for b in bags])
+    top = np.array([score[b].max() if len(b) else NOTHING for b in bags])
     model.slope, model.offset = _platt(top, y)
     model.vector = model.vector.astype(np.float32)
     return model
@@ -352,11 +367,10 @@ _CACHE_OF: list = [None]
 
 
 def score_texts(model: Model, texts: list[str]) -> np.ndarray:
-    """Probability of each text: of its most toxic unit."""
-    sign = (float(model.vector.sum()), model.bias)
-    if _CACHE_OF[0] != sign or len(_CACHE) > CACHE_UNITS:
+    """Probability of each text: of its most toxic unit, or of ``NOTHING`` if it has none that the kernel can read."""
+    if _CACHE_OF[0] != model.digest or len(_CACHE) > CACHE_UNITS:
         _CACHE.clear()
-        _CACHE_OF[0] = sign
+        _CACHE_OF[0] = model.digest
     split = [tokens(t) for t in texts]
     new = list(set().union(*split).difference(_CACHE)) if split else []
     parts = [units(t) for t in new]
@@ -364,9 +378,10 @@ def score_texts(model: Model, texts: list[str]) -> np.ndarray:
     margin = model.margins(flat)
     at = 0
     for t, p in zip(new, parts, strict=True):
-        _CACHE[t] = float(margin[at : at + len(p)].max()) if p else FLOOR
+        _CACHE[t] = float(margin[at : at + len(p)].max()) if p else -np.inf
         at += len(p)
-    return model.probability(np.array([max(map(_CACHE.__getitem__, s), default=FLOOR) for s in split]))
+    best = np.array([max(map(_CACHE.__getitem__, s), default=-np.inf) for s in split])
+    return model.probability(np.where(np.isfinite(best), best, NOTHING))
 
 
 def score_toxicity(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:

@@ -247,13 +247,35 @@ def test_kernel_is_the_sum_over_shared_subsequences():
         dot = lambda u, v: sum(u[k] * v[k] for k in u)
         return dot(*f) / np.sqrt(dot(f[0], f[0]) * dot(f[1], f[1]))
 
-    words = ["banana", "bandana", "bxaxnana", "grob"]
-    f = toxicity.features(words)
+    words = ["banana", "bandana", "bxaxnana", "grob", "банан", "бандана", "баран"]
+    f = toxicity.features(words, toxicity.columns(words))
     for i, a in enumerate(words):
         for j, b in enumerate(words):
             assert abs(float(f[i] @ f[j]) - slow(a, b)) < 1e-5
 
 
+def test_scores_are_those_of_the_kernel_machine():
+    import itertools
+
+    model = toxicity.fit(toxic_texts(200, random.Random(11)))
+    vector = model.vector
+
+    def slow(word):
+        c = collections.Counter()
+        for t in itertools.combinations(range(len(word)), toxicity.ORDER):
+            c["".join(word[i] for i in t)] += toxicity.DECAY ** (t[-1] - t[0] + 1)
+        point = lambda x: ord(x) - 97 if "a" <= x <= "z" else toxicity.LATIN + ord(x) % (toxicity.SIDE - toxicity.LATIN)
+        at = lambda s: (point(s[0]) * toxicity.SIDE + point(s[1])) * toxicity.SIDE + point(s[2])
+        return sum(w * float(vector[at(s)]) for s, w in c.items()) / np.sqrt(sum(w * w for w in c.values())) + model.bias
+
+    texts = [t for t, _ in toxic_texts(30, random.Random(12))] + ["a bb c", "", "только чистый текст", "aaaa bbbb", "你好世界", "ok " * 50 + "x" * 500]
+    for text, p in zip(texts, toxicity.score_texts(model, texts), strict=True):
+        found = [slow(u) for w in toxicity.tokens(text) for u in toxicity.units(w) if len(u) >= toxicity.ORDER]
+        margin = max(found, default=toxicity.NOTHING)
+        assert abs(p - 1 / (1 + np.exp(-np.clip(model.slope * margin + model.offset, -30, 30)))) < 1e-4, text
+    assert len({round(float(p), 9) for p in toxicity.score_texts(model, [prose(3) for _ in range(50)])}) > 25  # clean texts are ranked too
+
+
 def test_toxicity_rows(spark):
     rng = random.Random(6)
     texts = toxic_texts(300, rng)
