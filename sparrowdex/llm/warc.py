@@ -109,9 +109,9 @@ class _Files:
 def write_warc(pages: DataFrame, root: str, *, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, least: int = REVISIT_BYTES) -> DataFrame:
     """Writes a record for each row (page_id, url, html) and returns the manifest of the committed files.
 
-    Shards are ranges of page_id with near-equal payload bytes, from exact counts (``common.histogram_splitters``), so names and
-    contents are the same on every run. Which payloads recur is found on (page_id, digest) alone; each later one sends a small marker
-    row into the one exchange that carries the pages, and sorts just before its page. Files are written under names of the attempt;
+    Shards are ranges of (page_id, hash of the payload), so rows without an id spread too, with near-equal payload bytes, from exact counts (``common.histogram_splitters``), so names and
+    contents are the same on every run. Which payloads recur is found on (page_id, digest) alone; each of them sends a small marker
+    row into the one exchange that carries the pages, and sorts just before its page. From ``MOST_SHARDS`` on shards grow with the table. Files are written under names of the attempt;
     the manifest, itself committed by Spark, names the attempts that count, and those files get their final names. A task
     that runs again or twice leaves nothing behind that is not in the manifest.
 
@@ -122,31 +122,32 @@ def write_warc(pages: DataFrame, root: str, *, shard_bytes: int = SHARD_BYTES, r
     spark = pages.sparkSession
     body = F.coalesce(F.encode(F.col("html"), "UTF-8"), F.lit(b""))
     low = F.coalesce(F.col("page_id").cast("long"), F.lit(-(1 << 63)))
-    narrow = common.written(pages.select(low.alias("_l"), F.lit(0).cast("long").alias("_h"), F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("n")), "warc-keys")
+    narrow = common.written(pages.select(low.alias("_l"), F.xxhash64(body).alias("_h"), F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("n")), "warc-keys")
     weighed = narrow.withColumn("w", F.col("n") + 512)
     total = weighed.agg(F.sum("w")).first()[0] or 0
     shards = max(1, -(-total // max(shard_bytes, -(-total // MOST_SHARDS))))
-    splitters, _, _ = common.histogram_splitters(weighed, "_h", "_l", "w", shards, 0.02)
+    splitters, _, _ = common.histogram_splitters(weighed, "_l", "_h", "w", shards, 0.02)
     # min over the digests that recur; the hot digest is reduced before it moves
     recurs = narrow.filter(F.col("n") >= least).groupBy("digest").agg(F.min("_l").alias("first"), F.count("*").alias("c")).filter("c > 1").select("digest", "first")
-    marks = narrow.filter(F.col("n") >= least).join(recurs, "digest").select("_l", "digest", "first").distinct()
+    # distinct before the join: nothing after it asks for the digest's partitioning, so the skew rule may split a hot digest
+    marks = narrow.filter(F.col("n") >= least).select("_l", "_h", "digest").distinct().join(recurs, "digest")
     none = lambda t: F.lit(None).cast(t)
-    marks = marks.select(F.col("_l"), F.lit(0).alias("kind"), none("string").alias("url"), none("binary").alias("payload"), F.col("digest"), F.col("first"))
-    rows = pages.select(low.alias("_l"), F.lit(1).alias("kind"), F.col("url"), body.alias("payload"), none("string").alias("digest"), none("long").alias("first"))
-    both = marks.unionByName(rows).withColumn("_h", F.lit(0).cast("long"))
-    both = both.withColumn("shard", common.bucket_column("_h", "_l", splitters)).drop("_h")
-    sorted_rows = both.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "_l", "kind", "url", F.xxhash64("payload"), "digest")
+    marks = marks.select("_l", "_h", F.lit(0).alias("kind"), none("string").alias("url"), none("binary").alias("payload"), F.col("digest"), F.col("first"))
+    rows = pages.select(low.alias("_l"), F.xxhash64(body).alias("_h"), F.lit(1).alias("kind"), F.col("url"), body.alias("payload"), none("string").alias("digest"), none("long").alias("first"))
+    both = marks.unionByName(rows)
+    both = both.withColumn("shard", common.bucket_column("_l", "_h", splitters))
+    sorted_rows = both.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "_l", "_h", "kind", "url", "digest", F.sha2("payload", 256))
     null_key = -(1 << 63)
 
     def run(batches):
         files = _Files(root, roll_bytes)
         page, firsts, seen = None, {}, set()
         for batch in batches:
-            cols = [batch.column(c) for c in ("_l", "kind", "url", "payload", "digest", "first", "shard")]
+            cols = [batch.column(c) for c in ("_l", "_h", "kind", "url", "payload", "digest", "first", "shard")]
             for at in range(0, batch.num_rows, 64):
-                for l, kind, url, payload, digest, first, shard in zip(*(c.slice(at, 64).to_pylist() for c in cols), strict=True):
-                    if l != page:
-                        page, firsts, seen = l, {}, set()
+                for l, h, kind, url, payload, digest, first, shard in zip(*(c.slice(at, 64).to_pylist() for c in cols), strict=True):
+                    if (l, h) != page:
+                        page, firsts, seen = (l, h), {}, set()
                     if kind == 0:
                         firsts[digest] = first
                         continue

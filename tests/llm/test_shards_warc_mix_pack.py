@@ -36,6 +36,21 @@ def test_warc_round_trip(spark):
     assert {(m["name"], m["sha256"]) for m in again} == {(m["name"], m["sha256"]) for m in manifest}
 
 
+def test_warc_rows_without_an_id_spread(spark):
+    rows = [(None, "u", f"{i % 150:0120d}") for i in range(300)] + [(i, "u", f"{i:0120d}") for i in range(20)]
+    root = common.new_dir(spark, "t")
+    manifest = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), root, shard_bytes=8000).collect()
+    assert len({m["shard"] for m in manifest}) > 10
+    got = warc.read_warc(spark, root).collect()
+    assert len(got) == 320
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["payload_digest"]].append(r)
+    for same in by.values():  # a null id is the least, so one of those rows is the response
+        assert [r["page_id"] for r in same if r["record_type"] == "response"] == [None]
+        assert all(r["refers_to"] is None for r in same)
+
+
 def test_warc_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive_rows(spark, pages).count() == 0
