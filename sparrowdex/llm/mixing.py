@@ -180,7 +180,7 @@ def decide(sized: DataFrame, *, source: str = "source", key: str = "doc_id", gro
 def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id", group_rows: int = GROUP_ROWS, keep_rows: bool = False) -> DataFrame:
     """Adds size, source_size, target and copies (see ``decide``) to documents; only keys and sizes pass through the sampling.
 
-    A null text has size 0 and is taken at its source's rate. Equal rows are separate rows, though which of them is taken makes no difference. An empty
+    A null text has size 0 and is taken at its source's rate. Rows equal in key, source and text are separate rows, told apart by a hash of their other columns. An empty
     table, or one without words, takes nothing: targets are 0. Other columns pass through; columns named like the added ones are replaced, and
     with ``keep_rows`` the whole row stands beside them in ``_docs``.
     """
@@ -196,7 +196,7 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str
     wide = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_docs"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("_key"), row.alias("_row"))
     out = wide.join(by_row.hint("merge"), ["_key", "_row"])  # the same plan at every size
     if by_row.filter(F.size("_copies") > 1).take(1):
-        out = out.withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_row").orderBy(F.lit(0))))
+        out = out.withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_row").orderBy(F.xxhash64(F.to_json("_docs")))))
     else:
         out = out.withColumn("_n", F.lit(1))
     out = out.withColumn("copies", F.get("_copies", F.col("_n") - 1))
