@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -19,6 +20,9 @@ LONGEST = 4
 TOP = 2000
 #: Bytes of text whose words are numbered together; a longer text is a block of its own.
 BLOCK_BYTES = 16 << 20
+#: Parts in which keys are counted, one after the other; each needs as much less disk for its exchange.
+PASSES = 2
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Parts in which the best phrases of a language are found before these meet.
 PARTS = (1024, 32)
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -26,7 +30,7 @@ _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + _BREAKS, b"abcdefghij
 
 
 def _word_blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of texts of one language as sequences of numbers. Of each block one row has ``seq`` (32-bit numbers of its words, -1 between pieces), and each distinct word has a row with its number ``idx``, ``word`` and count ``c``."""
+    """Blocks of texts of one language as sequences of numbers. Of each block one row has ``seq`` (32-bit numbers of its words, -1 between pieces, deflated), and each distinct word has a row with its number ``idx``, ``word`` and count ``c``."""
     schema = "block long, lang string, seq binary, idx int, word string, c long"
 
     def block(number: int, lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -39,7 +43,7 @@ def _word_blocks(docs: DataFrame) -> DataFrame:
         blank = pc.index_in(pa.scalar(""), words).as_py()
         seq = number_of[seq if blank is None else seq[seq != blank]]
         n = int(real.sum())
-        yield _rows(schema_of, [number], [lang], [seq.tobytes()], [None], [None], [None])
+        yield _rows(schema_of, [number], [lang], [_squeezed(seq)], [None], [None], [None])
         kept = np.flatnonzero(real)
         for at in range(0, n, 65536):
             m = min(65536, n - at)
@@ -76,6 +80,16 @@ def _word_blocks(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
+def _squeezed(seq: np.ndarray) -> bytes:
+    """Deflated, as it is written and exchanged; the low bytes of all numbers stand before the next ones."""
+    return zlib.compress(np.ascontiguousarray(seq.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _spread(raw: bytes) -> np.ndarray:
+    flat = np.frombuffer(zlib.decompress(raw), np.uint8)
+    return np.ascontiguousarray(flat.reshape(4, -1).T).reshape(-1).view("<i4")
+
+
 def _rows(schema: pa.Schema, *columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -91,7 +105,7 @@ def _pair_blocks(seqs: DataFrame, named: DataFrame, last: bool) -> DataFrame:
         none = schema_of.empty_table()
         if not seq.num_rows or not names.num_rows:
             return none
-        was = np.frombuffer(seq.column("seq")[0].as_py(), np.int32)
+        was = _spread(seq.column("seq")[0].as_py())
         idx, gid = (names.column(c).to_numpy() for c in ("idx", "gid"))
         local = np.full(max(int(was.max(initial=-1)), int(idx.max())) + 2, -1, np.int64)  # the last entry is for -1
         local[idx] = np.arange(len(idx))
@@ -105,7 +119,7 @@ def _pair_blocks(seqs: DataFrame, named: DataFrame, last: bool) -> DataFrame:
             new = np.full(len(now) + 1, -1, np.int32)
             new[at] = number
             new = new[(new >= 0) | np.concatenate([[True], new[:-1] >= 0])]  # one -1 between names is enough
-            out.append(pa.Table.from_batches([_rows(schema_of, [key[0].as_py()], [new.tobytes()], [None], [None], [None], [None])]))
+            out.append(pa.Table.from_batches([_rows(schema_of, [key[0].as_py()], [_squeezed(new)], [None], [None], [None], [None])]))
         n = len(code)
         cols = [pa.array(np.full(n, key[0].as_py())), pa.nulls(n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(gid[code // len(idx)]), pa.array(gid[code % len(idx)]), pa.array(count.astype(np.int64))]
         out.append(pa.table(cols, schema=schema_of))
@@ -139,26 +153,39 @@ def _best(df: DataFrame, top: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
 
 
-def _stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    path = common.new_dir(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+def _stored(tag: str, *frames: DataFrame) -> tuple[DataFrame, str]:
+    """The frames, one after the other, as one table; what each exchanged goes when it is written, so disk holds one exchange at a time."""
+    spark = frames[0].sparkSession
+    path, was = common.new_dir(spark, tag), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        for df in frames:
+            df.write.mode("append").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
+    return spark.read.schema(frames[0].schema).parquet(path), path
+
+
+def _names(entries: DataFrame, key: list[str], hashed: bool, least: int, tag: str) -> DataFrame:
+    """See ``_frequent``; the keys are counted in PASSES parts."""
+    part = F.pmod(F.xxhash64(F.lit(PASSES), *key), F.lit(PASSES))
+    return _stored(tag, *(_frequent(entries.filter(part == p), key, hashed, least) for p in range(PASSES)))[0]
 
 
 def _units(docs: DataFrame, least: int) -> tuple[list[DataFrame], DataFrame]:
     """Frequent words (``gid``, ``lang``, ``word``, ``f``), then of two words and more (``gid``, ``left``, ``right``, ``f``: the names of their parents, all but the last word and all but the first); and ``lang``, ``n``."""
     spark = docs.sparkSession
-    blocks, at = _stored(_word_blocks(docs), "phrase-words")
+    blocks, at = _stored("phrase-words", _word_blocks(docs))
     total = common.written(blocks.groupBy("lang").agg(F.sum("c").alias("n")), "phrase-totals")
-    named, _ = _stored(_frequent(blocks, ["lang", "word"], True, least), "phrase-names-1")
+    named = _names(blocks, ["lang", "word"], True, least, "phrase-names-1")
     units = [named.filter("word is not null").select("gid", "lang", "word", "f")]
     for k in range(2, LONGEST + 1):
         seqs = blocks.filter("seq is not null").select("block", "seq")
-        blocks, now = _stored(_pair_blocks(seqs, named.select("block", "idx", "gid"), k == LONGEST), f"phrase-pairs-{k}")
+        blocks, now = _stored(f"phrase-pairs-{k}", _pair_blocks(seqs, named.select("block", "idx", "gid"), k == LONGEST))
         common.remove(spark, at)
         at = now
         if k < LONGEST:
-            named, _ = _stored(_frequent(blocks, ["left", "right"], False, least), f"phrase-names-{k}")
+            named = _names(blocks, ["left", "right"], False, least, f"phrase-names-{k}")
             units.append(named.filter("left is not null").select("gid", "left", "right", "f"))
         else:
             counts = blocks.groupBy("left", "right").agg(F.sum("c").alias("f")).filter(F.col("f") >= least)

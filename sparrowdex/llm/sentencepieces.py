@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Bytes of text that are encoded at a time, and rows that are decoded at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 SLICE_ROWS = 1024
 #: Characters from which on a word is looked through for places that no piece reaches across.
 LONG = 64
