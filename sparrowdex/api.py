@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import patterns
 from .functions import text as T
 from .models import Embedder, HashEmbedder, Model, Reranker
-from .operators import chunking, graph, retrieval, store, vector
+from .operators import chunking, graph, index, retrieval, snapshots, store, vector
 from .sources import files
 from .streaming import jobs
 
@@ -66,46 +66,11 @@ def hash_key(key: str) -> str:
     return hashlib.sha256(key.encode()).hexdigest()
 
 
-class Tables:
-    """Named tables in a folder. A version's files lie beside one another in folders of their own, and a line of the table's list names each.
-
-    ``write`` begins a new version; ``append`` adds a folder to the newest one, so nothing that is stored is read or written again, and two writers at once both
-    count. A folder counts from the moment that it is listed, so readers never see half of one.
-    """
+class Tables(snapshots.Tables):
+    """The tables of all tenants in a folder."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _listed(self, name: str) -> list[str]:
-        """Folders of the newest version: v{version}-{id} each."""
-        path = f"{self.root}/{name}/_current"
-        if not store.exists(self.spark, path):
-            return []
-        version = F.substring_index("value", "-", 1)
-        newest = self.spark.read.text(path).groupBy(version.alias("v")).agg(F.sort_array(F.collect_list("value")).alias("at")).orderBy(F.desc("v")).head()
-        return list(newest["at"])
-
-    def read(self, name: str) -> DataFrame:
-        at = self._listed(name)
-        if not at:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(*(f"{self.root}/{name}/{x}" for x in at))
-
-    def _put(self, name: str, rows: DataFrame, number: int) -> None:
-        at = f"v{number:09d}-{uuid.uuid4().hex}"
-        schema = self.spark.createDataFrame([], TABLES[name]).schema
-        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(f"{self.root}/{name}/{at}")
-        self.spark.createDataFrame([(at,)], "value string").write.mode("append").text(f"{self.root}/{name}/_current")
-
-    def _number(self, name: str) -> int:
-        at = self._listed(name)
-        return int(at[0].split("-")[0][1:]) if at else 0
-
-    def write(self, name: str, rows: DataFrame) -> None:
-        self._put(name, rows, self._number(name) + 1)
-
-    def append(self, name: str, rows: DataFrame) -> None:
-        self._put(name, rows, max(1, self._number(name)))
+        super().__init__(spark, root, TABLES)
 
 
 class KnowledgeBase:
@@ -116,6 +81,8 @@ class KnowledgeBase:
             raise PermissionError("no tenant in scope")
         self.spark, self.tables, self.key = spark, Tables(spark, root), key
         self.embedder, self.reranker, self.expander = embedder or HashEmbedder(64), reranker, expander
+        #: The tenant's own word index, so its counts are those of its chunks alone.
+        self.words = index.WordIndex(spark, f"{root.rstrip('/')}/words/{hash_key(key.tenant)}")
 
     @classmethod
     def from_key(cls, spark: SparkSession, root: str, secret: str, **options) -> KnowledgeBase:
@@ -175,6 +142,7 @@ class KnowledgeBase:
         relations = patterns.extract_relations(prose, found, key="document_id", text="content")
         edges, _ = graph.link(relations, entities)
         self.tables.append("chunks", made)
+        self.words.add(made.select("chunk_id", "content"))
         self.tables.append("entities", entities)
         self.tables.append("relations", edges.select("document_id", "src", "dst", T.relation_type(F.col("rel_type")).alias("rel_type"), "confidence", "context"))
 
@@ -195,10 +163,11 @@ class KnowledgeBase:
         ids = self._documents(self.key.narrowed(None)).filter(F.col("id") == document_id).select("id")
         if not ids.take(1):
             return False
-        ids = self.spark.createDataFrame([(document_id,)], "id string")
-        names = ("documents", "chunks", "entities", "relations", "document_groups")
-        for name, rows in store.delete_document({n: self.tables.read(n) for n in names}, ids).items():
-            self.tables.write(name, rows)
+        one = self.spark.createDataFrame([(document_id,)], "id string")
+        chunks = self.tables.read("chunks").filter((F.col("document_id") == document_id) & (F.col("tenant_id") == self.key.tenant))
+        self.words.remove(chunks.select("chunk_id"))
+        for name in ("chunks", "entities", "relations", "document_groups", "documents"):
+            self.tables.delete(name, one, "id" if name == "documents" else "document_id")
         return True
 
     # -- search
@@ -218,7 +187,7 @@ class KnowledgeBase:
         elif hybrid:
             found = retrieval.hybrid(chunks, meta, self.tables.read("entities"), query, embedder=self.embedder, max_chunks=k)
         else:
-            found = retrieval.retrieve(chunks, meta, query, embedder=self.embedder, max_chunks=k, expander=self.expander, reranker=self.reranker)
+            found = retrieval.retrieve(chunks, meta, query, embedder=self.embedder, max_chunks=k, expander=self.expander, reranker=self.reranker, index=self.words, index_scope=groups is not None or category is not None)
 
         hits = found.hits if isinstance(found, retrieval.Result) else found
         # one row for each document found, 50 at most, beside what is stored
@@ -229,9 +198,15 @@ class KnowledgeBase:
     def clear(self) -> None:
         """Removes all that the tenant has but its keys."""
         self.key.require(WRITE)
-        names = ("documents", "chunks", "entities", "relations", "document_groups", "knowledge_bases", "ingest_jobs", "retrievals")
-        for name, rows in store.without_tenant({n: self.tables.read(n) for n in names}, self.key.tenant).items():
-            self.tables.write(name, rows)
+        ids = self.tables.read("documents").filter(F.col("tenant_id") == self.key.tenant).select("id")
+        groups = self.tables.read("knowledge_bases").filter(F.col("tenant_id") == self.key.tenant).select("id")
+        tenant = self.spark.createDataFrame([(self.key.tenant,)], "id string")
+        self.words.clear()
+        self.tables.delete("document_groups", groups, "knowledge_base_id")
+        for name in ("entities", "relations", "document_groups"):
+            self.tables.delete(name, ids, "document_id")
+        for name in ("chunks", "knowledge_bases", "ingest_jobs", "retrievals", "documents"):
+            self.tables.delete(name, tenant, "tenant_id")
 
     def events(self, since: datetime | None = None) -> DataFrame:
         """Frames of the tenant's jobs, oldest first: what each reported last, its percentage and the name of its step."""
@@ -242,7 +217,7 @@ class KnowledgeBase:
     def record(self, hits: DataFrame) -> None:
         """Adds one to the counter of every document among the hits."""
         marked = hits.select("document_id").distinct().withColumn("retrieval_id", F.lit(uuid.uuid4().hex))
-        self.tables.write("documents", store.record_hits(self.tables.read("documents"), marked, datetime.now(UTC)))
+        self.tables.update("documents", lambda rows: store.record_hits(rows, marked, datetime.now(UTC)))
 
     # -- groups, jobs, the rest
 
@@ -284,7 +259,7 @@ class KnowledgeBase:
         staged = f"{self.tables.root}/staged/{uuid.uuid4().hex}"
         new.write.parquet(staged)
         new = self.spark.read.parquet(staged)
-        self.tables.write("chunks", store.re_embed(chunks, new, self.embedder.name))
+        self.tables.update("chunks", lambda rows: store.re_embed(rows, new, self.embedder.name))
         per = ids.join(new.groupBy("document_id").agg(F.count("*").alias("chunks")), "document_id", "left")
         return store.re_embed_summary(per.select(F.when(F.col("chunks") > 0, "ok").otherwise("skipped").alias("status"), F.coalesce("chunks", F.lit(0)).alias("chunks")))
 

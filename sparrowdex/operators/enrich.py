@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .names import names_in_own_text, names_in_text
 
 
 def history(turns: DataFrame, *, key: str = "conv_id", order: str = "turn", text: str = "text", most: int = 6, glue: str = " | ") -> DataFrame:
@@ -25,20 +26,6 @@ def top_entities(entities: DataFrame, most: int = 5, *, key: str = "doc_id") ->
     return listed.select(key, F.transform("l", lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type"), x["confidence"].alias("confidence"))).alias("entities"))
 
 
-def names_in_text(names: DataFrame, texts: DataFrame, *, name: str = "name", text: str = "text") -> DataFrame:
-    """Pairs of names and texts that hold them. Each distinct name is sought once, whatever the number of rows that have it."""
-    named = names.withColumn("_n", F.lower(F.col(name)))
-    sought = named.select("_n").distinct().withColumnRenamed("_n", "_s")
-    held = texts.join(F.broadcast(sought), F.contains(F.lower(F.col(text)), F.col("_s")))
-    return held.join(named, F.col("_s") == F.col("_n")).drop("_s", "_n")
-
-
-def names_in_own_text(names: DataFrame, texts: DataFrame, *, key: str, name: str = "name", text: str = "text") -> DataFrame:
-    """Pairs of names and texts that hold them, of the same document; joined by its key first."""
-    theirs = names.withColumnRenamed(key, "_key")
-    return texts.join(theirs, (F.col(key) == F.col("_key")) & F.contains(F.lower(F.col(text)), F.lower(F.col(name)))).drop("_key")
-
-
 def entity_arm(query: str, entities: DataFrame, chunks: DataFrame, seeds: DataFrame, k: int, *, most: int = 2000) -> DataFrame:
     """(chunk_id, score, rank): chunks of the seed documents by the share of the query's entities that they name.
 

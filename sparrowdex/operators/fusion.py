@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 K = 60
 
 
-def ranked(rows: DataFrame, *order, name: str = "rank") -> DataFrame:
-    """Adds places from 1 by a total order."""
-    return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+def ranked(rows: DataFrame, *order, name: str = "rank", by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds places from 1 by a total order; over the rows of each query, if ``by`` names what tells queries apart. Without it the rows must be one search's."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
 def rrf(lists: list[DataFrame], limit: int | None = None, *, key: str = "id", rank: str = "rank", k: int = K, digits: int = 12) -> DataFrame:
@@ -71,22 +71,24 @@ def context(rows: DataFrame, *, place: str = "place") -> DataFrame:
     return listed.select(F.array_join(F.transform("l", lambda x: x["b"]), "\n\n---\n\n").alias("context"))
 
 
-def cap_figures(rows: DataFrame, most: int = 3, floor: float = 0.2, *, place: str = "place", score: str = "rerank_score") -> DataFrame:
-    """All texts, and in order up to ``most`` figures that reach the floor; a figure without a score passes it."""
+def cap_figures(rows: DataFrame, most: int = 3, floor: float = 0.2, *, place: str = "place", score: str = "rerank_score", by: tuple[str, ...] = ()) -> DataFrame:
+    """All texts, and in order up to ``most`` figures that reach the floor, of each query (``by``); a figure without a score passes it."""
     figure = F.coalesce(F.col("chunk_type") == "figure", F.lit(False))
     ok = figure & (F.col(score).isNull() | (F.col(score) >= floor))
-    run = F.sum(ok.cast("int")).over(Window.orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    run = F.sum(ok.cast("int")).over(Window.partitionBy(*by).orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return rows.withColumn("_n", run).filter(~figure | (ok & (F.col("_n") <= most))).drop("_n")
 
 
-def neighbours(anchors: DataFrame, chunks: DataFrame, window: int = 1, *, doc: str = "document_id", index: str = "chunk_index", rank: str = "rank") -> DataFrame:
+def neighbours(anchors: DataFrame, chunks: DataFrame, window: int = 1, *, doc: str = "document_id", index: str = "chunk_index", rank: str = "rank", by: tuple[str, ...] = ()) -> DataFrame:
     """Anchors and the chunks up to ``window`` before and after them, in reading order within each anchor's group; adds place and is_anchor.
 
-    A chunk near several anchors goes with the best of them; an anchor keeps its own rank.
+    A chunk near several anchors goes with the best of them; an anchor keeps its own rank. ``by`` names columns of the anchors that tell queries apart: each has its own places.
     """
-    near = anchors.select(doc, F.col(rank).alias("_g"), F.explode(F.sequence(F.col(index) - window, F.col(index) + window)).alias(index))
-    best = near.groupBy(doc, index).agg(F.min("_g").alias("_g"))
-    own = anchors.select(doc, index, F.col(rank).alias("_own"))
-    rows = chunks.join(best, [doc, index]).join(own, [doc, index], "left").withColumn("_g", F.coalesce("_own", "_g"))
-    order = Window.orderBy("_g", doc, index)
+    part = Window.partitionBy(*by)
+    by = tuple(c for c in by if c != doc)
+    near = anchors.select(*by, doc, F.col(rank).alias("_g"), F.explode(F.sequence(F.col(index) - window, F.col(index) + window)).alias(index))
+    best = near.groupBy(*by, doc, index).agg(F.min("_g").alias("_g"))
+    own = anchors.select(*by, doc, index, F.col(rank).alias("_own"))
+    rows = chunks.join(best, [doc, index]).join(own, [*by, doc, index], "left").withColumn("_g", F.coalesce("_own", "_g"))
+    order = part.orderBy("_g", doc, index)
     return rows.withColumns({"place": F.row_number().over(order), "is_anchor": F.col("_own").isNotNull()}).drop("_g", "_own")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..models import Embedder, Lru, Model, Reranker
 from . import enrich, fulltext, fusion, store, vector
+from .index import WordIndex
 
 
 @dataclass
@@ -108,10 +109,13 @@ def retrieve(
     reranker: Reranker | None = None,
     initial: int = 20,
     scope: DataFrame | None = None,
+    index: WordIndex | None = None,
+    index_scope: bool = True,
 ) -> Result:
     """Default retrieval: vector arm over all forms of the query, BM25 arm, fusion, reranking and figure rules, numbered context.
 
-    ``documents`` are those the caller may see; chunks of others never enter an arm. With no BM25 hits the vector order stays.
+    ``documents`` are those the caller may see; chunks of others never enter an arm. With no BM25 hits the vector order stays. With a stored ``index`` the BM25 arm reads its
+    lists in place of all texts; ``index_scope`` is false if the caller may see all that it holds.
     """
     chunks = _with_ids(chunks)
     fetch = max(initial, max_chunks) if reranker else max_chunks
@@ -124,8 +128,8 @@ def retrieve(
         hits = one if hits is None else hits.unionByName(one)
     near = vector.union_of_variants(hits, fetch) if len(forms) > 1 else hits
     near = near.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "chunk_id")))
-    words = fulltext.bm25(mine, query, fetch, key="chunk_id", operator=operator) if bm25 else None
-    if words is not None and words.take(1):
+    words = _words(mine, query, fetch, operator, index, index_scope) if bm25 else None
+    if words is not None:
         ranked = fusion.ranked(words, F.desc("score"), "chunk_id")
         fused = fusion.rrf([near, ranked], fetch, key="chunk_id").select("chunk_id", "place", "rrf_score")
         pool = fusion.pool(near.drop("rank"), mine.join(F.broadcast(ranked.select("chunk_id")), "chunk_id"), key="chunk_id").join(fused, "chunk_id")
@@ -138,6 +142,16 @@ def retrieve(
     return _finish(pool.filter(F.col("place") <= max_chunks), {"forms": len(forms)})
 
 
+def _words(chunks: DataFrame, query: str, k: int, operator: str, index: WordIndex | None, scoped: bool) -> DataFrame | None:
+    """(chunk_id, score) of the BM25 arm, worked out once; none without hits."""
+    if index is None:
+        found = fulltext.bm25(chunks, query, k, key="chunk_id", operator=operator)
+    else:
+        found = index.search(query, k, operator=operator, scope=chunks.select("chunk_id") if scoped else None).withColumnRenamed("key", "chunk_id")
+    rows = found.collect()  # k rows at most
+    return chunks.sparkSession.createDataFrame(rows, "chunk_id string, score double") if rows else None
+
+
 def _with_ids(chunks: DataFrame) -> DataFrame:
     out = chunks
     if "chunk_id" not in out.columns:

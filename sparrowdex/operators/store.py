@@ -152,7 +152,7 @@ def re_embed(chunks: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
     return rows.withColumns({"embedding": F.when(got, F.col("_e")).otherwise(F.col("embedding")), "embedding_model": F.when(got, F.lit(model)).otherwise(F.col("embedding_model"))}).drop("_e")
 
 
-def re_embed_summary(results: DataFrame) -> DataFrame:
-    """One row: documents by outcome (status ok, skipped or failed) and chunks."""
+def re_embed_summary(results: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each value of ``by``: documents by outcome (status ok, skipped or failed) and chunks."""
     n = lambda s: F.coalesce(F.sum((F.col("status") == s).cast("long")), F.lit(0)).alias(s)
-    return results.agg(F.count("*").alias("documents"), n("ok"), n("skipped"), n("failed"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"))
+    return results.groupBy(*by).agg(F.count("*").alias("documents"), n("ok"), n("skipped"), n("failed"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns, text
-from ..operators import chunking, enrich, fulltext, fusion, graph, store, vector
+from ..operators import chunking, enrich, fulltext, fusion, graph, index, store, vector
 from ..streaming import jobs
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,6 +170,28 @@ def bm25_topk_any(s, d):
     return fulltext.bm25(_docs(s, d), WORDS, 20, key="doc_id", content="text", operator="or").select("doc_id", F.round("score", 6).alias("score"))
 
 
+def _scratch(s) -> str:
+    """A new folder that all executors see: under the checkpoint folder, or the warehouse if none is set."""
+    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir() or s.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/sparrowdex-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 20")
+def bm25_stored_topk(s, d):
+    """Two deltas and a removed document that comes again, searched by the stored index."""
+    docs = _docs(s, d).select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
+    words = index.WordIndex(s, _scratch(s), stem=False)
+    half = F.pmod(F.xxhash64("chunk_id"), F.lit(2))
+    words.add(docs.filter(half == 0))
+    words.add(docs.filter(half == 1))
+    again = docs.orderBy(F.length("content").desc_nulls_last(), "chunk_id").limit(3)
+    words.remove(again.select("chunk_id"))
+    words.add(again)
+    # keys are text in the index and numbers in the table, so ties are cut by the number here
+    found = words.search(WORDS, 60, operator="or").select(F.col("key").cast("long").alias("doc_id"), F.round("score", 6).alias("score"), F.col("score").alias("_s"))
+    return found.orderBy(F.desc("_s"), "doc_id").limit(20).select("doc_id", "score")
+
+
 @query()
 def bm25_topk_stem(s, d):
     return fulltext.bm25(_docs(s, d), "thing retitioning", 20, key="doc_id", content="text", operator="or", stem=True)
@@ -235,14 +258,15 @@ def source_numbering(s, d):
 
 
 @query(
-    """WITH a AS (SELECT conv_id, turn, conv_id + 1 AS rank FROM conversations WHERE turn = 2),
+    """WITH a AS (SELECT conv_id, turn, CASE turn WHEN 2 THEN 2 ELSE 1 END AS rank FROM conversations WHERE turn IN (2, 5)),
     m AS (SELECT c.conv_id, c.turn, min(a.rank) AS g, bool_or(c.turn = a.turn) AS own FROM conversations c JOIN a ON c.conv_id = a.conv_id AND c.turn BETWEEN a.turn - 1 AND a.turn + 1 GROUP BY 1, 2)
-    SELECT conv_id, turn, row_number() OVER (ORDER BY g, conv_id, turn)::INT AS place, own AS is_anchor FROM m"""
+    SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY g, turn)::INT AS place, own AS is_anchor FROM m"""
 )
 def neighbor_window(s, d):
+    """Each conversation is one search with an anchor of its own."""
     rows = table(s, d, "conversations").select("conv_id", "turn", "text")
-    anchors = rows.filter("turn = 2").select("conv_id", "turn", (F.col("conv_id") + 1).alias("rank"))
-    return fusion.neighbours(anchors, rows, 1, doc="conv_id", index="turn").select("conv_id", "turn", "place", "is_anchor")
+    anchors = rows.filter("turn IN (2, 5)").select("conv_id", "turn", F.when(F.col("turn") == 2, 2).otherwise(1).alias("rank"))
+    return fusion.neighbours(anchors, rows, 1, doc="conv_id", index="turn", by=("conv_id",)).select("conv_id", "turn", "place", "is_anchor")
 
 
 @query(
@@ -458,10 +482,15 @@ def delete_by_document(s, d):
     return store.delete_rows(table(s, d, "labels"), gone, key="doc_id").select("doc_id", "quality")
 
 
-@query("SELECT p.p_partkey, d.doc_id FROM part p, documents d WHERE contains(lower(d.text), lower(p.p_name))")
+def _names(s, d, words: int) -> DataFrame:
+    """(item_id, name): the first words of the benchmark's passages, which some documents hold."""
+    name = F.regexp_extract("text", r"^\S+" + r" \S+" * (words - 1), 0)
+    return table(s, d, "benchmark").select("item_id", name.alias("name")).filter("name <> ''")
+
+
+@query(r"SELECT b.item_id, d.doc_id FROM (SELECT item_id, regexp_extract(text, '^\S+ \S+ \S+') AS name FROM benchmark) b, documents d WHERE name <> '' AND contains(lower(d.text), lower(name))")
 def near_entities_theta(s, d):
-    names = table(s, d, "part").select("p_partkey", F.col("p_name").alias("name"))
-    return enrich.names_in_text(names, _docs(s, d).select("doc_id", "text"), name="name", text="text").select("p_partkey", "doc_id")
+    return enrich.names_in_text(_names(s, d, 3), _docs(s, d).select("doc_id", "text")).select("item_id", "doc_id")
 
 
 # -- graph -----------------------------------------------------------------------------------------------
@@ -559,8 +588,8 @@ def throttle_emits(s, d):
     """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"""
 )
 def events_windowed(s, d):
-    e = table(s, d, "events")
-    return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+    found = jobs.windowed(table(s, d, "events"), total="value")
+    return found.select(F.col("window.start").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 # -- pages and figures -------------------------------------------------------------------------------------
@@ -643,14 +672,15 @@ def blob_keys(s, d):
 
 
 @query(
-    """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place, lang = 'de' AS fig, CASE WHEN doc_id % 4 > 0 THEN (doc_id % 10)::DOUBLE / 10 END AS score FROM documents),
-    k AS (SELECT *, sum((fig AND (score IS NULL OR score >= 0.2))::INT) OVER (ORDER BY place) AS n FROM r)
+    """WITH r AS (SELECT doc_id, doc_id // 50 AS query, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS place, lang = 'de' AS fig, CASE WHEN doc_id % 4 > 0 THEN (doc_id % 10)::DOUBLE / 10 END AS score FROM documents),
+    k AS (SELECT *, sum((fig AND (score IS NULL OR score >= 0.2))::INT) OVER (PARTITION BY query ORDER BY place) AS n FROM r)
     SELECT doc_id, place::INT AS place FROM k WHERE NOT fig OR ((score IS NULL OR score >= 0.2) AND n <= 3)"""
 )
 def figure_cap(s, d):
-    top = fusion.ranked(_docs(s, d), "doc_id", name="place")
-    rows = top.select("doc_id", "place", F.when(F.col("lang") == "de", "figure").otherwise("text").alias("chunk_type"), F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") % 10 / 10).alias("rerank_score"))
-    return fusion.cap_figures(rows).select("doc_id", "place")
+    """Fifty hits for each of many queries."""
+    top = fusion.ranked(_docs(s, d).withColumn("query", F.expr("doc_id div 50")), "doc_id", name="place", by=("query",))
+    rows = top.select("doc_id", "query", "place", F.when(F.col("lang") == "de", "figure").otherwise("text").alias("chunk_type"), F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") % 10 / 10).alias("rerank_score"))
+    return fusion.cap_figures(rows, by=("query",)).select("doc_id", "place")
 
 
 @query(
@@ -681,10 +711,11 @@ def metadata_merge(s, d):
 
 
 @query(
-    """SELECT d.doc_id, count(*) AS named FROM documents d JOIN nation n ON n.n_nationkey % 5 = d.doc_id % 5 AND contains(lower(d.text), lower(n.n_name)) GROUP BY 1"""
+    r"""SELECT d.doc_id, count(*) AS named FROM documents d JOIN (SELECT item_id, regexp_extract(text, '^\S+ \S+') AS name FROM benchmark) b
+    ON b.item_id % 5 = d.doc_id % 5 AND name <> '' AND contains(lower(d.text), lower(name)) GROUP BY 1"""
 )
 def entity_names_in_chunks(s, d):
-    names = table(s, d, "nation").select((F.col("n_nationkey") % 5).alias("doc"), F.col("n_name").alias("name"))
+    names = _names(s, d, 2).select((F.col("item_id") % 5).alias("doc"), "name")
     chunks = _docs(s, d).select("doc_id", (F.col("doc_id") % 5).alias("doc"), "text")
     return enrich.names_in_own_text(names, chunks, key="doc").groupBy("doc_id").agg(F.count("*").alias("named"))
 
@@ -715,15 +746,10 @@ def verdict_words(s, d):
 
 @query("SELECT label AS model, sum((vec_id % 3 = 0)::INT)::BIGINT AS ok, sum((vec_id % 3 = 1)::INT)::BIGINT AS skipped, sum((vec_id % 3 = 2)::INT)::BIGINT AS failed FROM embeddings GROUP BY 1")
 def re_embed_by_model(s, d):
-    parts = []
-    base = _vectors(s, d).withColumn("status", F.element_at(F.array(F.lit("ok"), F.lit("skipped"), F.lit("failed")), (F.col("vec_id") % 3 + 1).cast("int")))
-    for r in range(10):  # the ten labels
-        one = base.filter(F.col("label") == r).select("status", F.lit(1).alias("chunks"))
-        parts.append(store.re_embed_summary(one).select(F.lit(r).alias("model"), "ok", "skipped", "failed", "documents"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.filter("documents > 0").drop("documents")
+    status = F.element_at(F.array(F.lit("ok"), F.lit("skipped"), F.lit("failed")), (F.col("vec_id") % 3 + 1).cast("int"))
+    rows = _vectors(s, d).select(F.col("label").alias("model"), status.alias("status"), F.lit(1).alias("chunks"))
+    return store.re_embed_summary(rows, by=("model",)).select("model", "ok", "skipped", "failed")
+
 
 # -- the rest of the surface, over made texts where the tables have none of their kind -----------------------
 

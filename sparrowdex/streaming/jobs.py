@@ -119,9 +119,10 @@ def throttle_stream(events: DataFrame, *, milliseconds: int = 900, key: str = "j
     return events.groupBy(key).applyInPandasWithState(run, events.schema, "last double, step string", "append", GroupStateTimeout.NoTimeout)
 
 
-def windowed(events: DataFrame, *, time: str = "ts", late: str = "10 minutes", width: str = "1 hour", by: tuple[str, ...] = ("event_type",)) -> DataFrame:
-    """Counts in event-time windows, closed once the watermark has passed them."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(F.count("*").alias("n"))
+def windowed(events: DataFrame, *, time: str = "ts", late: str = "10 minutes", width: str = "1 hour", by: tuple[str, ...] = ("event_type",), total: str | None = None) -> DataFrame:
+    """Counts in event-time windows, closed once the watermark has passed them, and the sum of ``total`` if one is named. Over a table that doesn't grow all windows come."""
+    more = [] if total is None else [F.sum(total).alias("total")]
+    return events.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(F.count("*").alias("n"), *more)
 
 
 def poll(ticks: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, *, seconds: float = 3.0, once: bool = False):
