@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns, text
-from ..operators import chunking, enrich, fulltext, fusion, graph, index, store, vector
+from ..operators import cells, chunking, enrich, fulltext, fusion, graph, index, store, vector
 from ..streaming import jobs
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -844,6 +844,16 @@ def ann_cells_all(s, d):
     return vector.cell_top_k(celled, centres, _vector_of(s, d, 0), 10, key="vec_id", probes=10).select("vec_id", _SIX())
 
 
+@query(f"SELECT e.vec_id, round({_SIM}, 6) AS similarity FROM embeddings e, {_Q0} q WHERE e.label IN (1, 2, 3) ORDER BY {_SIM} DESC, e.vec_id LIMIT 10")
+def vec_index_scoped(s, d):
+    """The stored index with all its cells probed: candidates by code, ranked by their exact similarity."""
+    stored, rows = cells.VectorIndex(s, _scratch(s)), _vectors(s, d)
+    stored.build(rows, key="vec_id", cells=8)
+    scope = rows.filter("label IN (1, 2, 3)").select("vec_id")
+    found = stored.search(_vector_of(s, d, 0), 10, probes=8, scope=scope, table=rows, key="vec_id")
+    return found.select(F.col("key").alias("vec_id"), _SIX())
+
+
 @query("SELECT conv_id, turn, conv_id || '_' || turn AS chunk_id, section FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN NULL ELSE role END AS section FROM conversations)")
 def chunk_contract(s, d):
     rows = table(s, d, "conversations").select("conv_id", "turn", F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), F.when(F.col("role") == "user", "").otherwise(F.col("role")).alias("section"), F.array(_L(1.0), _L(2.0)).alias("embedding"))
