@@ -98,21 +98,22 @@ class KnowledgeBase:
     def _documents(self, groups: list[str] | None = None, category: str | None = None) -> DataFrame:
         return store.alive(self.tables.read("documents"), self.key.tenant, category=category, groups=groups, document_groups=self.tables.read("document_groups"))
 
-    def ingest(self, source: DataFrame, *, categories: list[str] | None = None, kb_ids: list[str] | None = None, figures: str = "auto") -> DataFrame:
+    def ingest(self, source: DataFrame, *, categories: list[str] | None = None, kb_ids: list[str] | None = None, figures: str = "auto", ids: DataFrame | None = None) -> DataFrame:
         """Takes files (path, length, content) in and returns (id, path, status, error).
 
         Rejected and unreadable files become failed documents with an error; the others are chunked, their entities and relations found, embedded and stored. Taking the same
-        paths in again makes new documents.
+        paths in again makes new documents. ``ids`` (path, id, job_id, blob_key, created_at) gives the documents and jobs of queued files the ids that they have already.
         """
-        self.key.require(WRITE)
+        groups = self.require_write(kb_ids)
         now = datetime.now(UTC)
-        groups = self.key.narrowed(kb_ids)
-        if kb_ids and not groups:
-            raise PermissionError("no access to these knowledge bases")
         taken = files.accepted(source)
         texts = files.extract(taken.filter("rejection IS NULL"))
-        rows = taken.select("path", "rejection").join(texts, "path", "left").withColumn("id", F.expr("uuid()"))
-        rows = rows.select("id", "path", "text", F.coalesce("rejection", "error").alias("error"), F.lit(now).alias("created_at"))
+        rows = taken.select("path", "rejection").join(texts, "path", "left")
+        if ids is None:
+            rows = rows.withColumns({"id": F.expr("uuid()"), "job_id": F.expr("uuid()"), "blob_key": F.col("path"), "created_at": F.lit(now)})
+        else:
+            rows = rows.join(ids, "path")
+        rows = rows.select("id", "job_id", "blob_key", "path", "text", F.coalesce("rejection", "error").alias("error"), "created_at")
         staged = f"{self.tables.root}/staged/{uuid.uuid4().hex}"
         rows.write.parquet(staged)
         rows = self.spark.read.parquet(staged)
@@ -126,7 +127,7 @@ class KnowledgeBase:
         self.tables.append("documents", docs)
         if groups:
             self.tables.append("document_groups", docs.select(F.col("id").alias("document_id"), F.explode(F.array(*map(F.lit, groups))).alias("knowledge_base_id")))
-        done = rows.select(F.expr("uuid()").alias("id"), F.col("id").alias("document_id"), F.col("path").alias("blob_key"), F.when(F.col("error").isNull(), "success").otherwise("failed").alias("status"), F.substring("error", 1, jobs.ERROR_CHARS).alias("error"), "created_at")
+        done = rows.select(F.col("job_id").alias("id"), F.col("id").alias("document_id"), "blob_key", F.when(F.col("error").isNull(), "success").otherwise("failed").alias("status"), F.substring("error", 1, jobs.ERROR_CHARS).alias("error"), "created_at")
         self.tables.append("ingest_jobs", done.withColumns({"tenant_id": F.lit(self.key.tenant), "attempt": F.lit(1), "step": F.lit("done"), "progress": F.lit(100), "updated_at": F.lit(now)}))
         return rows.select("id", "path", F.when(F.col("error").isNull(), "ready").otherwise("failed").alias("status"), "error")
 
@@ -146,6 +147,25 @@ class KnowledgeBase:
         self.tables.append("entities", entities)
         self.tables.append("relations", edges.select("document_id", "src", "dst", T.relation_type(F.col("rel_type")).alias("rel_type"), "confidence", "context"))
 
+    def require_read(self) -> None:
+        self.key.require(READ)
+
+    def require_write(self, kb_ids: list[str] | None) -> list[str] | None:
+        """The groups that the key may write to."""
+        self.key.require(WRITE)
+        groups = self.key.narrowed(kb_ids)
+        if kb_ids and not groups:
+            raise PermissionError("no access to these knowledge bases")
+        return groups
+
+    def forget(self, ids: DataFrame) -> None:
+        """Deletes what was made of documents (one column of the tenant's own ids), as far as there is anything."""
+        chunks = self.tables.read("chunks").filter(F.col("tenant_id") == self.key.tenant)
+        ids = ids.select(F.col(ids.columns[0]).alias("id")).distinct()
+        self.words.remove(chunks.join(ids.select(F.col("id").alias("document_id")), "document_id", "left_semi").select("chunk_id"))
+        for name in ("chunks", "entities", "relations", "document_groups", "documents"):
+            self.tables.delete(name, ids, "id" if name == "documents" else "document_id")
+
     def documents(self, kb_ids: list[str] | None = None, limit: int = 100) -> DataFrame:
         """Newest documents with their chunk counts; a request for groups that the key may not see lists nothing."""
         self.key.require(READ)
@@ -163,11 +183,7 @@ class KnowledgeBase:
         ids = self._documents(self.key.narrowed(None)).filter(F.col("id") == document_id).select("id")
         if not ids.take(1):
             return False
-        one = self.spark.createDataFrame([(document_id,)], "id string")
-        chunks = self.tables.read("chunks").filter((F.col("document_id") == document_id) & (F.col("tenant_id") == self.key.tenant))
-        self.words.remove(chunks.select("chunk_id"))
-        for name in ("chunks", "entities", "relations", "document_groups", "documents"):
-            self.tables.delete(name, one, "id" if name == "documents" else "document_id")
+        self.forget(self.spark.createDataFrame([(document_id,)], "id string"))
         return True
 
     # -- search
@@ -239,10 +255,18 @@ class KnowledgeBase:
 
     def job(self, job_id: str) -> DataFrame:
         self.key.require(READ)
-        return self.tables.read("ingest_jobs").filter((F.col("id") == job_id) & (F.col("tenant_id") == self.key.tenant))
+        return self._jobs(F.col("id") == job_id)
 
     def jobs(self) -> DataFrame:
-        return self.tables.read("ingest_jobs").filter(F.col("tenant_id") == self.key.tenant)
+        """The tenant's jobs as each was reported last."""
+        return self._jobs(F.lit(True))
+
+    def _jobs(self, which: F.Column) -> DataFrame:
+        rows = self.tables.read("ingest_jobs").filter((F.col("tenant_id") == self.key.tenant) & which)
+        rest = [c for c in rows.columns if c != "id"]
+        done = F.col("status").isin("success", "failed").cast("int")
+        last = rows.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct("updated_at", "attempt", done, "progress")).alias("r"))
+        return last.select("id", "r.*").select(*rows.columns)
 
     def drift(self) -> DataFrame:
         return vector.drift(self.tables.read("chunks").filter(F.col("tenant_id") == self.key.tenant), self.embedder.name)
