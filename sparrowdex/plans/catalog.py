@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns, text
-from ..operators import cells, chunking, enrich, fulltext, fusion, graph, index, store, vector
+from ..operators import cells, chunking, enrich, fulltext, fusion, graph, index, snapshots, store, vector
 from ..streaming import jobs
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,9 +173,16 @@ def bm25_topk_any(s, d):
 
 
 def _scratch(s) -> str:
-    """A new folder that all executors see: under the checkpoint folder, or the warehouse if none is set."""
+    """A new folder that all executors see, under the checkpoint folder, or the warehouse if none is set; it goes when the driver ends."""
     base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir() or s.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/sparrowdex-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/sparrowdex-{uuid.uuid4().hex}"
+
+    def gone() -> None:
+        with contextlib.suppress(Exception):  # the session may be stopped by then
+            snapshots.Folder(s, path).remove("")
+
+    atexit.register(gone)
+    return path
 
 
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 20")
@@ -516,6 +525,18 @@ def graph_related(s, d):
     return graph.related(_edges(s, d), "n3", limit=10_000).select("direction", "node").distinct()
 
 
+@query(
+    """WITH e AS (SELECT s_suppkey AS id, s_nationkey, (s_suppkey % 7)::DOUBLE / 10 AS c, CASE WHEN s_suppkey % 3 = 0 THEN 'NEAR' WHEN s_suppkey % 3 = 1 THEN 'IN' ELSE 'OF' END AS t FROM supplier)
+    SELECT rel_type, node, confidence FROM (SELECT t AS rel_type, 's' || id AS node, c AS confidence FROM e WHERE s_nationkey = 3 AND t IN ('IN', 'NEAR') ORDER BY c DESC, t, node LIMIT 5)"""
+)
+def graph_related_best(s, d):
+    """The most confident edges of some types, as many as are wanted."""
+    kind = F.element_at(F.array(F.lit("NEAR"), F.lit("IN"), F.lit("OF")), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    node = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    edges = table(s, d, "supplier").select(node("s", "s_suppkey").alias("src"), node("n", "s_nationkey").alias("dst"), kind.alias("rel_type"), ((F.col("s_suppkey") % 7).cast("double") / 10).alias("confidence"))
+    return graph.related(edges, "n3", rel_types=["IN", "NEAR"], direction="in", limit=5).select("rel_type", "node", "confidence")
+
+
 # -- jobs and progress ------------------------------------------------------------------------------------
 
 _JOBS = """

@@ -111,15 +111,18 @@ _EXTRACTED = "path string, text string, pages array<struct<page:int,text:string>
 def extract(files: DataFrame, *, ocr: Callable[[bytes, str], str] | None = None) -> DataFrame:
     """(path, text, pages, error) of files (path, content). A file that can't be read has an error and no text, and stops no other.
 
+    A column ``mime``, if there is one, decides on the reader before the extension does, whatever its case and parameters; plain text, types that are not known and nulls leave it to the extension.
     Markup is stripped natively elsewhere (``functions.text``); here every format is decoded file by file. Images and scans go to ``ocr``.
     """
+    kinds = {m: e for m, e in EXTENSION.items() if m != "text/plain"} | {"text/xml": ".xml"}
 
     def run(frames):
         for pdf in frames:
-            rows = [parsers.extract_one(str(p), bytes(c) if c is not None else b"", ocr) for p, c in zip(pdf["path"], pdf["content"], strict=True)]
+            rows = [parsers.extract_one(str(p), bytes(c) if c is not None else b"", ocr, kinds.get(m)) for p, c, m in zip(pdf["path"], pdf["content"], pdf["mime"], strict=True)]
             yield pd.DataFrame(rows, columns=["path", "text", "pages", "error"])
 
-    return files.select("path", "content").mapInPandas(run, _EXTRACTED)
+    mime = F.trim(F.lower(F.substring_index("mime", ";", 1))) if "mime" in files.columns else F.lit(None).cast("string")
+    return files.select("path", "content", mime.alias("mime")).mapInPandas(run, _EXTRACTED)
 
 
 def process_files(files: DataFrame, **options) -> tuple[DataFrame, DataFrame]:

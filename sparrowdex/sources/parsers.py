@@ -435,9 +435,9 @@ def repair_json(reply: str):
 # -- dispatch ------------------------------------------------------------------------------------------------
 
 
-def extract_one(path: str, data: bytes, ocr: Callable[[bytes, str], str] | None = None) -> tuple:
-    """(path, text, pages, error) of one file, by its extension; unknown ones are read as UTF-8."""
-    ext, name, pages = suffix(path), name_of(path), None
+def extract_one(path: str, data: bytes, ocr: Callable[[bytes, str], str] | None = None, kind: str | None = None) -> tuple:
+    """(path, text, pages, error) of one file, by ``kind`` (the extension that its media type stands for) or else its own extension; unknown ones are read as UTF-8."""
+    ext, name, pages = kind or suffix(path), name_of(path), None
     try:
         if ext == ".pdf":
             texts = pdf_pages(data)

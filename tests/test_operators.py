@@ -484,3 +484,15 @@ def test_pdf_pages_follow_the_tree():
     pdf = "%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [9 0 R 3 0 R] >> endobj\n"
     pdf += page(3, 5) + page(4, 6) + body(5, "third") + body(6, "second") + body(7, "first") + page(8, 7) + "9 0 obj << /Type /Pages /Kids [8 0 R 4 0 R] >> endobj\n"
     assert parsers.pdf_pages(pdf.encode()) == ["first", "second", "third"]
+
+
+def test_media_type_decides_before_the_extension(spark):
+    from sparrowdex.sources import files
+
+    page = b"<p>Hello <b>there</b></p>"
+    rows = [("a.txt", page, "text/html"), ("b.txt", page, "TEXT/HTML; charset=utf-8"), ("c.html", page, None), ("d.html", page, "text/plain"), ("e.txt", page, "no/such"), ("f.bin", b"x", "image/png")]
+    table = spark.createDataFrame([(p, bytearray(c), m) for p, c, m in rows], "path string, content binary, mime string")
+    got = {r["path"]: (r["text"], r["error"]) for r in files.extract(table).collect()}
+    assert all("<" not in got[p][0] and "Hello" in got[p][0] for p in ("a.txt", "b.txt", "c.html", "d.html"))
+    assert got["e.txt"][0] == page.decode() and "no reader for images" in got["f.bin"][1]
+    assert {r["path"]: r["text"] for r in files.extract(table.drop("mime")).collect()}["a.txt"] == page.decode()
