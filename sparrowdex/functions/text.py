@@ -59,8 +59,9 @@ def blob_key(tenant: Column, document_id: Column, name: Column, asset: bool = Fa
 
 # -- captions --------------------------------------------------------------------------------------
 
-#: Words that begin a meaningful caption, and words that are no keywords of one.
+#: Words that begin a meaningful caption, words that begin a printed one, and words that are no keywords of one.
 KINDS = "gambar|tabel|grafik|diagram|foto|bagan|ilustrasi|peta"
+CAPTION_STARTS = "gambar|figure|fig|tabel|table|chart|grafik|diagram"
 CAPTION_STOPWORDS = "yang untuk pada dan dengan dari atau adalah dalam serta oleh hal ini itu para kepada gambar tabel raja dewa kitab hari suci".split()
 
 
@@ -68,6 +69,11 @@ def caption_meaningful(c: Column) -> Column:
     return F.coalesce(c, F.lit("")).rlike(rf"(?i)^\s*({KINDS})(?![A-Za-z0-9_])")
 
 
+def caption_line(c: Column) -> Column:
+    """Whether a printed line begins as a caption does."""
+    return F.coalesce(trim(c), F.lit("")).rlike(rf"(?i)^({CAPTION_STARTS})(?![A-Za-z0-9_])")
+
+
 def caption_keywords(c: Column) -> Column:
     body = F.regexp_replace(c, rf"(?i)^\s*({KINDS})\.?\s*[\d.]*", "")
     words = F.split(body, "[^A-Za-zÀ-ÿ]+")

@@ -154,14 +154,6 @@ def matching_figures(query: str, retrieved: str, figures: DataFrame, anchors: Da
     return rows.drop("_n", "_a").orderBy(F.desc("figure_score"), "document_id", "chunk_id").limit(limit)
 
 
-def nearest_captions(images: DataFrame, captions: DataFrame, *, doc: str = "document_id", low: float = -30, high: float = 200) -> DataFrame:
-    """Caption of each image: on its page, with the smallest gap below it within the bounds; null without one."""
-    c = captions.select(doc, "page", F.col("y0").alias("_y"), F.col("text").alias("caption"))
-    met = images.join(c, [doc, "page"], "left").withColumn("_gap", F.col("_y") - F.col("y1"))
-    near = F.when(F.col("_gap").between(low, high), F.struct(F.abs("_gap").alias("g"), F.col("caption").alias("c")))
-    return met.groupBy(*images.columns).agg(F.min(near)["c"].alias("caption"))
-
-
 def vlm_figures(rows: DataFrame, types: list[str], limit: int = 3) -> DataFrame:
     """(asset_key, source_no): figures of the wanted kinds by the first source that names them."""
     want = [t.strip().lower() for t in types]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns, text
-from ..operators import cells, chunking, enrich, fulltext, fusion, graph, index, snapshots, store, vector
+from ..operators import cells, chunking, enrich, fulltext, fusion, graph, index, placement, snapshots, store, vector
 from ..streaming import jobs
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -637,6 +637,28 @@ def figure_page_context(s, d):
     return enrich.figure_context(figures, texts).select(F.col("page").alias("conv_id"), "context")
 
 
+_BLOCKS = """
+b AS (SELECT l_suppkey, l_linenumber % 3 AS page, l_orderkey, l_linenumber, l_orderkey * 8 + l_linenumber AS pos, (l_partkey * 7 + l_orderkey) % 1000 AS y0,
+    (l_partkey * 7 + l_orderkey) % 1000 + l_quantity AS y1, l_orderkey % 2 = 0 AS figure,
+    CASE l_returnflag WHEN 'A' THEN 'Gambar ' WHEN 'R' THEN ' fig. ' ELSE 'Figures ' END || l_partkey AS text FROM lineitem)
+"""
+
+
+@query(
+    f"""WITH {_BLOCKS}, c AS (SELECT l_suppkey, page, y0, min({{'pos': pos, 'text': trim(text)}}).text AS text FROM b WHERE NOT figure AND regexp_matches(trim(text), '^(?i)(gambar|fig)\\b') GROUP BY 1, 2, 3),
+    n AS (SELECT f.l_suppkey, f.page, f.y1, arg_min(c.text, c.y0) AS near_caption FROM (SELECT DISTINCT l_suppkey, page, y1 FROM b WHERE figure) f
+        JOIN c ON f.l_suppkey = c.l_suppkey AND f.page = c.page AND c.y0 - f.y1 >= -30 AND c.y0 - f.y1 < 200 GROUP BY 1, 2, 3)
+    SELECT b.l_orderkey, b.l_linenumber, b.l_suppkey, near_caption FROM b LEFT JOIN n USING (l_suppkey, page, y1) WHERE b.figure"""
+)
+def captions_below(s, d):
+    """A line of an order is a block on one of three pages of its supplier; every second order's are figures."""
+    rows, y0 = table(s, d, "lineitem"), (F.col("l_partkey") * 7 + F.col("l_orderkey")) % 1000
+    start = F.when(F.col("l_returnflag") == "A", "Gambar ").when(F.col("l_returnflag") == "R", " fig. ").otherwise("Figures ")
+    rows = rows.select("l_suppkey", "l_orderkey", "l_linenumber", (F.col("l_linenumber") % 3).alias("page"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), y0.alias("y0"), (y0 + F.col("l_quantity")).alias("y1"), F.concat(start, F.col("l_partkey")).alias("text"))
+    figure = F.col("l_orderkey") % 2 == 0
+    return placement.captions_below(rows.filter(figure), rows.filter(~figure), doc="l_suppkey").select("l_orderkey", "l_linenumber", "l_suppkey", "near_caption")
+
+
 @query()
 def assign_pages(s, d):
     conv = table(s, d, "conversations")
