@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..models import Embedder, Lru, Model, Reranker
@@ -15,15 +17,33 @@ from . import enrich, fulltext, fusion, store, vector
 from .index import WordIndex
 
 
+#: Fixed value: the score that a reranker must give a figure's caption.
+FIGURE_FLOOR = 0.001
+
+
 @dataclass
 class Result:
-    """Hits with place and source_no, their context as a one-row frame, and counts by stage."""
+    """Hits with place and source_no, their context as a one-row frame, and by stage the number of rows and the seconds."""
 
     hits: DataFrame
     context: DataFrame
     stats: dict = field(default_factory=dict)
 
 
+def _timed(stats: dict, name: str, run: Callable[[], list]) -> list:
+    """The rows of a stage, which are a search's few hits, as lists; its count and seconds go to the statistics, without a further job."""
+    start = time.monotonic()
+    rows = run()
+    stats[name] = {"rows": len(rows), "seconds": round(time.monotonic() - start, 4)}
+    return rows
+
+
+def _together(*runs: Callable[[], list]) -> list[list]:
+    """Results of several arms that run at the same time; the first error of the list is raised when all have ended."""
+    with ThreadPoolExecutor(len(runs)) as pool:
+        return [f.result() for f in [pool.submit(r) for r in runs]]
+
+
 def _joined(hits: DataFrame, meta: DataFrame) -> DataFrame:
     """Hits of visible documents, with title and categories; hits are few, so they are the side that travels."""
     own = [c for c in meta.columns if c == "document_id" or c not in hits.columns]
@@ -111,45 +131,64 @@ def retrieve(
     scope: DataFrame | None = None,
     index: WordIndex | None = None,
     index_scope: bool = True,
+    most_figures: int = 3,
+    figure_floor: float = 0.2,
 ) -> Result:
     """Default retrieval: vector arm over all forms of the query, BM25 arm, fusion, reranking and figure rules, numbered context.
 
     ``documents`` are those the caller may see; chunks of others never enter an arm. With no BM25 hits the vector order stays. With a stored ``index`` the BM25 arm reads its
-    lists in place of all texts; ``index_scope`` is false if the caller may see all that it holds.
+    lists in place of all texts; ``index_scope`` is false if the caller may see all that it holds. Arms run at the same time and once each; the statistics
+    hold the rows and seconds of vector, bm25, fusion and rerank, and the number of forms.
     """
-    chunks = _with_ids(chunks)
+    chunks, spark, stats = _with_ids(chunks), chunks.sparkSession, {}
     fetch = max(initial, max_chunks) if reranker else max_chunks
     own = (scope if scope is not None else documents).select("document_id").distinct()
     mine = chunks.join(own, "document_id", "left_semi")
     forms = expand(query, expander)
-    hits = None
-    for v in embedder.embed(forms):
-        one = vector.top_k(mine, v, fetch, minimum=minimum)
-        hits = one if hits is None else hits.unionByName(one)
-    near = vector.union_of_variants(hits, fetch) if len(forms) > 1 else hits
-    near = near.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "chunk_id")))
-    words = _words(mine, query, fetch, operator, index, index_scope) if bm25 else None
-    if words is not None:
-        ranked = fusion.ranked(words, F.desc("score"), "chunk_id")
+    vectors = embedder.embed(forms)  # one call for all forms
+
+    def by_vector() -> list:
+        hits = None
+        for v in vectors:
+            one = vector.top_k(mine, v, fetch, minimum=minimum).select("chunk_id", "similarity")
+            hits = one if hits is None else hits.unionByName(one)
+        return (vector.union_of_variants(hits, fetch) if len(vectors) > 1 else hits).collect()
+
+    runs = [lambda: _timed(stats, "vector", by_vector)]
+    if bm25:
+        runs.append(lambda: _timed(stats, "bm25", lambda: _words(mine, query, fetch, operator, index, index_scope)))
+    near, words = (*_together(*runs), [])[:2]
+    near = _frame(spark, near, "similarity")
+    if words:
+        ranked = _frame(spark, words, "score")
         fused = fusion.rrf([near, ranked], fetch, key="chunk_id").select("chunk_id", "place", "rrf_score")
-        pool = fusion.pool(near.drop("rank"), mine.join(F.broadcast(ranked.select("chunk_id")), "chunk_id"), key="chunk_id").join(fused, "chunk_id")
+        fused = fused.join(F.broadcast(near.select("chunk_id", "similarity")), "chunk_id", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     else:
-        pool = near.withColumnRenamed("rank", "place").withColumn("rrf_score", F.col("similarity")).filter(F.col("place") <= fetch)
-    pool = _joined(pool.drop("embedding", "norm"), documents)
-    if reranker is not None and pool.count() > max_chunks:
-        pool = _reranked(pool, query, reranker, max_chunks)
-        pool = fusion.cap_figures(pool)
-    return _finish(pool.filter(F.col("place") <= max_chunks), {"forms": len(forms)})
-
-
-def _words(chunks: DataFrame, query: str, k: int, operator: str, index: WordIndex | None, scoped: bool) -> DataFrame | None:
-    """(chunk_id, score) of the BM25 arm, worked out once; none without hits."""
+        fused = near.select("chunk_id", F.col("rank").alias("place"), F.col("similarity").alias("rrf_score"), "similarity").filter(F.col("place") <= fetch)
+    fused = _timed(stats, "fusion", fused.collect)
+    # only the hits' own rows are read
+    rows = mine.filter(F.col("chunk_id").isin([r["chunk_id"] for r in fused])).drop("embedding", "norm")
+    pool = _joined(rows.join(F.broadcast(spark.createDataFrame(fused, "chunk_id string, place int, rrf_score double, similarity double")), "chunk_id"), documents)
+    if reranker is not None and len(fused) > max_chunks:
+        start = time.monotonic()
+        pool = fusion.cap_figures(_reranked(pool, query, reranker, max_chunks), most_figures, figure_floor)
+        stats["rerank"] = {"rows": min(len(fused), max_chunks), "seconds": round(time.monotonic() - start, 4)}
+    return _finish(pool.filter(F.col("place") <= max_chunks), stats | {"forms": len(forms)})
+
+
+def _frame(spark: SparkSession, rows: list, score: str) -> DataFrame:
+    """(chunk_id, score, rank) of an arm's hits."""
+    best = sorted(((r["chunk_id"], r[score]) for r in rows), key=lambda r: (-r[1], r[0]))
+    return spark.createDataFrame([(k, v, i + 1) for i, (k, v) in enumerate(best)], f"chunk_id string, {score} double, rank int")
+
+
+def _words(chunks: DataFrame, query: str, k: int, operator: str, index: WordIndex | None, scoped: bool) -> list:
+    """(chunk_id, score) of the BM25 arm, k rows at most."""
     if index is None:
         found = fulltext.bm25(chunks, query, k, key="chunk_id", operator=operator)
     else:
         found = index.search(query, k, operator=operator, scope=chunks.select("chunk_id") if scoped else None).withColumnRenamed("key", "chunk_id")
-    rows = found.collect()  # k rows at most
-    return chunks.sparkSession.createDataFrame(rows, "chunk_id string, score double") if rows else None
+    return found.select("chunk_id", "score").collect()
 
 
 def _with_ids(chunks: DataFrame) -> DataFrame:
@@ -159,7 +198,7 @@ def _with_ids(chunks: DataFrame) -> DataFrame:
     for c in ("section", "asset_key", "contextual_prefix", "chunk_type"):
         if c not in out.columns:
             out = out.withColumn(c, F.lit(None).cast("string"))
-    return out
+    return out.withColumn("chunk_id", F.col("chunk_id").cast("string"))
 
 
 def hybrid(
@@ -176,30 +215,69 @@ def hybrid(
     entity_weight: float = 0.3,
     use_entities: bool = True,
     figures: DataFrame | None = None,
+    figure_limit: int = 3,
+    figure_floor: float = FIGURE_FLOOR,
+    reranker: Reranker | None = None,
+    judge: Callable[[str, dict], str] | None = None,
 ) -> Result:
     """Hybrid retrieval: vector arm, entity arm seeded by its best five documents, weighted fusion, entities, neighbours, figures.
 
-    A missing group filter is no filter, the caller's limit holds, and only the caller's documents are searched.
+    A missing group filter is no filter, the caller's limit holds, and only the caller's documents are searched. Figures come from the hits' documents (see
+    ``select_figures``). The statistics hold the rows and seconds of vector, entities, fusion, neighbours and figures.
     """
-    chunks = _with_ids(chunks)
+    chunks, spark, stats = _with_ids(chunks), chunks.sparkSession, {"weights": (vector_weight, entity_weight)}
     mine = chunks.join(documents.select("document_id").distinct(), "document_id", "left_semi")
-    near = vector.top_k(mine, embedder.embed([query])[0], top)
-    near = near.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "chunk_id")))
-    seeds = near.filter("rank <= 5").select("document_id")
-    arm = enrich.entity_arm(query, entities, mine, seeds, top) if use_entities else near.select("chunk_id", F.lit(0.0).alias("score"), "rank").limit(0)
+    best = _timed(stats, "vector", vector.top_k(mine, embedder.embed([query])[0], top).filter("similarity IS NOT NULL").select("chunk_id", "document_id", "similarity").collect)
+    near = _frame(spark, best, "similarity")
+    order = sorted(best, key=lambda r: (-r["similarity"], r["chunk_id"]))
+    seeds = spark.createDataFrame([(r["document_id"],) for r in order[:5]], "document_id string")
+    found = _timed(stats, "entities", enrich.entity_arm(query, entities, mine, seeds, top).collect) if use_entities and best else []
+    arm = spark.createDataFrame([(r["chunk_id"], r["score"], r["rank"]) for r in found], "chunk_id string, score double, rank int")
     fused = fusion.weighted_rrf(near, arm, arm.limit(0), max_chunks, vector_weight=vector_weight, entity_weight=entity_weight, key="chunk_id")
-    anchors = mine.join(F.broadcast(fused.select("chunk_id", F.col("place").alias("rank"), "score")), "chunk_id").select("document_id", "chunk_index", "rank", "score")
-    rows = fusion.neighbours(anchors, mine.drop("embedding", "norm"), window)
+    fused = _timed(stats, "fusion", fused.select("chunk_id", F.col("place").alias("rank"), "score").collect)
+    places = spark.createDataFrame(fused, "chunk_id string, rank int, score double")
+    anchors = mine.filter(F.col("chunk_id").isin([r["chunk_id"] for r in fused])).select("chunk_id", "document_id", "chunk_index").join(F.broadcast(places), "chunk_id")
+    anchors = anchors.select("document_id", "chunk_index", "rank", "score").collect()
+    docs = sorted({r["document_id"] for r in anchors})
+    anchors = spark.createDataFrame(anchors, "document_id string, chunk_index int, rank int, score double")
+    rows = fusion.neighbours(anchors, mine.filter(F.col("document_id").isin(docs)).drop("embedding", "norm"), window)
+    held = _timed(stats, "neighbours", rows.select("document_id", "chunk_id", "chunk_index", "chunk_type", "asset_key", "content").collect)  # a few chunks of each hit
     rows = _joined(rows.withColumn("similarity", F.lit(0.0)), documents)
-    top5 = enrich.top_entities(entities.withColumnRenamed("document_id", "doc_id").withColumn("seq", F.col("entity_id")), 5).withColumnRenamed("doc_id", "document_id")
-    rows = rows.join(top5, "document_id", "left")
-    if figures is not None:
-        text = " ".join(r[0] for r in rows.select("content").collect())  # what the answer holds, a few chunks
-        found = enrich.matching_figures(query, text, figures, rows.select("document_id", "chunk_index"), present=rows.select("asset_key").filter("asset_key IS NOT NULL"))
-        last = rows.agg(F.coalesce(F.max("place"), F.lit(0)).alias("_m"))
-        more = found.crossJoin(F.broadcast(last)).withColumn("place", F.row_number().over(Window.orderBy(F.desc("figure_score"), "document_id", "chunk_id")) + F.col("_m"))
-        rows = rows.unionByName(_joined(more.select("document_id", "chunk_id", "asset_key", "section", "content", "place"), documents), allowMissingColumns=True)
-    return _finish(rows, {"weights": (vector_weight, entity_weight)})
+    named = entities.filter(F.col("document_id").isin(docs)).withColumnRenamed("document_id", "doc_id").withColumn("seq", F.col("entity_id"))
+    rows = rows.join(enrich.top_entities(named, 5).withColumnRenamed("doc_id", "document_id"), "document_id", "left")
+    if figures is not None and held:
+        chosen = _timed(stats, "figures", lambda: select_figures(query, figures.filter(F.col("document_id").isin(docs)), held, limit=figure_limit, floor=figure_floor, reranker=reranker, judge=judge))
+        fields = ("document_id", "chunk_id", "asset_key", "section", "content")
+        listed = [(*(r[c] for c in fields), "figure", 0.0, len(held) + i + 1) for i, r in enumerate(chosen)]
+        more = spark.createDataFrame(listed, ", ".join(f"{c} string" for c in (*fields, "chunk_type")) + ", similarity double, place int")
+        rows = rows.unionByName(_joined(more, documents), allowMissingColumns=True)
+    return _finish(rows, stats)
+
+
+def select_figures(
+    query: str, figures: DataFrame, held: list, *, limit: int = 3, floor: float = FIGURE_FLOOR, reranker: Reranker | None = None, judge: Callable[[str, dict], str] | None = None, pool: int = 200
+) -> list[dict]:
+    """Figures that go with the retrieved chunks ``held`` and aren't among them, best first, ``limit`` at most.
+
+    Candidates are those anchored in a retrieved text or with a caption's word in query or texts; the ``pool`` best of them go to a reranker, which orders
+    them by their captions and drops those under the floor. A judge then looks at the first two and keeps one. An error of the reranker leaves the order as it is.
+    """
+    spark = figures.sparkSession
+    if limit < 1:
+        return []
+    anchors = spark.createDataFrame([(r["document_id"], r["chunk_index"]) for r in held if r["chunk_type"] != "figure"], "document_id string, chunk_index int")
+    present = spark.createDataFrame([(r["asset_key"],) for r in held if r["asset_key"]], "asset_key string")
+    met = enrich.matching_figures(query, "\n".join(r["content"] or "" for r in held), figures, anchors, present=present, limit=max(pool, limit))
+    found = [r.asDict() for r in met.select("document_id", "chunk_id", "asset_key", "section", "content", "caption", "figure_score").collect()]
+    if reranker is not None and found:
+        try:
+            order = reranker.rerank(query, [r["caption"] or "" for r in found], len(found))
+            found = [r | {"rerank_score": float(v)} for i, v in order if 0 <= i < len(found) and v >= floor for r in (found[i],)]
+        except Exception:  # noqa: BLE001 - as for the pool of texts
+            pass
+    if judge is not None and found:
+        found = gate(found, lambda c: judge(query, c), whole=True)
+    return found[:limit]
 
 
 def by_documents(chunks: DataFrame, documents: DataFrame, ids: list[str], query: str, *, embedder: Embedder, k: int = 5, minimum: float = 0.3) -> DataFrame:
@@ -214,18 +292,25 @@ def category(chunks: DataFrame, documents: DataFrame, name: str, query: str, *,
     return _joined(vector.top_k(_with_ids(chunks), embedder.embed([query])[0], k, minimum=minimum, scope=scope).drop("embedding", "norm"), documents)
 
 
-def gate(candidates: list[dict], judge: Model, *, top: int = 2, keep: int = 1) -> list[dict]:
-    """The first candidates that a judge says yes to; without an answer, or for an unreadable picture, the answer is no."""
-    kept = []
-    for c in candidates[:top]:
+def gate(candidates: list[dict], judge: Callable, *, top: int = 2, keep: int = 1, whole: bool = False) -> list[dict]:
+    """The first candidates that a judge says yes to; without an answer, or for an unreadable picture, the answer is no.
+
+    The first ``top`` are judged at the same time, by their captions or as they are (``whole``); the others go unseen.
+    """
+
+    def yes(c: dict) -> bool:
         try:
-            reply = judge(c["caption"]) if c.get("image", True) is not None else ""
+            reply = judge(c if whole else c["caption"]) if c.get("image", True) is not None else ""
+            return bool(re.search(r"(?i)(?<![A-Za-z0-9_])YA(?![A-Za-z0-9_])", reply)) and not re.search(r"(?i)(?<![A-Za-z0-9_])TIDAK(?![A-Za-z0-9_])", reply)
         except Exception:  # noqa: BLE001
-            reply = ""
-        yes = re.search(r"(?i)(?<![A-Za-z0-9_])YA(?![A-Za-z0-9_])", reply) and not re.search(r"(?i)(?<![A-Za-z0-9_])TIDAK(?![A-Za-z0-9_])", reply)
-        if yes and len(kept) < keep:
-            kept.append(c)
-    return kept
+            return False
+
+    seen = candidates[:top]
+    if not seen:
+        return []
+    with ThreadPoolExecutor(len(seen)) as pool:
+        answers = list(pool.map(yes, seen))
+    return [c for c, ok in zip(seen, answers, strict=True) if ok][:keep]
 
 
 def standalone(messages: list[tuple[str, str]], model: Model | None, *, enabled: bool = True) -> str:
