@@ -6,23 +6,25 @@ import hashlib
 import hmac
 import secrets
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import Registry, Settings
 from .functions import patterns
 from .functions import text as T
-from .models import Embedder, HashEmbedder, Model, Reranker
-from .operators import chunking, graph, index, retrieval, snapshots, store, vector
+from .models import Embedder, HashEmbedder, Model, OverlapReranker, Reranker
+from .operators import chunking, graph, index, placement, retrieval, snapshots, store, vector
 from .sources import files
 from .streaming import jobs
 
 DOCUMENTS = "id string, tenant_id string, title string, categories array<string>, filename string, content string, status string, metadata map<string,string>, created_at timestamp, deleted_at timestamp, retrieval_count long, last_retrieved_at timestamp"
 TABLES = {
     "documents": DOCUMENTS,
-    "chunks": "chunk_id string, document_id string, tenant_id string, chunk_index int, content string, chunk_type string, section string, page int, asset_key string, contextual_prefix string, embedding array<float>, embedding_model string",
+    "chunks": "chunk_id string, document_id string, tenant_id string, chunk_index int, content string, chunk_type string, section string, page int, asset_key string, anchor_chunk_index int, contextual_prefix string, embedding array<float>, embedding_model string",
     "entities": "entity_id string, document_id string, type string, name string, confidence double, seq long",
     "relations": "document_id string, src string, dst string, rel_type string, confidence double, context string",
     "document_groups": "document_id string, knowledge_base_id string",
@@ -73,14 +75,34 @@ class Tables(snapshots.Tables):
         super().__init__(spark, root, TABLES)
 
 
-class KnowledgeBase:
-    """One tenant's documents: ingest, search, listing, deletion and jobs."""
+#: Rerankers by name; a deployment adds its own.
+RERANKERS = Registry(overlap=OverlapReranker)
+
 
-    def __init__(self, spark: SparkSession, root: str, key: Key, *, embedder: Embedder | None = None, reranker: Reranker | None = None, expander: Model | None = None):
+class KnowledgeBase:
+    """One tenant's documents: ingest, search, listing, deletion and jobs.
+
+    Settings say what is on and how far it goes; a reranker, an expander or a contextualizer that is passed in is on. ``judge`` looks at figures (query, candidate).
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        key: Key,
+        *,
+        embedder: Embedder | None = None,
+        reranker: Reranker | None = None,
+        expander: Model | None = None,
+        contextualizer: Model | None = None,
+        judge: Callable[[str, dict], str] | None = None,
+        settings: Settings | None = None,
+    ):
         if not key.tenant:
             raise PermissionError("no tenant in scope")
         self.spark, self.tables, self.key = spark, Tables(spark, root), key
         self.embedder, self.reranker, self.expander = embedder or HashEmbedder(64), reranker, expander
+        self.contextualizer, self.judge, self.settings = contextualizer, judge, settings or Settings()
         #: The tenant's own word index, so its counts are those of its chunks alone.
         self.words = index.WordIndex(spark, f"{root.rstrip('/')}/words/{hash_key(key.tenant)}")
 
@@ -98,11 +120,12 @@ class KnowledgeBase:
     def _documents(self, groups: list[str] | None = None, category: str | None = None) -> DataFrame:
         return store.alive(self.tables.read("documents"), self.key.tenant, category=category, groups=groups, document_groups=self.tables.read("document_groups"))
 
-    def ingest(self, source: DataFrame, *, categories: list[str] | None = None, kb_ids: list[str] | None = None, figures: str = "auto", ids: DataFrame | None = None) -> DataFrame:
+    def ingest(self, source: DataFrame, *, categories: list[str] | None = None, kb_ids: list[str] | None = None, figures: str = "auto", ids: DataFrame | None = None, layouts: DataFrame | None = None) -> DataFrame:
         """Takes files (path, length, content) in and returns (id, path, status, error).
 
         Rejected and unreadable files become failed documents with an error; the others are chunked, their entities and relations found, embedded and stored. Taking the same
         paths in again makes new documents. ``ids`` (path, id, job_id, blob_key, created_at) gives the documents and jobs of queued files the ids that they have already.
+        ``layouts`` (path and the columns of ``placement.layout_figures``) are blocks that a layout reader found: they give chunks their pages, and figures chunks of their own.
         """
         groups = self.require_write(kb_ids)
         now = datetime.now(UTC)
@@ -123,7 +146,7 @@ class KnowledgeBase:
             "id", F.lit(self.key.tenant).alias("tenant_id"), name.alias("title"), F.array(*map(F.lit, categories or [])).cast("array<string>").alias("categories"), name.alias("filename"),
             F.translate("text", "\0", "").alias("content"), F.when(F.col("error").isNull(), "ready").otherwise("failed").alias("status"), F.create_map(F.lit("figures"), F.lit(figures)).alias("metadata"), "created_at",
         )
-        self._index(good.select(F.col("id").alias("document_id"), name.alias("title"), F.col("text").alias("content"), T.ingest_policy(name, F.lit(figures)).alias("policy")))
+        self._index(good.select(F.col("id").alias("document_id"), name.alias("title"), F.col("text").alias("content"), T.ingest_policy(name, F.lit(figures)).alias("policy")), None if layouts is None else layouts.join(good.select("path", F.col("id").alias("document_id")), "path").drop("path"), figures != "skip")
         self.tables.append("documents", docs)
         if groups:
             self.tables.append("document_groups", docs.select(F.col("id").alias("document_id"), F.explode(F.array(*map(F.lit, groups))).alias("knowledge_base_id")))
@@ -131,8 +154,14 @@ class KnowledgeBase:
         self.tables.append("ingest_jobs", done.withColumns({"tenant_id": F.lit(self.key.tenant), "attempt": F.lit(1), "step": F.lit("done"), "progress": F.lit(100), "updated_at": F.lit(now)}))
         return rows.select("id", "path", F.when(F.col("error").isNull(), "ready").otherwise("failed").alias("status"), "error")
 
-    def _index(self, docs: DataFrame) -> None:
-        chunks = chunking.smart_chunks(docs, key="document_id")
+    def _index(self, docs: DataFrame, blocks: DataFrame | None = None, figures: bool = True) -> None:
+        get = self.settings.get
+        chunks = chunking.smart_chunks(docs, key="document_id", size=get("KB_CHUNK_SIZE"), overlap=get("KB_CHUNK_OVERLAP"))
+        if blocks is not None:
+            chunks = placement.paged(chunks, blocks)
+        chunks = placement.prefixed(chunks, docs, self.contextualizer)
+        if blocks is not None and figures:
+            chunks = chunks.unionByName(placement.figures_as_chunks(chunks, blocks, self.key.tenant).drop("figure_type"), allowMissingColumns=True)
         titled = chunks.join(docs.select("document_id", "title"), "document_id")
         made = titled.withColumn("embedding", self.embedder.column(vector.embedding_text(F.col("title"), F.col("content"))))
         made = store.validated_chunks(made.withColumns({"embedding_model": F.lit(self.embedder.name), "tenant_id": F.lit(self.key.tenant)}), self.embedder.dimension)
@@ -191,7 +220,7 @@ class KnowledgeBase:
     def search(self, query: str, *, max_chunks: int = 8, kb_ids: list[str] | None = None, document_ids: list[str] | None = None, category: str | None = None, hybrid: bool = False) -> retrieval.Result | DataFrame:
         """Searches documents by id, by hybrid retrieval, or by the default; each within the key's groups. Counts a hit for each document found."""
         self.key.require(READ)
-        k = min(50, max(1, int(max_chunks)))
+        k, get = min(50, max(1, int(max_chunks))), self.settings.get
         groups = self.key.narrowed(kb_ids)
         meta = self._documents(groups, category)
         if groups is not None and not groups:
@@ -201,9 +230,16 @@ class KnowledgeBase:
         if document_ids:
             found = retrieval.by_documents(chunks, meta, document_ids, query, embedder=self.embedder, k=k)
         elif hybrid:
-            found = retrieval.hybrid(chunks, meta, self.tables.read("entities"), query, embedder=self.embedder, max_chunks=k)
+            floor = self.settings.get("KB_FIGURE_MIN_RERANK") if self.settings.given("KB_FIGURE_MIN_RERANK") else retrieval.FIGURE_FLOOR
+            found = retrieval.hybrid(
+                chunks, meta, self.tables.read("entities"), query, embedder=self.embedder, max_chunks=k, window=get("KB_NEIGHBOR_WINDOW"), vector_weight=get("KB_VECTOR_WEIGHT"), entity_weight=get("KB_ENTITY_WEIGHT"),
+                figures=chunks.filter("chunk_type = 'figure'"), figure_limit=get("KB_FIGURE_LIMIT"), figure_floor=floor, reranker=self._reranker(), judge=self.judge,
+            )
         else:
-            found = retrieval.retrieve(chunks, meta, query, embedder=self.embedder, max_chunks=k, expander=self.expander, reranker=self.reranker, index=self.words, index_scope=groups is not None or category is not None)
+            found = retrieval.retrieve(
+                chunks, meta, query, embedder=self.embedder, max_chunks=k, expander=self.expander, reranker=self._reranker(), initial=get("KB_RERANK_INITIAL_K"), bm25=get("KB_BM25_ENABLED"),
+                index=self.words, index_scope=groups is not None or category is not None, most_figures=get("KB_FIGURE_LIMIT"), figure_floor=get("KB_FIGURE_MIN_RERANK"),
+            )
 
         hits = found.hits if isinstance(found, retrieval.Result) else found
         # one row for each document found, 50 at most, beside what is stored
@@ -211,6 +247,9 @@ class KnowledgeBase:
         self.tables.append("retrievals", ids)
         return found
 
+    def _reranker(self) -> Reranker | None:
+        return self.reranker or (RERANKERS.make(self.settings.get("KB_RERANKER")) if self.settings.get("KB_RERANK_ENABLED") else None)
+
     def clear(self) -> None:
         """Removes all that the tenant has but its keys."""
         self.key.require(WRITE)
@@ -304,4 +343,4 @@ class KnowledgeBase:
         return {"ok": True, "documents": self.tables.read("documents").limit(1).count() >= 0}
 
 
-__all__ = ["Key", "KnowledgeBase", "Tables", "hash_key", "mint_key"]
+__all__ = ["RERANKERS", "Key", "KnowledgeBase", "Tables", "hash_key", "mint_key"]

@@ -12,6 +12,7 @@ DEFAULTS: dict[str, bool | int | float | str] = {
     "KB_EMBEDDING_MODEL": "qwen/qwen3-embedding-8b",
     "KB_BM25_ENABLED": True,
     "KB_RERANK_ENABLED": False,
+    "KB_RERANKER": "overlap",
     "KB_RERANK_INITIAL_K": 20,
     "KB_RERANK_FINAL_K": 5,
     "KB_QUERY_EXPANSION_ENABLED": False,
@@ -51,6 +52,10 @@ class Settings:
             self._at = now
         return self._held
 
+    def given(self, name: str) -> bool:
+        """Whether an override or the environment sets it."""
+        return bool((self._overrides().get(name) or self._env.get(name, "")).strip())
+
     def get(self, name: str):
         """The setting in its default's type: "true" switches on what is off, only "false" switches off what is on; a number must be one."""
         default = DEFAULTS[name]

@@ -1,11 +1,15 @@
-"""Captions by place: which printed line belongs to which figure of a page."""
+"""What a layout's blocks give: captions by place, figures, pages of chunks."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..models import Model
+from . import enrich
+from .retrieval import prefixes
 
 #: The gap in thousandths of a page that a caption may have to its figure, from the figure's lower edge down; the upper bound is outside.
 LOW, HIGH = -30.0, 200.0
@@ -58,3 +62,49 @@ def layout_figures(blocks: DataFrame, *, doc: str = "document_id", scale: float
     return near.select(
         doc, F.element_at(F.split("image", "/"), -1).alias("figure_id"), "type", F.coalesce(F.col("page"), F.lit(0)).alias("page"), box.alias("box"), F.coalesce(own, "near_caption").alias("caption"),
     )
+
+
+def paged(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Chunks with their pages, as far as the blocks' texts tell; chunks of documents without blocks keep a null page."""
+    rows = chunks.withColumn("page", F.lit(None).cast("int")) if "page" not in chunks.columns else chunks
+    texts = blocks.filter(T.trim(F.coalesce("text", F.lit(""))) != "").select("document_id", F.coalesce(F.col("page").cast("int"), F.lit(0)).alias("page"), "text")
+    return enrich.assign_pages(rows, texts).filter("chunk_index IS NOT NULL")
+
+
+def figures_as_chunks(chunks: DataFrame, blocks: DataFrame, tenant: str) -> DataFrame:
+    """A chunk for each figure among the blocks, numbered after the document's chunks (with pages): label, kind, text of its page, key of its image, anchor.
+
+    Figures of one name in a document are one. Their order is page, then key.
+    """
+    key = lambda name: T.blob_key(F.lit(tenant), F.col("document_id"), name, asset=True)
+    figures = layout_figures(blocks).withColumn("asset_key", key(F.col("figure_id")))
+    figures = figures.groupBy("document_id", "asset_key").agg(F.min(F.struct("page", "type", "caption")).alias("f")).select("document_id", "asset_key", "f.*")
+    texts = chunks.filter("page IS NOT NULL").withColumn("_at", F.struct("document_id", "page"))
+    pages = enrich.page_text(texts, page="_at").select("_at.*", "page_text")
+    is_figure = F.col("type").isin(*FIGURES) & (F.coalesce("image", F.lit("")) != "")
+    marked = blocks.select("document_id", "page", "pos", F.when(is_figure, "figure").otherwise("text").alias("kind"), F.when(is_figure, key(F.element_at(F.split("image", "/"), -1))).alias("id"), "text")
+    anchors = enrich.anchor_figures(marked, chunks).select("document_id", F.col("figure_id").alias("asset_key"), F.col("chunk_index").alias("anchor_chunk_index"))
+    anchors = anchors.groupBy("document_id", "asset_key").agg(F.min("anchor_chunk_index").alias("anchor_chunk_index"))
+    last = chunks.groupBy("document_id").agg(F.max("chunk_index").alias("_last"))
+    out = enrich.figure_chunks(figures, pages).join(anchors, ["document_id", "asset_key"], "left").join(last, "document_id", "left")
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy("page", "asset_key"))
+    return out.withColumn("chunk_index", (F.coalesce("_last", F.lit(-1)) + place).cast("int")).drop("_last")
+
+
+def prefixed(chunks: DataFrame, docs: DataFrame, model: Model | None) -> DataFrame:
+    """Chunks with a contextual_prefix, which a model gives for all chunks of a document in one call; empty where it fails.
+
+    That call needs the whole document and its chunks, so a document is a group.
+    """
+    if model is None:
+        return chunks.withColumn("contextual_prefix", F.lit(None).cast("string"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema if f.name != "contextual_prefix"]
+    names = [f.name for f in chunks.schema if f.name != "contextual_prefix"]
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("chunk_index", kind="stable").reset_index(drop=True)
+        left["contextual_prefix"] = prefixes(right["content"].iloc[0] or "" if len(right) else "", left["content"].fillna("").tolist(), model) if len(left) else []
+        return left[[*names, "contextual_prefix"]]
+
+    met = chunks.select(*names).groupBy("document_id").cogroup(docs.select("document_id", "content").groupBy("document_id"))
+    return met.applyInPandas(run, ", ".join([*fields, "contextual_prefix string"]))
