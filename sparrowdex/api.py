@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from .config import Registry, Settings
 from .functions import patterns
 from .functions import text as T
 from .models import Embedder, HashEmbedder, Model, OverlapReranker, Reranker
-from .operators import chunking, graph, index, placement, retrieval, snapshots, store, vector
+from .operators import calls, chunking, graph, index, placement, retrieval, snapshots, store, vector
 from .sources import files
 from .streaming import jobs
 
@@ -310,21 +311,28 @@ class KnowledgeBase:
     def drift(self) -> DataFrame:
         return vector.drift(self.tables.read("chunks").filter(F.col("tenant_id") == self.key.tenant), self.embedder.name)
 
-    def re_embed(self, document_ids: list[str] | None = None) -> DataFrame:
-        """Embeds stale chunks, and those of the given documents, again; one row with the outcome."""
+    def re_embed(self, document_ids: list[str] | None = None, *, done: Accumulator | None = None, failed: Accumulator | None = None) -> DataFrame:
+        """Embeds stale chunks, and those of the given documents, again; one row with the outcome.
+
+        A document with a text that the endpoint refuses is failed and keeps all vectors that it has; the others are done. Accumulators show the progress in texts.
+        """
         chunks = self.tables.read("chunks")
         ids = vector.stale_documents(chunks.filter(F.col("tenant_id") == self.key.tenant), self.embedder.name)
         if document_ids:
             ids = ids.union(self.spark.createDataFrame([(i,) for i in document_ids], "document_id string")).distinct()
         ids = ids.join(self._documents().select(F.col("id").alias("document_id")), "document_id", "left_semi")
         todo = chunks.join(ids, "document_id", "left_semi").join(self.tables.read("documents").select(F.col("id").alias("document_id"), "title"), "document_id")
-        new = todo.select("chunk_id", "document_id", self.embedder.column(vector.embedding_text(F.col("title"), F.col("content"))).alias("embedding"))
+        todo = todo.select("chunk_id", "document_id", vector.embedding_text(F.col("title"), F.col("content")).alias("_text"))
+        new = calls.embedded(todo, "_text", self.embedder, concurrent=self.settings.get("KB_STORE_CONCURRENCY"), done=done, failed=failed).drop("_text")
         staged = f"{self.tables.root}/staged/{uuid.uuid4().hex}"
         new.write.parquet(staged)
         new = self.spark.read.parquet(staged)
-        self.tables.update("chunks", lambda rows: store.re_embed(rows, new, self.embedder.name))
-        per = ids.join(new.groupBy("document_id").agg(F.count("*").alias("chunks")), "document_id", "left")
-        return store.re_embed_summary(per.select(F.when(F.col("chunks") > 0, "ok").otherwise("skipped").alias("status"), F.coalesce("chunks", F.lit(0)).alias("chunks")))
+        bad = new.filter("embedding_error IS NOT NULL").select("document_id").distinct()
+        good = new.join(bad, "document_id", "left_anti")
+        self.tables.update("chunks", lambda rows: store.re_embed(rows, good, self.embedder.name))
+        per = ids.join(new.groupBy("document_id").agg(F.count("embedding").alias("chunks"), F.count("embedding_error").alias("errors")), "document_id", "left")
+        status = F.when(F.col("errors") > 0, "failed").when(F.col("chunks") > 0, "ok").otherwise("skipped")
+        return store.re_embed_summary(per.select(status.alias("status"), F.when(status == "ok", F.col("chunks")).otherwise(F.lit(0)).alias("chunks")))
 
     def related(self, entity_id: str, **options) -> DataFrame:
         mine = self.tables.read("relations").join(self._documents().select(F.col("id").alias("document_id")), "document_id", "left_semi")

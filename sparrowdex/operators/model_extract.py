@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns
 from ..models import Model
 from ..sources.parsers import repair_json
-from . import chunking
+from . import calls, chunking
 
 CONFIDENCE = 0.8
 DIRECT_CHARS, PART_CHARS, RELATION_CHARS, BATCH = 16_000, 5_000, 4_000, 15
@@ -20,27 +20,25 @@ def _parts(docs: DataFrame, key: str, text: str, most: int, direct: int = 0) ->
     return short.unionByName(chunking.model_chunks(docs.filter(F.length(text) > direct), key=key, content=text, max_chars=most))
 
 
-def _asked(parts: DataFrame, model: Model, key: str, tries: int) -> DataFrame:
-    """(key, chunk_index, kind, name, type, source, target, confidence, seq): what the model's answers hold; a failed part has nothing."""
+def _asked(parts: DataFrame, model: Model, key: str, tries: int, concurrent: int = 1, delay: float = 0.0) -> DataFrame:
+    """(key, chunk_index, kind, name, type, source, target, confidence, seq): what the model's answers hold; a failed part has nothing.
+
+    Each task has ``concurrent`` questions under way at most, whose starts lie ``delay`` seconds apart.
+    """
     kinds = dict(parts.dtypes)
     schema = f"`{key}` {kinds[key]}, chunk_index int, kind string, name string, type string, source string, target string, confidence double, seq long"
 
-    def ask(prompt: str):
-        for n in range(tries):
-            try:
-                found = repair_json(model(prompt))
-                if found is not None:
-                    return found
-            except Exception:  # noqa: BLE001 - the next try, or none
-                if n + 1 == tries:
-                    return None
-        return None
+    def ask(part: tuple):
+        found = repair_json(model(part[2]))
+        if found is None:
+            raise ValueError("no JSON in the answer")
+        return found
 
     def run(frames):
         for pdf in frames:
             out = []
-            for k, i, content in zip(pdf[key], pdf["chunk_index"], pdf["content"], strict=True):
-                found = ask(content)
+            parts = zip(pdf[key], pdf["chunk_index"], pdf["content"], strict=True)
+            for (k, i, _), found, _ in calls.in_order(parts, ask, concurrent=concurrent, delay=delay, tries=tries, wait=0.0):
                 found = {"entities": found} if isinstance(found, list) else found or {}
                 for n, e in enumerate(found.get("entities") or []):
                     if isinstance(e, dict) and e.get("name"):
@@ -53,9 +51,9 @@ def _asked(parts: DataFrame, model: Model, key: str, tries: int) -> DataFrame:
     return parts.mapInPandas(run, schema)
 
 
-def model_entities(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", tries: int = 3) -> DataFrame:
+def model_entities(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", tries: int = 3, concurrent: int = 1, delay: float = 0.0) -> DataFrame:
     """(key, type, name, confidence, seq): short texts at once, long ones in parts."""
-    rows = _asked(_parts(docs, key, text, PART_CHARS, DIRECT_CHARS), model, key, tries).filter("kind = 'entity'")
+    rows = _asked(_parts(docs, key, text, PART_CHARS, DIRECT_CHARS), model, key, tries, concurrent, delay).filter("kind = 'entity'")
     return rows.select(key, "type", "name", "confidence", "seq")
 
 
@@ -68,9 +66,9 @@ def hybrid_entities(docs: DataFrame, model: Model | None, *, key: str = "doc_id"
     return patterns.dedupe_entities(rows, key=key)
 
 
-def combined(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", tries: int = 3) -> tuple[DataFrame, DataFrame]:
+def combined(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", tries: int = 3, concurrent: int = 1, delay: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """Entities and relations from one answer for each part: merged across parts, relations by their entities' names, ends that are no entity dropped."""
-    rows = _asked(_parts(docs, key, text, PART_CHARS), model, key, tries)
+    rows = _asked(_parts(docs, key, text, PART_CHARS), model, key, tries, concurrent, delay)
     raw = rows.filter("kind = 'entity'").select(key, "type", "name", "confidence", "seq")
     entities = patterns.merge_entities(raw, key=key)
     # of entities with one name and several types the last one names it
@@ -90,11 +88,11 @@ def relation_grid(docs: DataFrame, entities: DataFrame, *, key: str = "doc_id",
     return parts.join(batches, key).select(key, "chunk_index", "batch", "content", "names")
 
 
-def model_relations(docs: DataFrame, entities: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", tries: int = 3) -> DataFrame:
+def model_relations(docs: DataFrame, entities: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", tries: int = 3, concurrent: int = 1, delay: float = 0.0) -> DataFrame:
     """Relations that the model finds between the batches' entities, one of each."""
     grid = relation_grid(docs, entities, key=key, text=text)
     asked = grid.select(key, "chunk_index", F.concat(F.lit("Entities: "), F.array_join("names", ", "), F.lit("\n\n"), F.col("content")).alias("content"))
-    rows = _asked(asked, model, key, tries).filter("kind = 'relation'")
+    rows = _asked(asked, model, key, tries, concurrent, delay).filter("kind = 'relation'")
     rel = rows.select(key, "source", "target", F.col("type").alias("rel_type"), "confidence", "seq")
     return patterns.dedupe_relations(rel, key=key)
 
