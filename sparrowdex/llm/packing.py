@@ -7,8 +7,8 @@ import zlib
 from array import array
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,16 +113,25 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """A column's name that no column has."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
+
+
 def tokenize_pieces(docs: DataFrame, *, text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Encodes every whole text, adds the end id, and cuts it into full windows and one remainder.
 
     Returns the input's columns but the text, and start, length, ids_crc32 and doc_tokens of each piece (and
-    its ids, if asked for). A null text counts as empty: it is the end id alone.
+    its ids, if asked for); columns of these names are replaced. A null text counts as empty: it is the end id alone.
     """
     path = tokenizer or default_tokenizer()
     keep = [c for c in docs.columns if c not in (text, "start", "length", "ids_crc32", "doc_tokens", "ids")]
-    body = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in body.select(*keep).dtypes), "start long, length long, ids_crc32 long, doc_tokens long"])
+    kept = [F.col(f"`{c}`") for c in keep]
+    whole_text = _free("_text", keep)
+    body = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias(whole_text))
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in body.select(*kept).dtypes), "start long, length long, ids_crc32 long, doc_tokens long"])
     schema += ", ids array<int>" if with_ids else ""
     end = np.asarray([END_ID], dtype="<u4").tobytes()
     width = 4 * capacity
@@ -133,7 +142,7 @@ def tokenize_pieces(docs: DataFrame, *, text: str = "text", tokenizer: str | Non
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 row, start, length, crc, tokens, ids = [], [], [], [], [], []
-                for i, raw in enumerate(enc.encode(batch.column("_text").to_pylist())):
+                for i, raw in enumerate(enc.encode(batch.column(whole_text).to_pylist())):
                     raw = memoryview(raw + end)
                     for s in range(0, len(raw), width):
                         piece = raw[s : s + width]
@@ -206,29 +215,35 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, group_rows: int = GROUP
     so no key or source gathers in a group, and each group is filled by ``fill_windows``. Adds sequence_id (unique, not gapless) and offset.
 
     Nulls: a null ``order`` comes first. Ties: pieces of one length are taken by (order, start, crc); equal rows are separate pieces, and either may stand first.
-    An empty table gives an empty result. Padding: the last windows of each group of ``group_rows`` remainders may be short.
+    An empty table gives an empty result. Other columns pass through; columns named sequence_id or offset are replaced. Padding: the last windows of each group of ``group_rows`` remainders may be short.
     """
-    pieces = common.written(pieces, "pieces")
+    taken = ("sequence_id", "offset")
+    if order.lower() in taken:
+        raise ValueError(f"pieces can't be ordered by {order}, which is a result")
+    pieces = common.written(pieces.drop(*taken), "pieces")
     short = pieces.filter(F.col("length") < capacity)
     groups = max(1, -(-short.count() // group_rows))
+    names = pieces.columns
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    number = _free("_g", names)
 
-    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", order, "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", na_position="first").reset_index(drop=True)
-        lengths = pdf["length"].to_numpy()
+    # Arrow and not pandas, where a null among whole numbers makes fractions of them
+    def fill(key: tuple, table: pa.Table) -> pa.Table:
+        keys = [("length", "descending"), (order, "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
+        table = table.select(names).take(pc.sort_indices(table.select([k for k, _ in keys]), sort_keys=keys, null_placement="at_start"))
+        lengths = table.column("length").to_numpy()
         rows = {int(n): list(np.flatnonzero(lengths == n)[::-1]) for n in np.unique(lengths)}
-        seq, off = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
+        seq, off = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         for w, window in enumerate(fill_windows({n: len(r) for n, r in rows.items()}, capacity)):
             at = 0
             for n in sorted(window, reverse=True):
                 for _ in range(window[n]):
                     i = rows[n].pop()
-                    seq[i], off[i] = (int(key[0]) << 32) | w, at
+                    seq[i], off[i] = (int(key[0].as_py()) << 32) | w, at
                     at += n
-        pdf["sequence_id"], pdf["offset"] = seq, off
-        return pdf.drop(columns="_g")
+        return table.append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
 
-    packed = short.withColumn("_g", F.pmod(F.xxhash64(order, "start", "ids_crc32"), F.lit(groups))).groupBy("_g").applyInPandas(fill, schema)
+    packed = short.withColumn(number, F.pmod(F.xxhash64(order, "start", "ids_crc32"), F.lit(groups))).groupBy(number).applyInArrow(fill, schema)
     # above every group's numbers
     full = pieces.filter(F.col("length") == capacity).withColumns({"sequence_id": F.lit(1 << 60) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     return packed.unionByName(full)

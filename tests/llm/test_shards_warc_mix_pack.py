@@ -207,3 +207,20 @@ def test_long_runs_of_one_kind_of_character():
         assert len(enc.encode([text])[0]) > 0
     for text in (" " * 3000 + "x y", "\t" * 3000 + "x\n\n  y", "\n" * 3000, "a" * 3000, ("x" + " " * 1500) * 4, " \t\n" * 1200 + "é   z"):
         assert enc.encode([text])[0] == enc._encode([text])[0]
+
+
+def test_packing_keeps_columns_whatever_their_names(spark):
+    big = (1 << 60) + 1
+    rows = [(i if i % 3 else None, "word " * (i % 40), 7, 8, "g", "t", big if i % 2 else None) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sequence_id int, offset int, _g string, _text string, note long")
+    pieces = packing.tokenize_pieces(docs, capacity=32)
+    out = packing.pack(pieces, capacity=32, group_rows=50).collect()
+    assert len(out) == pieces.count() and {r["_g"] for r in out} == {"g"} and {r["_text"] for r in out} == {"t"} and {r["note"] for r in out} == {big, None}
+    held = {}
+    for r in out:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for spans in held.values():
+        spans.sort()
+        assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False)) and sum(n for _, n in spans) <= 32
+    with pytest.raises(ValueError):
+        packing.pack(pieces.withColumnRenamed("note", "extra"), order="offset")
