@@ -626,15 +626,15 @@ def page_text(s, d):
 
 
 @query(
-    """SELECT c.conv_id, coalesce(nullif(a.text, ''), nullif(b.text, ''), nullif(p.text, ''), '') AS context FROM (SELECT DISTINCT conv_id FROM conversations) c
-    LEFT JOIN (SELECT * FROM conversations WHERE turn = 5) a ON a.conv_id = c.conv_id LEFT JOIN (SELECT * FROM conversations WHERE turn = 5) b ON b.conv_id = c.conv_id + 1
-    LEFT JOIN (SELECT * FROM conversations WHERE turn = 5) p ON p.conv_id = c.conv_id - 1"""
+    """WITH p AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN text END AS text FROM conversations)
+    SELECT c.conv_id, c.turn, coalesce(nullif(a.text, ''), nullif(b.text, ''), nullif(p.text, ''), '') AS context FROM conversations c
+    LEFT JOIN p a ON a.conv_id = c.conv_id AND a.turn = c.turn LEFT JOIN p b ON b.conv_id = c.conv_id AND b.turn = c.turn + 1 LEFT JOIN p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1"""
 )
 def figure_page_context(s, d):
-    conv = table(s, d, "conversations")
-    texts = conv.filter("turn = 5").select(F.col("conv_id").alias("page"), F.col("text").alias("page_text"))
-    figures = conv.select(F.col("conv_id").alias("page")).distinct()
-    return enrich.figure_context(figures, texts).select(F.col("page").alias("conv_id"), "context")
+    """A conversation is a document, a turn a page with a figure; only the assistant's pages have a text."""
+    conv = table(s, d, "conversations").withColumnRenamed("turn", "page")
+    texts = conv.select("conv_id", "page", F.when(F.col("role") == "assistant", F.col("text")).alias("page_text"))
+    return enrich.figure_context(conv.select("conv_id", "page"), texts, by=("conv_id",)).select("conv_id", F.col("page").alias("turn"), "context")
 
 
 _BLOCKS = """
