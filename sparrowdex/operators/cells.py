@@ -57,6 +57,8 @@ class VectorIndex:
     ``build`` fits ``cells`` centres: each partition fits its own on a sample of its vectors, these are fitted again, weighted. Every vector goes to its nearest centre and gets a byte for each
     SUBSPACE values of what is left to the centre. ``search`` reads the codes of the cells nearest to the query, takes ``over_fetch`` candidates by code, and ranks these by their exact
     similarity. With a scope only candidates in it count. Should fewer than wanted be found, or the index not be there, the whole table is searched.
+    An exact search reads the codes of all cells. Each vector's distance from what its code stands for is stored, so the code bounds its similarity; every one whose bound reaches the
+    k-th similarity of the candidates is ranked as well, and none is lost.
     Vectors that are null, zero, of another width or not finite are not indexed.
     """
 
@@ -86,13 +88,14 @@ class VectorIndex:
                 cell = nearest(x, centres)
                 rest = _cut(x - centres[cell], sub)
                 code = np.stack([nearest(rest[:, j], words[j]) for j in range(sub)], axis=1).astype(np.uint8)
+                off = np.sqrt(sum(((rest[:, j] - words[j][code[:, j]]) ** 2).sum(axis=1) for j in range(sub)))
                 raw = pa.array([r.tobytes() for r in code], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("v"), pa.array(cell.astype(np.int32)), raw], names=["key", "v", "cell", "code"])
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("v"), pa.array(cell.astype(np.int32)), raw, pa.array(off)], names=["key", "v", "cell", "code", "off"])
 
         kind = dict(rows.dtypes)["key"]
-        full = rows.mapInArrow(coded, f"key {kind}, v array<double>, cell int, code binary")
+        full = rows.mapInArrow(coded, f"key {kind}, v array<double>, cell int, code binary, off double")
         full.repartition("cell", F.pmod(F.xxhash64("key"), F.lit(4))).write.partitionBy("cell").parquet(f"{self.root}/{at}/rows")
-        model = {"at": at, "width": width, "kind": kind, "centres": centres.tolist(), "words": [w.tolist() for w in words]}
+        model = {"at": at, "width": width, "kind": kind, "off": True, "centres": centres.tolist(), "words": [w.tolist() for w in words]}
         while not self.folder.create(f"_lists/{len(self.folder.names('_lists')) + 1:012d}", json.dumps(model)):
             pass
 
@@ -136,14 +139,12 @@ class VectorIndex:
                 continue
         return None
 
-    def candidates(self, query: Sequence[float], limit: int, *, probes: int = 8, scope: DataFrame | None = None, model: dict | None = None) -> DataFrame:
-        """(key, cell, v) of the candidates by code; partition pruning reads the probed cells alone."""
-        model = model or self.model()
+    def _rated(self, query: Sequence[float], model: dict, scope: DataFrame | None, probes: int | None = None) -> DataFrame:
+        """The stored rows with ``r``, the similarity by code, of the cells nearest to the query (all cells, if no number of them is given) and in the scope."""
         centres, words = np.array(model["centres"]), [np.array(w) for w in model["words"]]
         q = np.asarray(query, np.float64)
         q = q / max(np.sqrt((q**2).sum()), 1e-300)
         base = centres @ q
-        near = np.argsort(-base, kind="stable")[:probes]
         parts = _cut(q[None, :], len(words))[0]
         table = np.stack([np.pad(w @ p, (0, CODE_WORDS - len(w))) for w, p in zip(words, parts, strict=True)])
 
@@ -152,18 +153,31 @@ class VectorIndex:
             codes = np.frombuffer(b"".join(code), np.uint8).reshape(len(code), -1)
             return pd.Series(base[cell.to_numpy()] + table[np.arange(len(table))[None, :], codes].sum(axis=1))
 
-        rows = self.spark.read.schema(f"key {model['kind']}, v array<double>, code binary, cell int").parquet(f"{self.root}/{model['at']}/rows").filter(F.col("cell").isin([int(c) for c in near]))
-        codes = rows.select("key", "cell", "code")
+        more = ", off double" if model.get("off") else ""
+        rows = self.spark.read.schema(f"key {model['kind']}, v array<double>, code binary{more}, cell int").parquet(f"{self.root}/{model['at']}/rows")
+        if probes is not None:
+            rows = rows.filter(F.col("cell").isin([int(c) for c in np.argsort(-base, kind="stable")[:probes]]))
         if scope is not None:
-            codes = codes.join(scope.select(F.col(scope.columns[0]).alias("key")).distinct(), "key", "left_semi")
-        best = codes.select("key", "cell", rated("cell", "code").alias("r")).orderBy(F.desc("r"), "key").limit(over_fetch(limit)).select("key", "cell")
-        return rows.select("key", "cell", "v").join(F.broadcast(best), ["key", "cell"])  # over_fetch rows, 2,000 at most
+            rows = rows.join(scope.select(F.col(scope.columns[0]).alias("key")).distinct(), "key", "left_semi")
+        return rows.withColumn("r", rated("cell", "code"))
+
+    def candidates(self, query: Sequence[float], limit: int, *, probes: int = 8, scope: DataFrame | None = None, model: dict | None = None) -> DataFrame:
+        """(key, cell, v) of the candidates by code; partition pruning reads the probed cells alone."""
+        model = model or self.model()
+        best = self._rated(query, model, scope, probes).select("key", "cell", "r").orderBy(F.desc("r"), "key").limit(over_fetch(limit)).select("key", "cell")
+        return self._rated(query, model, None, probes).select("key", "cell", "v").join(F.broadcast(best), ["key", "cell"])  # over_fetch rows, 2,000 at most
 
-    def search(self, query: Sequence[float], k: int = 5, *, probes: int = 8, scope: DataFrame | None = None, table: DataFrame | None = None, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-        """(key, similarity) of the k nearest, ties by key. ``scope``: one column of keys. ``table``: what to search if the index falls short."""
+    def search(
+        self, query: Sequence[float], k: int = 5, *, probes: int = 8, scope: DataFrame | None = None, table: DataFrame | None = None, key: str = "chunk_id", vector: str = "embedding", whole: bool = False
+    ) -> DataFrame:
+        """(key, similarity) of the k nearest, ties by key. ``scope``: one column of keys. ``table``: what to search if the index falls short. ``whole``: exactly the k nearest of all that is indexed."""
         model = self.model()
-        if model and len(query) == model["width"]:
-            found = exact.top_k(self.candidates(query, k, probes=probes, scope=scope, model=model), query, k, vector="v", key="key").select("key", "similarity").collect()
+        if model and len(query) == model["width"] and (model.get("off") or not whole):
+            near = lambda rows: exact.top_k(rows, query, k, vector="v", key="key").select("key", "similarity").collect()
+            found = near(self.candidates(query, k, probes=probes, scope=scope, model=model))
+            if whole:  # the margin is that of rounding
+                least = found[-1]["similarity"] if len(found) >= k else -2.0
+                found = near(self._rated(query, model, scope).filter(F.col("r") + F.col("off") >= least - 1e-9).select("key", "v"))
             if len(found) >= k or table is None:
                 return self.spark.createDataFrame(found, f"key {model['kind']}, similarity double")
         if table is None:

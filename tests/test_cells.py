@@ -54,3 +54,16 @@ def test_scope_and_fallback(spark, tmp_path):
 
 def test_over_fetch():
     assert [cells.over_fetch(k) for k in (1, 20, 50, 1000)] == [100, 100, 250, 2000]
+
+
+def test_whole_search_loses_none(spark, tmp_path):
+    """Vectors without any groups, which the codes tell apart badly."""
+    from sparrowdex.plans import catalog
+
+    x = np.random.default_rng(8).normal(size=(4000, 64)).astype(np.float32)
+    rows = [(i, [float(v) for v in r], i % 5) for i, r in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    score = unit @ unit[0]
+    want = sorted((i for i in range(4000) if i % 5 in (1, 2, 3)), key=lambda i: (-score[i], i))[:10]
+    assert [r["vec_id"] for r in catalog.queries()["vec_index_scoped"](spark, str(tmp_path)).collect()] == want
