@@ -304,9 +304,10 @@ def citations(text: Column) -> Column:
         lambda x: F.struct(x["raw"].alias("raw"), trim(x["p"][0]).alias("title"), F.when(F.size(x["p"]) > 1, F.array_join(F.slice(x["p"], 2, F.greatest(F.size(x["p"]) - 1, F.lit(0))), " — ")).alias("section")),
     )
     ok = F.filter(made, lambda x: F.length(x["title"]) >= 2)
-    numbered = F.transform(ok, lambda x, i: F.struct(i.alias("i"), x.alias("c")))
-    first = F.filter(numbered, lambda x: ~F.exists(numbered, lambda y: (y["i"] < x["i"]) & (y["c"]["title"] == x["c"]["title"]) & y["c"]["section"].eqNullSafe(x["c"]["section"])))
-    return F.transform(first, lambda x: x["c"])
+    # one pass: a citation is added unless its title and section are there, so the text isn't searched again for each pair
+    same = lambda x, y: (y["title"] == x["title"]) & y["section"].eqNullSafe(x["section"])
+    unique = lambda c: F.aggregate(c, F.slice(c, 1, 0), lambda kept, x: F.when(F.exists(kept, lambda y: same(x, y)), kept).otherwise(F.concat(kept, F.array(x))))
+    return F.transform(F.array(ok), unique)[0]
 
 
 def grounded(found: Column, titles: Column) -> Column:

@@ -496,3 +496,9 @@ def test_media_type_decides_before_the_extension(spark):
     assert all("<" not in got[p][0] and "Hello" in got[p][0] for p in ("a.txt", "b.txt", "c.html", "d.html"))
     assert got["e.txt"][0] == page.decode() and "no reader for images" in got["f.bin"][1]
     assert {r["path"]: r["text"] for r in files.extract(table.drop("mime")).collect()}["a.txt"] == page.decode()
+
+
+def test_citations_are_made_once(spark):
+    row = spark.createDataFrame([("[Doc A — S], [Doc A — S], [Doc A], **Doc A1**, [Doc A — T] [1]",)], "t string").select(T.citations(F.col("t")).alias("c"))
+    assert [(x["title"], x["section"]) for x in row.head()["c"]] == [("Doc A", "S"), ("Doc A", None), ("Doc A", "T"), ("Doc A1", None)]
+    assert row._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 2  # brackets and bold runs, not for each pair again
