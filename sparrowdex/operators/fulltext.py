@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stemmer import EXCEPTIONS
 from ..functions.stemmer import stem as stem_word
 
 K1, B = 1.2, 0.75
@@ -19,15 +21,28 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(CLASSES), F.lit(0))
 
 
-def stemmed(terms: DataFrame, term: str = "term") -> DataFrame:
-    """Stems the distinct terms only; text itself never passes through Python."""
+def _with_stem(terms: DataFrame, term: str = "term") -> DataFrame:
+    """(term, _stem) of the distinct terms."""
 
     @F.pandas_udf("string")
     def stems(t: pd.Series) -> pd.Series:
         return t.map(stem_word)
 
-    forms = terms.select(term).distinct().withColumn("_stem", stems(F.col(term)))
-    return terms.join(forms, term).withColumn(term, F.col("_stem")).drop("_stem")
+    return terms.select(term).distinct().withColumn("_stem", stems(F.col(term)))
+
+
+def stemmed(terms: DataFrame, term: str = "term") -> DataFrame:
+    """Stems the distinct terms only; text itself never passes through Python."""
+    return terms.join(_with_stem(terms, term), term).withColumn(term, F.col("_stem")).drop("_stem")
+
+
+def _may_stem_to(token: Column, terms: list[str]) -> Column:
+    """False only for tokens whose stem is none of the terms: but for the stemmer's exceptional forms, a stem's first two letters are those of the word.
+
+    Apostrophes at the start go, and letters beyond ASCII may have another lower case in Python, so these tokens all pass.
+    """
+    begins = sorted({t[:2] for t in terms} | {w[:2] for w, form in EXCEPTIONS.items() if form in terms})
+    return F.substring(token, 1, 2).isin(begins) | reduce(lambda c, b: c | token.startswith(b), [b for b in begins if len(b) == 1], F.lit(False)) | token.startswith("'") | (token > "\x7f")
 
 
 def postings(chunks: DataFrame, *, key: str = "id", content: str = "content", stem: bool = False) -> DataFrame:
@@ -60,17 +75,18 @@ def bm25(
     if not terms or not query.strip():
         return chunks.select(key, F.lit(0.0).alias("score")).limit(0)
     if index is None:
+        # filters on what is made of the tokens would be pushed down and take every text apart again, so blank texts and those without a hit go afterwards
+        toks = chunks.select(key, tokens(F.col(content)).alias("_t"))
+        stats = toks.select(F.nullif(F.size("_t"), F.lit(0)).cast("long").alias("doc_len"))
+        hit = F.filter("_t", lambda t: _may_stem_to(t, terms) if stem else t.isin(terms))
+        index = toks.select(key, F.size("_t").cast("long").alias("doc_len"), F.explode_outer(hit).alias("term")).filter("term IS NOT NULL")
         if stem:
-            index = postings(chunks, key=key, content=content, stem=True)
-            stats = index.groupBy(key).agg(F.first("doc_len").alias("doc_len"))
-        else:
-            toks = chunks.select(key, tokens(F.col(content)).alias("_t"))
-            stats = toks.select(key, F.size("_t").cast("long").alias("doc_len")).filter("doc_len > 0")
-            hit = F.filter("_t", lambda t: t.isin(terms))
-            index = toks.select(key, F.size("_t").cast("long").alias("doc_len"), F.explode(hit).alias("term")).groupBy(key, "doc_len", "term").agg(F.count("*").alias("tf"))
+            forms = _with_stem(index).filter(F.col("_stem").isin(terms))
+            index = index.join(F.broadcast(forms), "term").withColumn("term", F.col("_stem"))  # the query terms' own forms: a few words
+        index = index.groupBy(key, "doc_len", "term").agg(F.count("*").alias("tf"))
     else:
         stats = index.groupBy(key).agg(F.first("doc_len").alias("doc_len"))
-    whole = stats.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("mean"))
+    whole = stats.agg(F.count("doc_len").alias("n_docs"), F.avg("doc_len").alias("mean"))
     found = index.filter(F.col("term").isin(terms))
     df = found.groupBy("term").agg(F.count("*").alias("n"))
     rated = found.join(F.broadcast(df), "term").crossJoin(F.broadcast(whole))  # one row for each query term, and one row

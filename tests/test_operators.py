@@ -498,6 +498,17 @@ def test_media_type_decides_before_the_extension(spark):
     assert {r["path"]: r["text"] for r in files.extract(table.drop("mime")).collect()}["a.txt"] == page.decode()
 
 
+def test_stemmed_search_counts_only_words_that_may_match(spark):
+    words = "skies sky dying die lying thing things thin thinly retitioning rings eing aed ''' été Étés over ties tied y by yes".split()
+    df = spark.createDataFrame([(str(i), " ".join(words[i % 5 :: 2]) + " other words") for i in range(12)] + [("x", ""), ("y", None)], "id string, content string")
+    index = fulltext.postings(df, stem=True)
+    for query in ("thing retitioning", "die sky été e '''"):
+        want = fulltext.bm25(df, query, 20, operator="or", stem=True, index=index).collect()
+        assert fulltext.bm25(df, query, 20, operator="or", stem=True).collect() == want
+    may = spark.createDataFrame([("thing",), ("other",), ("skies",)], "t string").select(fulltext._may_stem_to(F.col("t"), ["thing", "sky"]).alias("m"))
+    assert [r["m"] for r in may.collect()] == [True, False, True]
+
+
 def test_citations_are_made_once(spark):
     row = spark.createDataFrame([("[Doc A — S], [Doc A — S], [Doc A], **Doc A1**, [Doc A — T] [1]",)], "t string").select(T.citations(F.col("t")).alias("c"))
     assert [(x["title"], x["section"]) for x in row.head()["c"]] == [("Doc A", "S"), ("Doc A", None), ("Doc A", "T"), ("Doc A1", None)]
