@@ -57,6 +57,32 @@ def _held(texts: DataFrame, sought: list[str], low: str) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
+def _held_own(texts: DataFrame, sought: DataFrame, key: str, low: str) -> DataFrame:
+    """The same for names of the texts' own key alone; names and hashes of their keys travel to all tasks, so no text is moved and no key gathers its texts in one task."""
+    own: dict[str, set[int]] = {}
+    for name, at in sought.select("_s", F.xxhash64(key)).collect():
+        own.setdefault(name, set()).add(at)
+    sent = texts.sparkSession.sparkContext.broadcast(pickle.dumps(own))
+    schema = T.StructType([*texts.schema.fields, T.StructField("_s", T.StringType())])
+    stay = texts.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = pickle.loads(sent.value)  # noqa: S301 - our own bytes
+        names = list(keys)
+        found, empty = automaton(names), keys.get("", set())
+        for batch in batches:
+            row, name = [], []
+            for i, (text, at) in enumerate(zip(batch.column(low).to_pylist(), batch.column("_at").to_pylist(), strict=True)):
+                hits = [names[j] for j in met(found, text) if at in keys[names[j]]]
+                if at in empty and text is not None:
+                    hits.append("")
+                row += [i] * len(hits)
+                name += hits
+            yield pa.RecordBatch.from_arrays([*batch.select(stay).take(pa.array(row, pa.int64())).columns, pa.array(name, pa.string())], names=[*stay, "_s"])
+
+    return texts.withColumn("_at", F.xxhash64(key)).mapInArrow(run, schema)
+
+
 def _grouped(texts: DataFrame, sought: DataFrame, key: list[str], low: str) -> DataFrame:
     """The same where texts and names (``_s``) must share ``key`` as well, or names don't travel: texts of a key in groups, names in blocks, every group meets every block of its key once.
 
@@ -115,5 +141,7 @@ def names_in_own_text(names: DataFrame, texts: DataFrame, *, key: str, name: str
     theirs = names.withColumn("_n", F.lower(F.col(name))).withColumnRenamed(key, "_key")
     sought = theirs.select(F.col("_key").alias(key), F.col("_n").alias("_s")).filter(F.col("_s").isNotNull() & F.col(key).isNotNull()).distinct()
     rows = texts.filter(F.col(key).isNotNull()).withColumn("_low", F.lower(F.col(text)))
-    held = _grouped(rows, sought, [key], "_low").drop("_low")
+    size = sought.agg(F.coalesce(F.sum(F.octet_length("_s") + 64), F.lit(0))).first()[0]
+    alike = dict(sought.dtypes)[key] == dict(rows.dtypes)[key]  # equal keys of other types have other hashes
+    held = (_held_own(rows, sought, key, "_low") if size <= TRAVEL_BYTES and alike else _grouped(rows, sought, [key], "_low")).drop("_low")
     return held.join(theirs, (F.col(key) == F.col("_key")) & (F.col("_s") == F.col("_n"))).drop("_s", "_n", "_key")

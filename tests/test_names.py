@@ -46,3 +46,16 @@ def test_places_by_query(spark):
     anchors = spark.createDataFrame([("q1", "a", 2, 1), ("q1", "b", 0, 2), ("q2", "a", 2, 1)], "q string, document_id string, chunk_index int, rank int")
     rows = fusion.neighbours(anchors, chunks, 1, by=("q",)).orderBy("q", "place").collect()
     assert [(r["q"], r["document_id"], r["chunk_index"], r["place"]) for r in rows] == [("q1", "a", 1, 1), ("q1", "a", 2, 2), ("q1", "a", 3, 3), ("q1", "b", 0, 4), ("q1", "b", 1, 5), ("q2", "a", 1, 1), ("q2", "a", 2, 2), ("q2", "a", 3, 3)]
+
+
+def test_names_of_their_own_text_move_no_text(spark):
+    from unittest import mock
+
+    held = spark.createDataFrame([(i % 3 if i else None, i, f"Text of Ann Lee {i} and BOB ") for i in range(40)], "k long, i long, text string")
+    sought = spark.createDataFrame([(0, "ann lee"), (1, "Bob"), (1, ""), (2, "nobody"), (2, None), (None, "ann lee")], "k long, name string")
+    rows = lambda: sorted((r["i"], r["name"]) for r in names.names_in_own_text(sought, held, key="k").collect())
+    want = sorted([(i, "ann lee") for i in range(3, 40, 3)] + [(i, n) for i in range(1, 40, 3) for n in ("Bob", "")])
+    with mock.patch.object(names, "_grouped", side_effect=AssertionError):
+        assert rows() == want
+    with mock.patch.object(names, "TRAVEL_BYTES", 0):
+        assert rows() == want
