@@ -127,3 +127,22 @@ def test_search_reads_its_terms_buckets_alone(spark, tmp_path):
     assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
     read = words._rows(["common"]).select(F.input_file_name().alias("f")).distinct().count()
     assert read == 1
+
+
+def shuffled(spark):
+    sc, none = spark.sparkContext, spark._jvm.java.util.ArrayList
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(none(), False, False, sc._gateway.new_array(spark._jvm.double, 0), none())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_building_moves_texts_and_lists_once(spark, tmp_path):
+    """What a delta shuffles stays near the size of its texts."""
+    chunks = spark.range(3000).select(F.col("id").cast("string").alias("chunk_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(150)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(3000))))).alias("content"))
+    size = chunks.agg(F.sum(F.length("content"))).first()[0]
+    before = shuffled(spark)
+    words = index.WordIndex(spark, f"file://{tmp_path}/w", stem=False)
+    words.add(chunks)
+    moved = shuffled(spark) - before
+    assert moved < 3.5 * size
+    assert [tuple(r) for r in words.search("w1 w2", 9).collect()] == [tuple(r) for r in fulltext.bm25(chunks, "w1 w2", 9, key="chunk_id", operator="or").collect()]
