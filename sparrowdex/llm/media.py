@@ -14,9 +14,11 @@ from . import common
 from .jaccard import components
 
 #: Half width of a patch, binary tests, least distance of two corners, ratio of two scales, side below which an image has no further scale.
-PATCH, TESTS, SPACE, STEP, LEAST = 12, 256, 6, 2**0.25, 30
-#: Hamming tables, rows of a block of a bucket, pixels that are described at once.
-TABLES, BLOCK, PIXELS = 3, 256, 1 << 19
+PATCH, TESTS, SPACE, STEP, LEAST = 12, 256, 6, 2**0.125, 30
+#: Hamming tables and the bits that each reads, whatever the input's size. With scales so near, a copy between two of them still has equal keys.
+TABLES, BITS = 2, 40
+#: Rows of a block of a bucket, pixels that are described at once.
+BLOCK, PIXELS = 256, 1 << 19
 #: Bits that may differ in a match, matches that must agree, distance in pixels up to which a match agrees.
 DIFFER, AGREE, NEAR = 48, 6, 3.0
 _WORD = np.dtype("<u8")
@@ -215,13 +217,13 @@ def describe_images(images: DataFrame) -> DataFrame:
     return images.select("image_id", "width", "height", "pixels").mapInArrow(run, "image_id long, digest binary, n int, points binary, descriptors binary")
 
 
-def _keys(described: DataFrame, bits: int) -> DataFrame:
-    """(key, image, point): for each point and table the point's bits that the table reads. One row for an image's equal keys, with the first of their points."""
-    order = np.concatenate([np.random.default_rng(5 + k).permutation(TESTS) for k in range(-(-TABLES * bits // TESTS))])
-    reads = order[: TABLES * bits].reshape(TABLES, bits)
+def _keys(described: DataFrame) -> DataFrame:
+    """(key, image, point): for each point and table the point's bits that the table reads. They follow from the point alone."""
+    order = np.concatenate([np.random.default_rng(5 + k).permutation(TESTS) for k in range(-(-TABLES * BITS // TESTS))])
+    reads = order[: TABLES * BITS].reshape(TABLES, BITS)
 
     def run(batches):
-        power = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+        power = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
@@ -294,9 +296,8 @@ def _across(met: DataFrame, labels: DataFrame) -> DataFrame:
 def find_copies(images: DataFrame, *, agree: int = AGREE) -> DataFrame:
     """(image_id, class_id, images) for every image: the least id of its class, and how many images the class has.
 
-    Images of equal bytes and size are one image from the start. Of the others, descriptors that are equal in the bits that a table reads share a bucket; the number of these
-    bits grows with the logarithm of the descriptors', so chance meetings grow with the input and not with its square. Images that meet by two points or more
-    are compared point by point, and are copies if ``agree`` matches fit one similarity transform. Classes are what copies connect. First every image meets
+    Images of equal bytes and size are one image from the start. Of the others, descriptors that are equal in the bits that a table reads share a bucket. Tables and bits
+    are fixed, so whether two images meet depends on these two alone, not on the table around them. Images that meet by two points or more are compared point by point, and are copies if ``agree`` matches fit one similarity transform. Classes are what copies connect. First every image meets
     the first one of its buckets; then, in the buckets that aren't of one class, all images of different classes meet. So each pair that shares two
     points is compared unless it is in one class already, and a group of copies costs its size, not its square.
 
@@ -313,9 +314,7 @@ def find_copies(images: DataFrame, *, agree: int = AGREE) -> DataFrame:
         described = everything.join(common.written(members.filter("image_id != rep").select("image_id"), "equals"), "image_id", "left_anti")
     else:
         described = everything.join(members.filter("image_id = rep").select("image_id", "digest"), ["image_id", "digest"], "left_semi").dropDuplicates(["image_id"])
-    points = everything.agg(F.sum("n")).first()[0] or 0
-    bits = min(64, 2 * math.ceil(math.log2(max(points, 1 << 12))))
-    keys = _keys(described, bits)
+    keys = _keys(described)
     buckets = keys.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("image", "point")).alias("head")).filter("c > 1")
     met = common.written(keys.join(buckets, "key").select("key", "image", "point", "head"), "buckets")
     star = met.filter("image != head.image").select(F.col("head.image").alias("a"), F.col("head.point").alias("pa"), F.col("image").alias("b"), F.col("point").alias("pb"))

@@ -426,6 +426,20 @@ def test_media_against_all_pairs(spark, monkeypatch):
     assert sum(r["class_id"] == want[i] for i, r in out.items()) >= 0.97 * len(out)
 
 
+def test_media_copies_do_not_depend_on_other_images(spark):
+    """Which copies are found is the same in a small table and in one with many other images; sizes between two scales are the hardest to meet."""
+    rng = np.random.default_rng(21)
+    images = {i: media.render(rng.normal(0, 0.125, size=64)) for i in range(180)}
+    some = {i: images[i] for i in range(20)} | {1000 + i: media.warped(images[i], scale=0.77) for i in range(20)}
+
+    def classes(of):
+        rows = [(i, x.shape[1], x.shape[0], x.tobytes()) for i, x in of.items()]
+        found = media.find_copies(spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")).collect()
+        return {r["image_id"]: (r["class_id"], r["images"]) for r in found if r["image_id"] in some}
+
+    assert classes(some) == classes(images | some)
+
+
 def test_media_pairs_across_labels(spark):
     """Of all buckets' pairs with different labels none is missing, whatever the size of the blocks."""
     rng = np.random.default_rng(3)
