@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SCRATCH: dict[str, str] = {}
+#: With it a query's shuffle files go when the query ends, not when the driver next collects its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,10 +53,21 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """The frame as a table in the shared folder: lineage ends there, and a lost executor loses none of it."""
-    path = new_dir(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The frame as a table in the shared folder: lineage ends there, and a lost executor loses none of it. Its shuffle files end with the write."""
+    spark = df.sparkSession
+    path, before = new_dir(spark, tag), spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(table: DataFrame) -> None:
+    """Deletes what ``written`` wrote, if nothing reads it any more; the driver's end would."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        remove(table.sparkSession, path)
 
 
 # -- composite integer keys -------------------------------------------------------------------

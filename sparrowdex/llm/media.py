@@ -7,7 +7,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -17,8 +17,8 @@ from .jaccard import components
 PATCH, TESTS, SPACE, STEP, LEAST = 12, 256, 6, 2**0.125, 30
 #: Hamming tables and the bits that each reads, whatever the input's size. With scales so near, a copy between two of them still has equal keys.
 TABLES, BITS = 2, 40
-#: Rows of a block of a bucket, pixels that are described at once.
-BLOCK, PIXELS = 256, 1 << 19
+#: Rows of a block of a bucket, pixels that are described at once, images that are compared with one that has moved, images for each pair of a round.
+BLOCK, PIXELS, CHUNK, SHARE = 256, 1 << 19, 64, 4
 #: Bits that may differ in a match, matches that must agree, distance in pixels up to which a match agrees.
 DIFFER, AGREE, NEAR = 48, 6, 3.0
 _WORD = np.dtype("<u8")
@@ -249,21 +249,39 @@ def _voted(pairs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, described: DataFrame, agree: int) -> DataFrame:
-    """Of the pairs (a, b), a written table, those with ``agree`` matches under one transform. Only descriptors of images in pairs move."""
+    """Of the pairs (a, b), a written table, those with ``agree`` matches under one transform; a written table.
+
+    Only descriptors of images in pairs are dealt out: those of b once for each pair, those of a once for CHUNK pairs. Pairs go in rounds
+    by their a and chunk, about a pair for SHARE images in each, so what is on disk at once follows the images, whatever the number of pairs.
+    """
+    ids = common.written(pairs.select(F.explode(F.array("a", "b")).alias("image_id")).distinct(), "paired")
+    own = common.written(described.select("image_id", "points", "descriptors").join(ids, "image_id", "left_semi"), "paired-images")
+    chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    rounds = max(1, -(-SHARE * pairs.count() // max(1, described.count())))
 
     def run(batches):
+        here, mine = None, None
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                points = lambda c, b=batch: (np.frombuffer(x, "<f4").reshape(-1, 2) for x in b.column(f"p{c}").to_pylist())
-                bits = lambda c, b=batch: (np.frombuffer(x, np.uint8).reshape(-1, TESTS // 8) for x in b.column(f"d{c}").to_pylist())
-                ok = [agreeing(*x, enough=agree) >= agree for x in zip(points("a"), bits("a"), points("b"), bits("b"), strict=True)]
-                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    ends = pairs.withColumn("image_id", F.explode(F.array("a", "b"))).join(described.select("image_id", "points", "descriptors"), "image_id")
-    of = lambda c, v, name: F.first(F.when(F.col("image_id") == F.col(c), F.col(v)), ignorenulls=True).alias(name)
-    both = ends.groupBy("a", "b").agg(of("a", "points", "pa"), of("a", "descriptors", "da"), of("b", "points", "pb"), of("b", "descriptors", "db"))
-    return both.mapInArrow(run, "a long, b long")
+                alike = []
+                for a, chunk, b, points, bits in zip(*(batch.column(c).to_pylist() for c in ("a", "chunk", "b", "points", "descriptors")), strict=True):
+                    one = np.frombuffer(points, "<f4").reshape(-1, 2), np.frombuffer(bits, np.uint8).reshape(-1, TESTS // 8)
+                    if b is None:  # a itself comes before those that it is compared with
+                        here, mine = (a, chunk), one
+                    elif here == (a, chunk) and agreeing(*mine, *one, enough=agree) >= agree:
+                        alike.append((a, b))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in alike], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    found = []
+    for k in range(rounds):
+        chunked = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").alias("chunk")).filter(F.pmod(F.xxhash64("a", "chunk"), F.lit(rounds)) == k)
+        ends = chunked.select("a", "chunk", "b", F.col("b").alias("image_id"))
+        ends = ends.unionByName(chunked.select("a", "chunk", F.lit(None).cast("long").alias("b"), F.col("a").alias("image_id")).distinct())
+        dealt = ends.join(own, "image_id").select("a", "chunk", "b", "points", "descriptors").repartition("a", "chunk")
+        found.append(common.written(dealt.sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long"), "verified"))
+    common.dropped(own)
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def _ordered(x: F.Column, y: F.Column) -> F.Column:
@@ -271,25 +289,38 @@ def _ordered(x: F.Column, y: F.Column) -> F.Column:
     return F.when(x["image"] < y["image"], pair(x, y)).otherwise(pair(y, x))
 
 
+def _met(keys: DataFrame) -> DataFrame:
+    """The rows (key, image, point) whose key several images have, with the least (image, point) of the key: head. Rows move once."""
+    own = Window.partitionBy("key")
+    rows = keys.withColumns({"head": F.min(F.struct("image", "point")).over(own), "last": F.max("image").over(own)})
+    return rows.filter("head.image != last").drop("last")
+
+
 def _across(met: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a, pa, b, pb) of images that share a key and have different labels, block by block; a bucket of one label has none.
 
     Of two such images one at least doesn't have the label of the bucket's first image. So the others' blocks meet all blocks, and
-    a bucket that is one class but for a few images costs its size times these few.
+    a bucket that is one class but for a few images costs its size times these few. A bucket that is one block moves once.
     """
+    own = Window.partitionBy("key")
     rows = met.select("key", "image", "point").join(labels, "image", "left").withColumn("label", F.coalesce("label", "image"))
-    first = rows.groupBy("key").agg(F.min(F.struct("image", "label"))["label"].alias("first"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c"))
-    rows = rows.join(first.filter("lo != hi").select("key", "first", "c"), "key")
-    others = rows.filter("label != first").groupBy("key").agg(F.count("*").alias("o"))
-    rows = common.written(rows.join(others, "key"), "unresolved")
-    one = F.struct("image", "point", "label")
+    of = {"first": F.min(F.struct("image", "label")).over(own)["label"], "lo": F.min("label").over(own), "hi": F.max("label").over(own), "c": F.count("*").over(own)}
+    rows = rows.withColumns(of).filter("lo != hi").withColumn("other", F.col("label") != F.col("first"))
+    rows = rows.withColumn("o", F.count(F.when(F.col("other"), 1)).over(own)).drop("first", "lo", "hi")
+    rows = common.written(rows, "unresolved")
     block = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    own = lambda c: F.pmod(F.xxhash64("image", "point"), block(c)).cast("int")
+    part = lambda c: F.pmod(F.xxhash64("image", "point"), block(c)).cast("int")
     spread = lambda c: F.explode(F.sequence(F.lit(0), block(c) - 1))
-    left = rows.select("key", own("c").alias("p"), spread("o").alias("q"), one.alias("x"), F.lit(None).cast("struct<image:bigint,point:int,label:bigint>").alias("y"))
-    right = rows.filter("label != first").select("key", spread("c").alias("p"), own("o").alias("q"), F.lit(None).cast("struct<image:bigint,point:int,label:bigint>").alias("x"), one.alias("y"))
-    group = left.unionByName(right).groupBy("key", "p", "q").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))
-    pairs = F.flatten(F.transform("xs", lambda x: F.transform(F.filter("ys", lambda y: y["label"] != x["label"]), lambda y: _ordered(x, y))))
+    # left and right tell on which side of its block's pairs a row stands
+    dealt = lambda t, p, q, left, right: t.select("key", p.alias("p"), q.alias("q"), "image", "point", "label", "other", left.alias("left"), right.alias("right"))
+    yes, no = F.lit(True), F.lit(False)
+    large = rows.filter(F.col("c") > BLOCK)
+    every = dealt(rows.filter(F.col("c") <= BLOCK), F.lit(0), F.lit(0), yes, F.col("other"))
+    every = every.unionByName(dealt(large, part("c"), spread("o"), yes, no)).unionByName(dealt(large.filter("other"), spread("c"), part("o"), no, yes))
+    group = every.repartition("key", "p", "q").groupBy("key", "p", "q").agg(F.collect_list(F.struct("image", "point", "label", "other", "left", "right")).alias("rows"))
+    # of two others each is left of the other once: one of these counts
+    fits = lambda x, y: y["right"] & (y["label"] != x["label"]) & (~x["other"] | (x["image"] < y["image"]))
+    pairs = F.flatten(F.transform(F.filter("rows", lambda x: x["left"]), lambda x: F.transform(F.filter("rows", lambda y: fits(x, y)), lambda y: _ordered(x, y))))
     return group.select(F.explode(pairs).alias("m")).select("m.*")
 
 
@@ -314,15 +345,14 @@ def find_copies(images: DataFrame, *, agree: int = AGREE) -> DataFrame:
         described = everything.join(common.written(members.filter("image_id != rep").select("image_id"), "equals"), "image_id", "left_anti")
     else:
         described = everything.join(members.filter("image_id = rep").select("image_id", "digest"), ["image_id", "digest"], "left_semi").dropDuplicates(["image_id"])
-    keys = _keys(described)
-    buckets = keys.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("image", "point")).alias("head")).filter("c > 1")
-    met = common.written(keys.join(buckets, "key").select("key", "image", "point", "head"), "buckets")
+    met = common.written(_met(_keys(described)), "buckets")
     star = met.filter("image != head.image").select(F.col("head.image").alias("a"), F.col("head.point").alias("pa"), F.col("image").alias("b"), F.col("point").alias("pb"))
     tried = common.written(_voted(star), "tried")
-    copies = common.written(_verified(tried, described, agree), "copies")
+    copies = _verified(tried, described, agree)
     labels = components(spark, copies.select(F.col("a").alias("v"), F.col("b").alias("w"))).select(F.col("v").alias("image"), "label")
     rest = common.written(_voted(_across(met, labels)).join(tried, ["a", "b"], "left_anti"), "rest")
-    more = common.written(copies.unionByName(_verified(rest, described, agree)), "all-copies")
+    common.dropped(met)
+    more = copies.unionByName(_verified(rest, described, agree))
     labels = components(spark, more.select(F.col("a").alias("v"), F.col("b").alias("w"))).select(F.col("v").alias("rep"), "label")
     out = members.join(labels, "rep", "left").select("image_id", F.coalesce("label", "rep").alias("class_id"))
     sizes = out.groupBy("class_id").agg(F.count("*").alias("images"))

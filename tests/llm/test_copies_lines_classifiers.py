@@ -3,12 +3,13 @@
 import collections
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparrowdex.llm import ann, jaccard, licences, line_dedup, media, toxicity
+from sparrowdex.llm import ann, common, jaccard, licences, line_dedup, media, toxicity
 
 RNG = random.Random(8)
 WORDS = ["".join(RNG.choice("bdfglmnprst") + RNG.choice("aeiou") for _ in range(RNG.randint(2, 5))) for _ in range(900)]
@@ -457,6 +458,46 @@ def test_media_pairs_across_labels(spark):
         assert {(r["a"], r["pa"], r["b"], r["pb"]) for r in got} == want
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Tables between the steps hold their rows; the shuffle files of their making are gone when they are written."""
+    blocks = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().toString().count("ShuffleDataBlockId")
+    before = blocks()
+    frame = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    table = common.written(frame, "test")
+    for _ in range(50):  # files go in the background
+        if blocks() <= before:
+            break
+        time.sleep(0.1)
+    assert blocks() <= before and table.count() == 7
+    assert spark.conf.get(common._CLEAN, None) is None
+    common.dropped(table)
+    with pytest.raises(Exception, match="(?i)file|path"):
+        spark.read.parquet(table.inputFiles()[0]).count()
+
+
+def test_media_keys_met_and_pairs_verified_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    keys = [(int(k), int(i), int(p)) for k, i, p in zip(rng.integers(0, 400, 600), rng.integers(0, 90, 600), rng.integers(0, 9, 600), strict=True)]
+    met = media._met(spark.createDataFrame(keys, "key long, image long, point int"))
+    assert met._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    of = {}
+    for k, i, p in keys:
+        of.setdefault(k, []).append((i, p))
+    want = sorted((k, *x, *min(xs)) for k, xs in of.items() if len({i for i, _ in xs}) > 1 for x in xs)
+    assert sorted(tuple(r) for r in met.select("key", "image", "point", "head.image", "head.point").collect()) == want
+    # one image that meets many others, in chunks and rounds
+    monkeypatch.setattr(media, "CHUNK", 5)
+    images, _ = media_fixture()
+    names = sorted(images)[:60]
+    rows = [(i, images[i].shape[1], images[i].shape[0], images[i].tobytes()) for i in names]
+    described = media.describe_images(spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary"))
+    pairs = [(names[0], i) for i in names[1:]] + [(names[3], i) for i in names[4:30]]
+    made = {i: media.describe(images[i]) for i in names}
+    got = media._verified(spark.createDataFrame(pairs, "a long, b long"), described, media.AGREE).collect()
+    want = sorted((a, b) for a, b in pairs if media.agreeing(*made[a], *made[b], enough=media.AGREE) >= media.AGREE)
+    assert sorted(tuple(r) for r in got) == want and want
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(10)
     centres = rng.normal(size=(8, 24))
