@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +16,6 @@ from . import common
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999999
 #: Coordinates of the embedding, a bucket's size up to which it isn't split further, splits at most, rows of a block of a large leaf.
 COORDINATES, BUCKET, DEPTH, BLOCK = 40, 96, 4, 1024
-#: Words that a worker's cache of word hashes holds before it starts anew.
-CACHE_WORDS = 150_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,26 +39,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    """64-bit hashes of words, kept as they come."""
+@functools.cache
+def _spaces() -> np.ndarray:
+    """For each code point up to the last white space whether ``str.split`` splits there; one more for all others."""
+    return np.array([chr(c).isspace() for c in range(0x3001)] + [False])
 
-    def __missing__(self, word: str) -> int:
-        value = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-        self[word] = value
-        return value
 
-
-_WORDS = _Words()
+def _word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the text's words, in order: for each word the sum over its letters of a hash of letter and place, mixed."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    space = _spaces()[np.minimum(codes, 0x3001)]
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    begun = np.zeros(len(codes), np.int64)
+    begun[starts] = np.diff(starts, prepend=0)
+    place = np.arange(len(codes)) - np.cumsum(begun)
+    letters = _mix((codes.astype(np.uint64) | (place.astype(np.uint64) << np.uint64(32))) * _M + _M)
+    letters[space] = 0
+    return _mix(np.add.reduceat(letters, starts))
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word n-grams; of all its words, if it has fewer; none, if it has none."""
-    if len(_WORDS) > CACHE_WORDS:
-        _WORDS.clear()
-    found = (text or "").split()
-    if not found:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
+    w = _word_hashes(text or "")
+    if not len(w):
+        return w
     n = min(words, len(w))
     h = np.full(len(w) - n + 1, n, np.uint64)
     for j in range(n):
@@ -232,7 +236,7 @@ def join_within(leaf: int, weights: np.ndarray, sets: list[np.ndarray], lists: l
 
 
 def _verified(docs: DataFrame, text: str, words: int, sets: DataFrame, small: DataFrame, large: DataFrame, similarity: float) -> DataFrame:
-    """(s1, s2, links, r1, r2): for each member of each leaf the links counted there and its root there."""
+    """(s1, s2, links, r1, r2): for each member of each leaf of several the links counted there and its root there."""
     few = small.select("leaf", F.explode("ids").alias("i")).select("leaf", "i.s1", "i.s2", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("side"))
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("s1", "s2", "leaf"), blocks).cast("int")
@@ -257,14 +261,52 @@ def _verified(docs: DataFrame, text: str, words: int, sets: DataFrame, small: Da
     schema = "s1 long, s2 long, texts long, leaves array<long>, parts array<struct<leaf:long,p:int,q:int,side:int>>, grams binary"
     full = texts.mapInArrow(grams, schema).withColumn("part", F.explode("parts")).select("part.leaf", "part.p", "part.q", "part.side", "s1", "s2", "texts", "leaves", "grams")
 
-    def brute(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["s1", "s2"]).sort_values(["s1", "s2"]).reset_index(drop=True)  # equal rows of documents give their set twice
-        sets_here = [np.frombuffer(g, np.uint64) for g in pdf["grams"]]
-        links, root = join_within(key[0], pdf["texts"].to_numpy(), sets_here, list(pdf["leaves"]), pdf["side"].to_numpy(), similarity)
-        return pd.DataFrame({"s1": pdf["s1"], "s2": pdf["s2"], "links": links, "r1": pdf["s1"].to_numpy()[root], "r2": pdf["s2"].to_numpy()[root]})
-
-    out = full.groupBy("leaf", "p", "q").applyInPandas(brute, "s1 long, s2 long, links long, r1 long, r2 long")
-    return common.written(out, "verified")
+    schema = "s1 long, s2 long, links long, r1 long, r2 long"
+    # rows of a group follow one another, so a task takes its groups as they come; calls for each small group would cost more than its pairs
+    dealt = full.repartition("leaf", "p", "q").sortWithinPartitions("leaf", "p", "q", "s1", "s2")
+    return common.written(dealt.mapInArrow(lambda batches: _joined(batches, similarity), schema), "verified")
+
+
+def _joined(batches, similarity: float):
+    """For batches of rows sorted by (leaf, p, q, s1, s2), a group's rows perhaps in several: each member's links and root in its group."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        ends = _ends(rows, "leaf", "p", "q")
+        last = ends[-2] if len(ends) > 1 else 0
+        if last:
+            yield from _groups(rows.slice(0, last), ends[:-1], similarity)
+        held = rows.slice(last)
+    if held is not None and held.num_rows:
+        yield from _groups(held, np.array([held.num_rows]), similarity)
+
+
+def _ends(rows: pa.Table, *columns: str) -> np.ndarray:
+    """Where runs of rows that are equal in these columns end."""
+    new = np.zeros(max(0, rows.num_rows - 1), bool)
+    for c in columns:
+        x = rows.column(c).to_numpy()
+        new |= x[1:] != x[:-1]
+    return np.concatenate([np.flatnonzero(new) + 1, [rows.num_rows][: rows.num_rows]]).astype(np.int64)
+
+
+def _groups(rows: pa.Table, ends: np.ndarray, similarity: float):
+    leaf, s1, s2, texts, side = (rows.column(c).to_numpy() for c in ("leaf", "s1", "s2", "texts", "side"))
+    leaves, grams = rows.column("leaves").combine_chunks(), rows.column("grams").combine_chunks()
+    again = np.zeros(len(leaf), bool)  # equal rows of documents give their set twice
+    again[1:] = (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])
+    out, begin = [], 0
+    for end in ends.tolist():
+        again[begin] = False
+        kept = begin + np.flatnonzero(~again[begin:end])
+        begin = end
+        if len(kept) < 2:
+            continue
+        sets = [np.frombuffer(grams[i].as_buffer(), np.uint64) for i in kept.tolist()]
+        links, root = join_within(leaf[kept[0]], texts[kept], sets, [leaves[i].values.to_numpy() for i in kept.tolist()], side[kept], similarity)
+        out.append((s1[kept], s2[kept], links, s1[kept][root], s2[kept][root]))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["s1", "s2", "links", "r1", "r2"])
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:

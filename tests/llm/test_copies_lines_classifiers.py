@@ -6,6 +6,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,40 @@ def test_similar_in_blocks():
     assert links.sum() == 2 * len([1 for i, j in want if not (i < 10 and j < 10)])
 
 
+def test_word_hashes_follow_split():
+    texts = [near(prose(50), 3) + t for t in (" a\u3000b\x1cc", "\n\n", "", " \U0001f600x x\U0001f600 ab ba", "\ud800 \ud800")] + ["", " ", "x"]
+    seen = {}
+    for t in texts:
+        got = jaccard._word_hashes(t).tolist()
+        assert len(got) == len(t.split())
+        assert all(seen.setdefault(w, h) == h for w, h in zip(t.split(), got, strict=True))
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_groups_cut_by_batches():
+    """Groups that begin in one batch and end in another give what they give in one piece, and small groups share a call."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for leaf in range(30):
+        base = np.unique(rng.integers(0, 1 << 60, 60).astype(np.uint64))
+        for k in range(rng.integers(1, 9)):
+            one = np.unique(np.where(rng.random(len(base)) < 0.06, rng.integers(0, 1 << 60, len(base)).astype(np.uint64), base))
+            rows += [{"leaf": leaf, "p": 0, "q": 0, "side": 0, "s1": 10 * leaf + k, "s2": 7, "texts": 1 + k, "leaves": [leaf], "grams": one.tobytes()}] * (1 + (k == 3))
+    schema = pa.schema([(c, pa.int64()) for c in ("leaf", "p", "q", "side", "s1", "s2", "texts")] + [("leaves", pa.list_(pa.int64())), ("grams", pa.binary())])
+    whole = pa.RecordBatch.from_pylist(rows, schema=schema)
+    want = {}
+    for leaf in range(30):
+        own = {r["s1"]: r for r in rows if r["leaf"] == leaf}
+        sets = [np.frombuffer(r["grams"], np.uint64) for r in own.values()]
+        links, root = jaccard.join_within(leaf, np.array([r["texts"] for r in own.values()]), sets, [[leaf]] * len(sets), np.zeros(len(sets), int), 0.8)
+        want |= {s: (links[i], list(own)[root[i]]) for i, s in enumerate(own) if len(own) > 1}
+    for size in (1, 5, 17, len(rows)):
+        out = list(jaccard._joined([whole.slice(at, size) for at in range(0, len(rows), size)], 0.8))
+        assert {r["s1"]: (r["links"], r["r1"]) for b in out for r in b.to_pylist()} == want and sum(b.num_rows for b in out) == len(want)
+    assert len(out) == 2 and any(x for x, _ in want.values())
+    assert list(jaccard._joined([], 0.8)) == []
+
+
 def test_runs_reach_recall():
     assert jaccard.runs_for() < jaccard.COORDINATES
     assert jaccard.runs_for(0.9) < jaccard.runs_for(0.999)
