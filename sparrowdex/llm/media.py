@@ -249,7 +249,7 @@ def _voted(pairs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, described: DataFrame, agree: int) -> DataFrame:
-    """Of the pairs (a, b), a written table, those with ``agree`` matches under one transform; a written table.
+    """Of the pairs (a, b), a written table, those with ``agree`` matches under one transform.
 
     Only descriptors of images in pairs are dealt out: those of b once for each pair, those of a once for CHUNK pairs. Pairs go in rounds
     by their a and chunk, about a pair for SHARE images in each, so what is on disk at once follows the images, whatever the number of pairs.
