@@ -117,14 +117,18 @@ def _sets(docs: DataFrame, text: str, words: int) -> DataFrame:
     return docs.select("_k", "_th", F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
-def _children(nodes: DataFrame, count: int, coordinates: int) -> DataFrame:
-    """Two coordinates of the embedding, drawn by the node, split its sets: rows (parent, node, s1, s2)."""
+def _drawn(nodes: DataFrame, count: int, coordinates: int) -> DataFrame:
+    """Two coordinates of the embedding, drawn by the node, split its sets: rows (node, c, s1, s2, x1, x2) with the child of each coordinate."""
     pick = lambda i: (F.pmod(F.xxhash64("node", F.lit(i)), F.lit(coordinates - count)) + count).cast("int")
     second = F.when(pick(1) == pick(2), count + F.pmod(pick(1) - count + 1, F.lit(coordinates - count))).otherwise(pick(2)).cast("int")
-    chosen = F.array(pick(1), second)
-    return nodes.withColumn("_j", F.explode(chosen)).select(
-        F.col("node").alias("parent"), F.xxhash64("node", "_j", F.get("sketch", F.col("_j"))).alias("node"), "s1", "s2", "sketch", F.col("c").alias("parent_c"), F.col("_j")
-    )
+    nodes = nodes.withColumns({"_j1": pick(1), "_j2": second})
+    child = lambda j: F.xxhash64("node", j, F.get("sketch", F.col(j)))
+    return nodes.select("node", "c", "s1", "s2", child("_j1").alias("x1"), child("_j2").alias("x2"))
+
+
+def _children(drawn: DataFrame) -> DataFrame:
+    """A row (node, s1, s2) for each set and child."""
+    return drawn.select(F.explode(F.array("x1", "x2")).alias("node"), "s1", "s2")
 
 
 def _leaves(sets: DataFrame, runs: int) -> tuple[DataFrame, DataFrame]:
@@ -143,13 +147,15 @@ def _leaves(sets: DataFrame, runs: int) -> tuple[DataFrame, DataFrame]:
     for depth in range(2, DEPTH + 1):
         if not big.take(1):
             break
-        child = _children(big.join(sets.select("s1", "s2", "sketch"), ["s1", "s2"]), runs, COORDINATES)
-        sizes = common.written(child.groupBy("parent", "node").agg(F.count("*").alias("c"), F.max("parent_c").alias("pc")), "sizes")
-        dense = sizes.groupBy("parent").agg(F.max(F.col("c") >= 0.5 * F.col("pc")).alias("dense"))
-        stop = common.written(dense.filter("dense").select(F.col("parent").alias("node")), "dense")
+        drawn = common.written(_drawn(big.join(sets.select("s1", "s2", "sketch"), ["s1", "s2"]), runs, COORDINATES), "drawn")
+        # children are counted by the columns; sets of alike ones have no rows for theirs
+        each = [drawn.groupBy(F.col(x).alias("node")).agg(F.count("*").alias("c"), F.first("node").alias("parent"), F.first("c").alias("pc")) for x in ("x1", "x2")]
+        sizes = common.written(each[0].unionByName(each[1]), "sizes")
+        stop = common.written(sizes.filter(F.col("c") >= 0.5 * F.col("pc")).select(F.col("parent").alias("node")).distinct(), "dense")
         large.append(big.join(stop, "node", "left_semi"))
-        go = sizes.filter("c > 1").select("parent", "node", "c").join(stop.withColumnRenamed("node", "parent"), "parent", "left_anti")
-        level = common.written(child.select("parent", "node", "s1", "s2").join(go, ["parent", "node"]).select("node", "s1", "s2", "c"), "paths")
+        go = sizes.filter("c > 1").join(stop.withColumnRenamed("node", "parent"), "parent", "left_anti").select("node", "c")
+        child = _children(drawn.join(stop, "node", "left_anti"))
+        level = common.written(child.join(go, "node").select("node", "s1", "s2", "c"), "paths")
         small.append(level.filter(F.col("c") <= BUCKET).select("node", "s1", "s2"))
         big = level.filter(F.col("c") > BUCKET)
     large.append(big)

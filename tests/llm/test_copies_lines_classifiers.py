@@ -399,6 +399,20 @@ def test_wrapped_notice_is_one_paragraph():
     assert got[0][3] == 2 and got[0][5] - got[0][4] >= len(notice) - 8
 
 
+def test_jaccard_near_copies_have_no_rows_for_children(spark, monkeypatch):
+    """Buckets of near copies are leaves at once; before, each set had two rows more for each run, whatever became of them."""
+    made, children = [], jaccard._children
+    monkeypatch.setattr(jaccard, "_children", lambda *a: made.append(children(*a)) or made[-1])
+    rng = random.Random(8)
+    base = prose(150, rng)
+    texts = sorted({near(base, 1, rng) for _ in range(150)})
+    got = jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert made and sum(c.count() for c in made) == 0
+    sets = [set(jaccard.shingles(t).tolist()) for t in texts]
+    links = [sum(len(a & b) >= 0.8 * len(a | b) - 1e-9 for b in sets) - 1 for a in sets]
+    assert [r["links"] for r in sorted(got, key=lambda r: r["doc_id"])] == links and sum(links) > 150 * 100
+
+
 def test_media_copies(spark):
     rng = np.random.default_rng(9)
     vectors = [(i, [float(x) for x in rng.normal(0, 0.125, size=64)], 0) for i in range(60)]
