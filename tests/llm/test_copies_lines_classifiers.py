@@ -524,6 +524,20 @@ def test_written_tables_leave_no_shuffle_files(spark):
         spark.read.parquet(table.inputFiles()[0]).count()
 
 
+def test_media_unlike_images_rarely_meet(spark):
+    """Among 400 unlike images a few pairs at most share a key by chance (some hundreds did when one point made a key); their copies all do."""
+    rng = np.random.default_rng(31)
+    images = {i: media.render(rng.normal(0, 0.125, size=64)) for i in range(400)}
+    images |= {1000 + i: media.warped(images[i], crop=0.8, turn=0.3 + 0.1 * i, gain=0.8) for i in range(10)} | {1010 + i: media.warped(images[10 + i], scale=0.85) for i in range(10)}
+    rows = [(i, x.shape[1], x.shape[0], x.tobytes()) for i, x in images.items()]
+    described = media.describe_images(spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary"))
+    met = media._met(media._keys(described))
+    pairs = media._across(met, spark.createDataFrame([], "image long, label long")).collect()
+    true = {(i, 1000 + i) for i in range(20)}
+    assert true <= {(r["a"], r["b"]) for r in pairs}
+    assert sum((r["a"], r["b"]) not in true for r in pairs) <= 20
+
+
 def test_media_keys_met_and_pairs_verified_in_rounds(spark, monkeypatch):
     rng = np.random.default_rng(8)
     keys = [(int(k), int(i), int(p)) for k, i, p in zip(rng.integers(0, 400, 600), rng.integers(0, 90, 600), rng.integers(0, 9, 600), strict=True)]
