@@ -6,11 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s ﻿]"
+#: The same in SQL's regular expressions.
+SQL_SPACE = r"[\t\n\f\r ]"
+
+
+def strip(c: Column, space: str) -> Column:
+    return F.regexp_replace(c, rf"^{space}+|{space}+\z", "")  # $ would also match before U+0085, U+2028 or U+2029 at the end
 
 
 def trim(c: Column) -> Column:
     """Strips all white space at both ends, not blanks only."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return strip(c, SPACE)
 
 
 def collapse(c: Column) -> Column:
@@ -89,10 +95,10 @@ def figure_kind(raw: Column) -> Column:
     return F.when(raw.isin("chart", "table"), raw).when(raw.isin("image", "image_block"), "image").otherwise("figure")
 
 
-def label_of(context: Column) -> Column:
-    """The first fragment of 8 to 120 characters; else the first 100; null for none."""
-    parts = F.filter(F.transform(F.split(context, r"\n|\.\s|;\s"), trim), lambda s: F.length(s).between(8, 120))
-    start = trim(F.substring(context, 1, 100))
+def label_of(context: Column, space: str = r"\s", ends: str = SPACE) -> Column:
+    """The first fragment of 8 to 120 characters; else the first 100; null for none. space: what ends a sentence after its sign; ends: what goes at a fragment's ends."""
+    parts = F.filter(F.transform(F.split(context, rf"\n|\.{space}|;{space}"), lambda s: strip(s, ends)), lambda s: F.length(s).between(8, 120))
+    start = strip(F.substring(context, 1, 100), ends)
     return F.coalesce(F.get(parts, 0), F.when(start != "", start))
 
 
