@@ -28,7 +28,8 @@ def _with_stem(terms: DataFrame, term: str = "term") -> DataFrame:
     def stems(t: pd.Series) -> pd.Series:
         return t.map(stem_word)
 
-    return terms.select(term).distinct().withColumn("_stem", stems(F.col(term)))
+    # a filter on the stems must not be pushed below the distinct, else every token goes through Python
+    return terms.select(term).distinct().withColumn("_stem", stems.asNondeterministic()(F.col(term)))
 
 
 def stemmed(terms: DataFrame, term: str = "term") -> DataFrame:
@@ -79,7 +80,8 @@ def bm25(
         toks = chunks.select(key, tokens(F.col(content)).alias("_t"))
         stats = toks.select(F.nullif(F.size("_t"), F.lit(0)).cast("long").alias("doc_len"))
         hit = F.filter("_t", lambda t: _may_stem_to(t, terms) if stem else t.isin(terms))
-        index = toks.select(key, F.size("_t").cast("long").alias("doc_len"), F.explode_outer(hit).alias("term")).filter("term IS NOT NULL")
+        hits = toks.select(key, F.size("_t").cast("long").alias("doc_len"), hit.alias("_hit"))  # so that rows of terms don't carry all tokens of their text
+        index = hits.select(key, "doc_len", F.explode_outer("_hit").alias("term")).filter("term IS NOT NULL")
         if stem:
             forms = _with_stem(index).filter(F.col("_stem").isin(terms))
             index = index.join(F.broadcast(forms), "term").withColumn("term", F.col("_stem"))  # the query terms' own forms: a few words
@@ -88,7 +90,7 @@ def bm25(
         stats = index.groupBy(key).agg(F.first("doc_len").alias("doc_len"))
     whole = stats.agg(F.count("doc_len").alias("n_docs"), F.avg("doc_len").alias("mean"))
     found = index.filter(F.col("term").isin(terms))
-    df = found.groupBy("term").agg(F.count("*").alias("n"))
+    df = found.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("n"))  # reads all that the other arm reads, so both share one exchange
     rated = found.join(F.broadcast(df), "term").crossJoin(F.broadcast(whole))  # one row for each query term, and one row
     idf = F.log(1 + (F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("mean")))

@@ -509,6 +509,17 @@ def test_stemmed_search_counts_only_words_that_may_match(spark):
     assert [r["m"] for r in may.collect()] == [True, False, True]
 
 
+def test_stemmed_search_stems_distinct_words_and_leaves_texts_behind(spark):
+    df = spark.createDataFrame([(str(i), "thing things the " * (i + 1) + "retitioning") for i in range(9)], "id string, content string")
+    found = fulltext.bm25(df, "thing retitioning", 20, operator="or", stem=True)
+    assert found.collect() == fulltext.bm25(df, "thing retitioning", 20, operator="or", stem=True, index=fulltext.postings(df, stem=True)).collect()
+    plan = [line.lstrip(" :+-") for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n")]
+    below = [b for a, b in zip(plan, plan[1:], strict=False) if a.startswith("ArrowEvalPython")]
+    assert below and all(b.startswith("Aggregate") for b in below)  # Python gets a word once, not for each token
+    made = [line for line in plan if line.startswith("Generate")]
+    assert made and not any("_t#" in line for line in made)  # rows of terms have no array of all tokens
+
+
 def test_citations_are_made_once(spark):
     row = spark.createDataFrame([("[Doc A — S], [Doc A — S], [Doc A], **Doc A1**, [Doc A — T] [1]",)], "t string").select(T.citations(F.col("t")).alias("c"))
     assert [(x["title"], x["section"]) for x in row.head()["c"]] == [("Doc A", "S"), ("Doc A", None), ("Doc A", "T"), ("Doc A1", None)]
